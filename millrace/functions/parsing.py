@@ -62,6 +62,10 @@ def _month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), F.lower(name))
 
 
+# Longer texts are not tried: no accepted format is this long.
+_LONGEST_TIMESTAMP = 64
+
+
 def to_timestamp(c: Column) -> Column:
     """timestamp_ntz for the formats listed above; month first where both readings are valid.
 
@@ -79,7 +83,8 @@ def to_timestamp(c: Column) -> Column:
     day_first = _iso_cast(part(_YEAR_LAST, 3), part(_YEAR_LAST, 2), part(_YEAR_LAST, 1), part(_YEAR_LAST, 4))
     half_day = F.concat_ws(" ", part(_HALF_DAY, 1), part(_HALF_DAY, 2), F.upper(part(_HALF_DAY, 3)))
     return (
-        F.when(c.rlike(_ISO), F.trim(c).try_cast("timestamp_ntz"))
+        F.when(F.length(F.trim(c)) > _LONGEST_TIMESTAMP, F.lit(None).cast("timestamp_ntz"))
+        .when(c.rlike(_ISO), F.trim(c).try_cast("timestamp_ntz"))
         .when(c.rlike(_ISO_ZONED), zoned)
         .when(c.rlike(_YEAR_LAST), F.coalesce(month_first, day_first))
         .when(

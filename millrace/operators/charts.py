@@ -40,7 +40,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = B
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         at = F.floor((ref(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * bins)
-        cells += [F.lit(c), F.least(at, F.lit(bins - 1).cast("bigint")).cast("int")]
+        # least skips nulls, so a missing value is kept out explicitly.
+        cells += [F.lit(c), F.when(at.isNotNull(), F.least(at, F.lit(bins - 1).cast("bigint"))).cast("int")]
     if not live:
         return df.sparkSession.createDataFrame([], "column string, bin int, n bigint")
     return (

@@ -14,7 +14,7 @@ from ..functions.columns import ref
 from .measure import measure
 
 # Up to this many pairs the sums are plain aggregate expressions; beyond, per-partition matrices.
-EXPRESSION_PAIRS = 150
+EXPRESSION_PAIRS = 66
 _FIELDS = ("n", "x", "y", "xx", "yy", "xy")
 
 

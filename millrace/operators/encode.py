@@ -37,12 +37,6 @@ class Mapping:
     n_unique: int = 0
     n_bytes: int = 0
 
-    def as_rows(self, spark) -> DataFrame:
-        if self.table is not None:
-            body = self.table.select("value", F.col("code").cast("double").alias("code"))
-        else:
-            body = spark.createDataFrame([(v, float(k)) for v, k in self.entries.items()], "value string, code double")
-        return body.select(F.lit(self.column).alias("column"), "value", "code")
 
 
 def strategy_for(column: str, n_unique: int, strategy: str = "auto", limit: int = 10, ordinal: dict | None = None) -> str:
@@ -226,7 +220,9 @@ def encode_columns(
 
 def mapping_table(spark, mappings: Sequence[Mapping]) -> DataFrame:
     """Tall (column, value, code) of all fitted encodings."""
-    table = spark.createDataFrame([], "column string, value string, code double")
+    small = [(m.column, v, float(k)) for m in mappings if m.entries is not None for v, k in m.entries.items()]
+    out = spark.createDataFrame(small, "column string, value string, code double")
     for m in mappings:
-        table = table.unionByName(m.as_rows(spark))
-    return table
+        if m.table is not None:
+            out = out.unionByName(m.table.select(F.lit(m.column).alias("column"), "value", F.col("code").cast("double").alias("code")))
+    return out

@@ -152,8 +152,10 @@ class Facts:
     def quantiles(self, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
         todo = [c for c in columns if any((c, p) not in self._quantiles for p in probs)]
         if todo:
-            counts = {c: self.scan()[c].present for c in todo}
-            for c, values in exact_quantiles(self.df, todo, probs, counts).items():
+            scan = self.scan()
+            counts = {c: scan[c].present for c in todo}
+            ends = {c: (float(scan[c].lo), float(scan[c].hi)) for c in todo if scan[c].present}
+            for c, values in exact_quantiles(self.df, todo, probs, counts, ends).items():
                 self._quantiles.update({(c, p): v for p, v in zip(probs, values)})
         return {c: [self._quantiles[c, p] for p in probs] for c in columns}
 
@@ -176,6 +178,9 @@ class Facts:
             self._unique.update({(c, threshold): u for c, u in got.items()})
         return {c: self._unique[c, threshold] for c in columns}
 
+    def known_levels(self) -> dict[str, Levels]:
+        return dict(self._levels)
+
     def levels(self, columns: Sequence[str], k: int = 15) -> dict[str, Levels]:
         todo = [c for c in columns if c not in self._levels or (self._levels[c].k < k and not self._levels[c].complete)]
         if todo:

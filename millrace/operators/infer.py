@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import columns_of, ref, replace_columns
 from ..functions.parsing import is_integer_text, to_boolean, to_number, to_timestamp
+from .counts import Levels
+from .facts import Facts
 from .measure import measure
 
 SHARE_NEEDED = 0.8
 
 
-def parse_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, dict[str, int]]]:
+def parse_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, dict[str, int]]]:
     """Rows, and per text column how many values read as number, whole number, timestamp."""
-    columns = columns_of(df, "categorical") if columns is None else list(columns)
     exprs: dict = {"rows": F.count(F.lit(1))}
     for c in columns:
         v = ref(c)
@@ -26,15 +27,50 @@ def parse_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[i
     return got["rows"], {c: {k: got[c, k] for k in ("number", "integer", "timestamp")} for c in columns}
 
 
-def infer_types(df: DataFrame, share: float = SHARE_NEEDED, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def _parse_counts_of_levels(df: DataFrame, known: dict[str, Levels]) -> dict[str, dict[str, int]]:
+    """The same from complete value lists: each value is read once, weighted by its count."""
+    rows = [(c, v, n) for c, level in known.items() for v, n in level.top]
+    v, n = F.col("value"), F.col("n")
+
+    def total(hit: Column) -> Column:
+        return F.sum(F.when(hit, n).otherwise(0))
+
+    got = (
+        df.sparkSession.createDataFrame(rows, "column string, value string, n bigint")
+        .groupBy("column")
+        .agg(
+            total(to_number(v).isNotNull()).alias("number"),
+            total(is_integer_text(v)).alias("integer"),
+            total(to_timestamp(v).isNotNull()).alias("timestamp"),
+        )
+        .collect()
+    )
+    out = {r["column"]: {k: r[k] for k in ("number", "integer", "timestamp")} for r in got}
+    return {c: out.get(c, {"number": 0, "integer": 0, "timestamp": 0}) for c in known}
+
+
+def infer_types(
+    df: DataFrame,
+    share: float = SHARE_NEEDED,
+    columns: Sequence[str] | None = None,
+    facts: Facts | None = None,
+) -> tuple[DataFrame, dict[str, str]]:
     """Convert a text column when more than ``share`` of all rows parse; the rest become null.
 
     Numbers are tried first. Returns the DataFrame and {column: new type}.
+    ``facts`` of ``df`` that list all values of a column spare it the scan.
     """
     columns = columns_of(df, "categorical") if columns is None else list(columns)
     if not columns:
         return df, {}
-    rows, counts = parse_counts(df, columns)
+    known = {c: v for c, v in facts.known_levels().items() if c in columns and v.complete} if facts else {}
+    counts = _parse_counts_of_levels(df, known) if known else {}
+    scanned = [c for c in columns if c not in known]
+    if scanned:
+        rows, more = parse_counts(df, scanned)
+        counts.update(more)
+    else:
+        rows = facts.rows
     new: dict[str, Column] = {}
     made: dict[str, str] = {}
     for c in columns:

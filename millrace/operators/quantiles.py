@@ -22,7 +22,7 @@ from .measure import measure
 
 BINS = 1024
 # Up to this many rows the built-in aggregate's buffer is small and one job suffices.
-BUILT_IN_ROWS = 100_000
+BUILT_IN_ROWS = 50_000
 _LOG_SPAN = float(2**52)
 
 
@@ -60,11 +60,12 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     counts: dict[str, int] | None = None,
+    ends: dict[str, tuple[float, float]] | None = None,
     built_in_rows: int = BUILT_IN_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns, nulls skipped.
 
-    ``counts`` are the non-null counts where the caller has them already.
+    ``counts`` (non-null) and ``ends`` (minimum, maximum) are used where the caller has them already.
     """
     columns = list(columns)
     if not columns:
@@ -82,7 +83,7 @@ def exact_quantiles(
 
     positions = {c: [(counts[c] - 1) * p for p in probs] for c in live}
     ranks = {c: {k for x in positions[c] for k in (math.floor(x), math.ceil(x))} for c in live}
-    values = _order_statistics(df, ranks, counts)
+    values = _order_statistics(df, ranks, counts, ends or {})
     for c in live:
         row = []
         for x in positions[c]:
@@ -93,16 +94,17 @@ def exact_quantiles(
 
 
 def _order_statistics(
-    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int]
+    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], known: dict[str, tuple[float, float]]
 ) -> dict[str, dict[int, float]]:
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
     v = {c: ref(c).cast("double") for c in ranks}
-    finite = {c: F.when(F.abs(v[c]) < float("inf"), v[c]) for c in ranks}
-    ends = measure(df, {(c, name): f(finite[c]) for c in ranks for name, f in (("lo", F.min), ("hi", F.max))})
-    ranges = [
-        _Range(c, ends[c, "lo"] or 0.0, ends[c, "hi"] or 0.0, 0, counts[c], set(ranks[c]), whole=True)
-        for c in ranks
-    ]
+    ends = {c: known[c] for c in ranks if c in known and all(math.isfinite(x) for x in known[c])}
+    unknown = [c for c in ranks if c not in ends]
+    if unknown:
+        finite = {c: F.when(F.abs(v[c]) < float("inf"), v[c]) for c in unknown}
+        got = measure(df, {(c, i): f(finite[c]) for c in unknown for i, f in enumerate((F.min, F.max))})
+        ends.update({c: (got[c, 0] or 0.0, got[c, 1] or 0.0) for c in unknown})
+    ranges = [_Range(c, *ends[c], 0, counts[c], set(ranks[c]), whole=True) for c in ranks]
     for r in ranges:
         if r.lo == r.hi:  # one finite value, or none: any positive width keeps the bins apart
             r.hi = math.nextafter(r.lo, math.inf)

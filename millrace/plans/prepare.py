@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import POSITION, columns_of, data_columns, normalise, ref
+from ..functions.columns import data_columns, normalise, ref
 from ..operators.charts import chart_data
 from ..operators.encode import mapping_table
 from ..operators.facts import Facts

@@ -43,7 +43,7 @@ def clean(df: DataFrame, settings: Settings | None = None, facts: Facts | None =
     unique, _, report["duplicates_removed"] = drop_duplicates_counted(df)
     facts = facts.derive(unique) if facts and not report["duplicates_removed"] else Facts(unique)
 
-    typed, made = infer_types(unique)
+    typed, made = infer_types(unique, facts=facts)
     facts = facts.derive(typed, changed=made)
 
     gone = high_missing_columns(facts, s.missing_threshold)
