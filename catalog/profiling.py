@@ -159,6 +159,13 @@ def _top_sql(table_name: str, columns: list[str], k: int) -> str:
     return f"""SELECT "column", value, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value))::INT AS rank FROM ({counts})) WHERE rank <= {k}"""
 
 
+@query("p9_top5_long_texts", _top_sql("documents", ["text"], 5))
+def p9_long(spark, sf):
+    known = Facts(table(spark, sf, "documents").select("text")).levels(["text"], 5)["text"]
+    rows = [("text", v, n, i) for i, (v, n) in enumerate(known.top[:5], 1)]
+    return spark.createDataFrame(rows, "column string, value string, n bigint, rank int")
+
+
 @query("p9_top5", _top_sql("documents", ["lang", "source", "text"], 5))
 def p9(spark, sf):
     return top_values(table(spark, sf, "documents"), ["lang", "source", "text"], 5)

@@ -16,6 +16,10 @@ _SKETCH_LG_K = 16
 # 16 bits give a relative standard error of about 0.0041; six of them decide safely.
 _SKETCH_MARGIN = 6 * 0.0041
 _SKETCH_GROUPS = 256
+# Texts longer than this on average are counted by digest, so a shuffle carries 32 bytes per text.
+LONG_TEXT_BYTES = 128
+# Up to this many digests are broadcast to fetch their texts.
+BROADCAST_DIGESTS = 100_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], dtype: str = "string") -> DataFrame:
@@ -105,6 +109,54 @@ def levels(df: DataFrame, columns: Sequence[str], k: int = 15) -> dict[str, Leve
     }
 
 
+def long_text_levels(df: DataFrame, column: str, k: int = 15, broadcast_digests: int = BROADCAST_DIGESTS) -> Levels:
+    """``levels`` of one column of long texts, which are never shuffled as such.
+
+    Texts are counted by their 128-bit digest; only those that can be among the
+    top k are fetched, and equal counts are still ordered by the text itself.
+    """
+    text = ref(column)
+    digested = df.where(text.isNotNull()).select(F.md5(text).alias("digest"), text.alias("value"))
+    counts = digested.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("value")).alias("bytes")
+    )
+    # Both branches read the same aggregated exchange; at most k + 1 rows are collected.
+    sizes = counts.agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("b"), F.sum("bytes").alias("c")).select(
+        F.lit("sizes").alias("what"), "a", "b", "c"
+    )
+    largest = counts.groupBy("n").agg(F.count(F.lit(1)).alias("digests")).orderBy(F.desc("n")).limit(k)
+    rows = sizes.unionByName(
+        largest.select(F.lit("n").alias("what"), F.col("n").alias("a"), F.col("digests").alias("b"), F.lit(0).cast("bigint").alias("c"))
+    ).collect()
+    n_unique, n_rows, n_bytes = next((r["a"], r["b"] or 0, r["c"] or 0) for r in rows if r["what"] == "sizes")
+
+    above = ties = 0  # texts more frequent than the last place, and as frequent as it
+    last = None
+    for n, digests in sorted(((r["a"], r["b"]) for r in rows if r["what"] == "n"), reverse=True):
+        above, ties, last = above + ties, digests, n
+        if above + ties >= k:
+            break
+
+    def fetch(wanted: DataFrame):
+        found = digested.join(F.broadcast(wanted), "digest").select("value", "n").distinct()
+        return [(r["value"], r["n"]) for r in found.orderBy(F.desc("n"), "value").limit(k).collect()]
+
+    if last is None:
+        top = []
+    elif above + ties <= broadcast_digests:
+        top = fetch(counts.where(F.col("n") >= last).select("digest", "n"))
+    elif last == 1:
+        # The places left go to the smallest of the texts that occur once.
+        frequent = counts.where(F.col("n") > 1).select("digest", "n")
+        single = digested.join(F.broadcast(frequent), "digest", "left_anti") if above else digested
+        head = fetch(frequent) if above else []
+        top = head + [(r["value"], 1) for r in single.select("value").orderBy("value").limit(k - above).collect()]
+    else:
+        ranked = top_of_counts(value_counts(df, [column]), k).orderBy("rank").collect()
+        top = [(r["value"], r["n"]) for r in ranked]
+    return Levels(n_unique, n_rows, n_bytes, tuple(top), k)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Exact non-null distinct counts, all columns in one job."""
     return measure(df, {c: F.count_distinct(ref(c)) for c in columns})

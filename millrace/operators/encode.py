@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import columns_of, free_name, ref, replace_columns
 from ..workspace import materialise
-from .counts import Levels, value_counts
+from .counts import LONG_TEXT_BYTES, value_counts
 from .facts import Facts
 from .ordered import dense_codes
 
@@ -122,10 +122,15 @@ def lookup(df: DataFrame, column: str, key: Column, mapping: DataFrame, n_rows:
     of the hot entries alone (at most _HOT_SHARE of them), so no key floods a task.
     """
     key_name, code_name = free_name("__lookup_key", df.columns), free_name("__lookup_code", df.columns)
-    left = df.withColumn(key_name, key)
+    # Long texts meet by digest: neither a broadcast nor a shuffle carries the texts.
+    digest = F.md5 if n_bytes > LONG_TEXT_BYTES * n_unique else lambda c: c
+    left = df.withColumn(key_name, digest(key))
 
     def entries(part: DataFrame) -> DataFrame:
-        return part.select(F.col("value").alias("__lookup_value"), F.col("code").alias(code_name))
+        return part.select(digest(F.col("value")).alias("__lookup_value"), F.col("code").alias(code_name))
+
+    if digest is F.md5:
+        n_bytes = 32 * n_unique
 
     def finish(joined: DataFrame) -> DataFrame:
         return joined.select(*[ref(code_name).alias(c) if c == column else ref(c) for c in df.columns])

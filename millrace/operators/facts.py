@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import columns_of, ref, roles
 from .correlate import centred_sums, pearson
-from .counts import Levels, distinct_share_reaches, levels
+from .counts import LONG_TEXT_BYTES, Levels, distinct_share_reaches, levels, long_text_levels
 from .measure import measure
 from .quantiles import exact_quantiles
 
@@ -31,6 +31,7 @@ class Scan:
     lo: Any = None
     hi: Any = None
     binary: bool = False
+    bytes: int = 0
     hours: tuple[int | None, int | None] = (None, None)
 
 
@@ -77,6 +78,8 @@ class Facts:
                     exprs[c, "mean"] = F.avg(v.cast("double"))
                     exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
                     exprs[c, "binary"] = F.coalesce(F.bool_and(v.isin(0, 1)), F.lit(True))
+                elif self.roles[c] == "categorical":
+                    exprs[c, "bytes"] = F.sum(F.octet_length(v))
                 elif self.roles[c] == "temporal":
                     exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
                     exprs[c, "hour_lo"], exprs[c, "hour_hi"] = F.min(F.hour(v)), F.max(F.hour(v))
@@ -87,6 +90,7 @@ class Facts:
                 self._scan[c] = Scan(
                     present=got[c, "present"],
                     binary=bool(got.get((c, "binary"), False)),
+                    bytes=got.get((c, "bytes")) or 0,
                     hours=(got.get((c, "hour_lo")), got.get((c, "hour_hi"))),
                     **fields,
                 )
@@ -184,7 +188,10 @@ class Facts:
     def levels(self, columns: Sequence[str], k: int = 15) -> dict[str, Levels]:
         todo = [c for c in columns if c not in self._levels or (self._levels[c].k < k and not self._levels[c].complete)]
         if todo:
-            self._levels.update(levels(self.df, todo, k))
+            scan = self.scan()
+            long = [c for c in todo if scan[c].bytes > LONG_TEXT_BYTES * scan[c].present]
+            self._levels.update(levels(self.df, [c for c in todo if c not in long], k))
+            self._levels.update({c: long_text_levels(self.df, c, k) for c in long})
         return {c: self._levels[c] for c in columns}
 
     def pearson(self, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:

@@ -22,23 +22,31 @@ MAX_RANGES = 4096
 SAMPLED_KEYS_PER_RANGE = 20
 
 
-def literal(value, dtype: T.DataType) -> Column:
-    """Literal of exactly ``dtype`` (structs field by field)."""
+def sql_literal(value, dtype: T.DataType) -> str:
+    """SQL text of ``value`` as a literal of ``dtype``; long literal arrays parse faster than they build."""
     if isinstance(dtype, T.StructType):
-        if value is None:
-            return F.lit(None).cast(dtype)
-        return F.struct(*[literal(v, f.dataType).alias(f.name) for v, f in zip(value, dtype.fields)])
-    if isinstance(dtype, T.TimestampNTZType) and isinstance(value, datetime.datetime):
+        fields = zip(dtype.fields, value)
+        return "named_struct(" + ", ".join(f"'{f.name}', {sql_literal(v, f.dataType)}" for f, v in fields) + ")"
+    kind = dtype.simpleString()
+    if value is None:
+        return f"cast(null as {kind})"
+    if isinstance(value, datetime.datetime):
         value = value.isoformat(sep=" ")
-    return F.lit(value).cast(dtype)
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"cast('{text}' as {kind})"
 
 
 def order_key(df: DataFrame, order_by: Sequence[str]) -> Column:
     """Sort key of a row; a row hash separates equal keys, so a hot key spreads over several ranges."""
-    parts = [ref(c).alias(f"k{i}") for i, c in enumerate(order_by)]
+    parts = []
+    for c in order_by:
+        inner = [ref(c)]
+        if c == POSITION:
+            inner = [ref(c)[f.name] for f in df.schema[c].dataType.fields]
+        parts += inner
     if list(order_by) != [POSITION]:
-        parts.append(F.xxhash64(*[ref(c) for c in data_columns(df)]).alias("tie"))
-    return F.struct(*parts)
+        parts.append(F.xxhash64(*[ref(c) for c in data_columns(df)]))
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
 def with_ranges(df: DataFrame, key: Column, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, str, str]:
@@ -46,9 +54,15 @@ def with_ranges(df: DataFrame, key: Column, rows: int, rows_per_range: int = ROW
     key_name, range_name = free_name("__key", df.columns), free_name("__range", df.columns)
     keyed = df.withColumn(key_name, key)
     n = max(1, min(MAX_RANGES, math.ceil(rows / rows_per_range)))
-    cuts = _cut_points(keyed.select(key_name), n, rows) if n > 1 else []
+    if n == 1:
+        return keyed.withColumn(range_name, F.lit(0)), key_name, range_name
+    cuts = _cut_points(keyed.select(key_name), n, rows)
     dtype = keyed.schema[key_name].dataType
-    return keyed.withColumn(range_name, _range_number(ref(key_name), cuts, dtype)), key_name, range_name
+    # The first key field alone places a row, unless some value of it is hot enough to be cut twice.
+    leading = [c[0] for c in cuts]
+    if None not in leading and len(set(leading)) == len(leading):
+        return _number_ranges(keyed, ref(key_name)["k0"], leading, dtype.fields[0].dataType, range_name), key_name, range_name
+    return _number_ranges(keyed, ref(key_name), cuts, dtype, range_name), key_name, range_name
 
 
 def _cut_points(keys: DataFrame, n: int, rows: int) -> list:
@@ -60,22 +74,32 @@ def _cut_points(keys: DataFrame, n: int, rows: int) -> list:
     return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
 
 
-def _range_number(key: Column, cuts: list, dtype: T.DataType) -> Column:
-    """Number of cut points at or below the key, found in three narrowing steps."""
+def _number_ranges(df: DataFrame, key: Column, cuts: list, dtype: T.DataType, name: str) -> DataFrame:
+    """Range number = number of cut points at or below the key, found in three narrowing steps.
+
+    Each step is a projection of its own, so none is evaluated twice.
+    """
     if not cuts:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     s = math.ceil(len(cuts) ** (1 / 3))
 
     def points(values) -> Column:
-        return F.array(*[literal(v, dtype) for v in values])
+        return F.expr("array(" + ", ".join(sql_literal(v, dtype) for v in values) + ")")
 
     def reached(candidates: Column) -> Column:
         return F.size(F.filter(candidates, lambda cut: cut <= key))
 
-    coarse = reached(points(cuts[:: s * s]))
-    middle = (coarse - 1) * s + reached(F.slice(points(cuts[::s]), (coarse - 1) * s + 1, F.lit(s)))
-    fine = (middle - 1) * s + reached(F.slice(points(cuts), (middle - 1) * s + 1, F.lit(s)))
-    return F.when(coarse == 0, F.lit(0)).otherwise(fine)
+    def narrowed(at: Column, values) -> Column:
+        start = (at - 1) * s
+        return F.when(at == 0, F.lit(0)).otherwise(start + reached(F.slice(points(values), start + 1, F.lit(s))))
+
+    coarse, middle = free_name("__coarse", df.columns), free_name("__middle", df.columns)
+    return (
+        df.withColumn(coarse, reached(points(cuts[:: s * s])))
+        .withColumn(middle, narrowed(F.col(coarse), cuts[::s]))
+        .withColumn(name, narrowed(F.col(middle), cuts))
+        .drop(coarse, middle)
+    )
 
 
 def ordered_fill(

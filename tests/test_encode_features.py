@@ -59,13 +59,13 @@ def test_dense_codes_across_ranges(spark, rows_per_range):
     assert got == {f"{i:03d}": i for i in range(500)}
 
 
-@pytest.mark.parametrize("n_bytes", [10, 1 << 50])
-def test_lookup_forms_agree(spark, n_bytes):
+@pytest.mark.parametrize("n_bytes,n_unique", [(10, 401), (10**9, 401), (1 << 50, 1 << 44)])
+def test_lookup_forms_agree(spark, n_bytes, n_unique):
     # One value holds half of all rows; some are missing, some unknown to the mapping.
     words = ["hot"] * 500 + [f"w{i}" for i in range(400)] + [None] * 50 + ["new"] * 5
     df = frame(spark, list(enumerate(words)), "k int, c string")
     mapping = value_counts(df.where("c <> 'new'"), ["c"]).select("value", "n", (F.col("n") * 2).alias("code"))
-    out = enc.lookup(df, "c", F.col("c"), mapping, len(words), 401, n_bytes)
+    out = enc.lookup(df, "c", F.col("c"), mapping, len(words), n_unique, n_bytes)
     want = {w: words.count(w) * 2 for w in set(words) if w not in (None, "new")}
     assert {r["k"]: r["c"] for r in out.collect()} == {k: want.get(w) for k, w in enumerate(words)}
     assert out.columns == df.columns

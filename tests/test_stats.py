@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import Facts, chart_data, profile
 from millrace.operators import charts, correlate
-from millrace.operators.counts import distinct_share_reaches, levels, sketched_distinct
+from millrace.operators.counts import distinct_share_reaches, levels, long_text_levels, sketched_distinct
 from millrace.operators.quantiles import exact_quantiles
 
 TS = datetime.datetime
@@ -108,6 +108,20 @@ def test_levels_ties_sizes_and_bounds(spark):
     assert got["y"].n_unique == 0 and got["y"].complete
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("repeats", [(1,), (1, 1, 1, 2, 5), (2,), (3, 2, 1)])
+def test_long_texts_rank_like_short_ones(spark, repeats, limit):
+    words = [(f"{i * 37 % 101:03d}" + "long text " * 30,) for i in range(101) for _ in range(repeats[i % len(repeats)])] + [(None,)]
+    df = spark.createDataFrame(words, "x string").repartition(5)
+    assert long_text_levels(df, "x", 15, limit) == levels(df, ["x"], 15)["x"]
+    assert Facts(df).levels(["x"])["x"] == levels(df, ["x"], 15)["x"]
+
+
+def test_long_text_levels_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "x string")
+    assert long_text_levels(df, "x") == levels(df, ["x"])["x"]
+
+
 def test_distinct_decisions_by_sketch_agree(spark):
     df = spark.range(20_000).select(
         F.col("id").alias("unique"), (F.col("id") % 18_500).alias("below"), (F.col("id") % 19_100).alias("close"),
