@@ -15,7 +15,7 @@ DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_TEXT = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 BOOLEAN_TEXT = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
-# English month names and their three-letter forms.
+# English month names; the first three letters are their short forms.
 MONTHS = [
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
@@ -27,9 +27,12 @@ _ISO_ZONED = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|
 _YEAR_FIRST = r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _CLOCK
 _YEAR_LAST = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK
 _COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})" + _CLOCK
-_DAY_NAME = r"^\s*(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -]+(\d{4})" + _CLOCK
-_NAME_DAY = r"^\s*([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})" + _CLOCK
+_NAME = "(" + "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
+_DAY_NAME = r"(?i)^\s*(\d{1,2})[ -]" + _NAME + r"\.?,?[ -]+(\d{4})" + _CLOCK
+_NAME_DAY = r"(?i)^\s*" + _NAME + r"\.? +(\d{1,2}),? +(\d{4})" + _CLOCK
 _HALF_DAY = r"(?i)^\s*(\d{1,2}/\d{1,2}/\d{4}) +(\d{1,2}:\d{2}(?::\d{2})?) *([AP]M)\s*$"
+# Longer texts are not tried: no accepted format is this long.
+_LONGEST_TIMESTAMP = 64
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -52,20 +55,6 @@ def to_boolean(c: Column) -> Column:
     return F.when(c.isin(BOOLEAN_TEXT), F.lower(c) == "true")
 
 
-def _iso_cast(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.when(clock != "", F.concat(F.lit(" "), clock)).otherwise(""))
-    return text.try_cast("timestamp_ntz")
-
-
-def _month_number(name: Column) -> Column:
-    entries = [x for i, m in enumerate(MONTHS, 1) for key in dict.fromkeys([m, m[:3]]) for x in (F.lit(key), F.lit(str(i)))]
-    return F.try_element_at(F.create_map(*entries), F.lower(name))
-
-
-# Longer texts are not tried: no accepted format is this long.
-_LONGEST_TIMESTAMP = 64
-
-
 def to_timestamp(c: Column) -> Column:
     """timestamp_ntz for the formats listed above; month first where both readings are valid.
 
@@ -73,43 +62,41 @@ def to_timestamp(c: Column) -> Column:
     a bare number are rejected, as their date would depend on the day of the run.
     """
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(c, pattern, i)
+    def reordered(pattern: str, order: str) -> Column:
+        return F.trim(F.regexp_replace(c, pattern, order))
 
-    zoned = F.convert_timezone(
+    def cast(text: Column) -> Column:
+        return text.try_cast("timestamp_ntz")
+
+    in_utc = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), F.trim(c).try_cast("timestamp").cast("timestamp_ntz")
     )
-    month_first = _iso_cast(part(_YEAR_LAST, 3), part(_YEAR_LAST, 1), part(_YEAR_LAST, 2), part(_YEAR_LAST, 4))
-    day_first = _iso_cast(part(_YEAR_LAST, 3), part(_YEAR_LAST, 2), part(_YEAR_LAST, 1), part(_YEAR_LAST, 4))
-    half_day = F.concat_ws(" ", part(_HALF_DAY, 1), part(_HALF_DAY, 2), F.upper(part(_HALF_DAY, 3)))
+    # "name year-#-day clock", then # gives way to the number of the named month.
+    named = F.when(c.rlike(_DAY_NAME), reordered(_DAY_NAME, "$2 $3-#-$1 $4")).otherwise(
+        reordered(_NAME_DAY, "$1 $3-#-$2 $4")
+    )
+    short_names = F.lit("".join(m[:3] for m in MONTHS))
+    month = ((F.position(F.lower(F.substring(named, 1, 3)), short_names) + 2) / 3).cast("int").cast("string")
+    half_day = F.upper(reordered(_HALF_DAY, "$1 $2 $3"))
     return (
         F.when(F.length(F.trim(c)) > _LONGEST_TIMESTAMP, F.lit(None).cast("timestamp_ntz"))
-        .when(c.rlike(_ISO), F.trim(c).try_cast("timestamp_ntz"))
-        .when(c.rlike(_ISO_ZONED), zoned)
-        .when(c.rlike(_YEAR_LAST), F.coalesce(month_first, day_first))
-        .when(
-            c.rlike(_YEAR_FIRST),
-            _iso_cast(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3), part(_YEAR_FIRST, 4)),
-        )
-        .when(
-            c.rlike(_COMPACT),
-            _iso_cast(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3), part(_COMPACT, 4)),
-        )
+        .when(c.rlike(_ISO), cast(F.trim(c)))
+        .when(c.rlike(_ISO_ZONED), in_utc)
         .when(
-            c.rlike(_DAY_NAME),
-            _iso_cast(part(_DAY_NAME, 3), _month_number(part(_DAY_NAME, 2)), part(_DAY_NAME, 1), part(_DAY_NAME, 4)),
+            c.rlike(_YEAR_LAST),
+            F.coalesce(cast(reordered(_YEAR_LAST, "$3-$1-$2 $4")), cast(reordered(_YEAR_LAST, "$3-$2-$1 $4"))),
         )
+        .when(c.rlike(_YEAR_FIRST), cast(reordered(_YEAR_FIRST, "$1-$2-$3 $4")))
+        .when(c.rlike(_COMPACT), cast(reordered(_COMPACT, "$1-$2-$3 $4")))
         .when(
-            c.rlike(_NAME_DAY),
-            _iso_cast(part(_NAME_DAY, 3), _month_number(part(_NAME_DAY, 1)), part(_NAME_DAY, 2), part(_NAME_DAY, 4)),
+            c.rlike(_DAY_NAME) | c.rlike(_NAME_DAY),
+            cast(F.replace(F.regexp_replace(named, "^[A-Za-z]+ ", ""), F.lit("#"), month)),
         )
         .when(
             c.rlike(_HALF_DAY),
             F.coalesce(
-                F.try_to_timestamp(half_day, F.lit("M/d/yyyy h:mm a")),
-                F.try_to_timestamp(half_day, F.lit("M/d/yyyy h:mm:ss a")),
-                F.try_to_timestamp(half_day, F.lit("d/M/yyyy h:mm a")),
-                F.try_to_timestamp(half_day, F.lit("d/M/yyyy h:mm:ss a")),
+                F.try_to_timestamp(half_day, F.lit("M/d/yyyy h:mm[:ss] a")),
+                F.try_to_timestamp(half_day, F.lit("d/M/yyyy h:mm[:ss] a")),
             ).cast("timestamp_ntz"),
         )
     )
