@@ -130,8 +130,8 @@ def k2(spark, sf):
 
 @query(
     "k3_summary",
-    """SELECT c AS "column", round_even(min(v), 3) AS min, round_even(avg(v), 3) AS mean, round_even(quantile_cont(v, 0.5), 3) AS median,
-              round_even(max(v), 3) AS max, round_even(stddev_samp(v), 3) AS std, round_even(skewness(v), 3) AS skewness, round_even(kurtosis(v), 3) AS kurtosis
+    """SELECT c AS "column", round_even(min(v), 3) + 0.0 AS min, round_even(avg(v), 3) + 0.0 AS mean, round_even(quantile_cont(v, 0.5), 3) + 0.0 AS median,
+              round_even(max(v), 3) + 0.0 AS max, round_even(stddev_samp(v), 3) + 0.0 AS std, round_even(skewness(v), 3) + 0.0 AS skewness, round_even(kurtosis(v), 3) + 0.0 AS kurtosis
        FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_discount', 'l_tax']) AS c,
                     unnest([l_orderkey::DOUBLE, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax]) AS v FROM lineitem)
        GROUP BY c""",

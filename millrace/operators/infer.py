@@ -49,6 +49,10 @@ def _parse_counts_of_levels(df: DataFrame, known: dict[str, Levels]) -> dict[str
     return {c: out.get(c, {"number": 0, "integer": 0, "timestamp": 0}) for c in known}
 
 
+def _may_parse(text: str) -> bool:
+    return "inf" in text.lower() or any(ch.isdecimal() for ch in text)
+
+
 def infer_types(
     df: DataFrame,
     share: float = SHARE_NEEDED,
@@ -64,7 +68,11 @@ def infer_types(
     if not columns:
         return df, {}
     known = {c: v for c, v in facts.known_levels().items() if c in columns and v.complete} if facts else {}
-    counts = _parse_counts_of_levels(df, known) if known else {}
+    # A column without a digit in any of its values can hold infinities, but no other number and no date.
+    candidates = {c: v for c, v in known.items() if any(_may_parse(text) for text, _ in v.top)}
+    counts = {c: {"number": 0, "integer": 0, "timestamp": 0} for c in known}
+    if candidates:
+        counts.update(_parse_counts_of_levels(df, candidates))
     scanned = [c for c in columns if c not in known]
     if scanned:
         rows, more = parse_counts(df, scanned)

@@ -11,7 +11,7 @@ from ..functions.columns import data_columns, normalise, ref
 from ..operators.charts import chart_data
 from ..operators.encode import mapping_table
 from ..operators.facts import Facts
-from ..operators.profile import profile
+from ..operators.profile import QUARTILES, profile
 from ..sources.readers import detect_format, load
 from ..sources.writers import save_report, save_table
 from ..workspace import materialise
@@ -45,6 +45,9 @@ def prepare(
         raw = _load_for_run(spark, source, s, load_options or {})
 
     raw_facts = Facts(raw)
+    if s.outlier_method == "iqr" and s.outlier_action != "none":
+        # Bounds need the quartiles of every numeric column, the profile those of most: one search for both.
+        raw_facts.quantiles(raw_facts.columns("numeric"), QUARTILES)
     raw_profile = profile(raw, raw_facts)
     cleaned = clean(raw, s, raw_facts)
     cleaned_profile = profile(cleaned.df, cleaned.facts)
