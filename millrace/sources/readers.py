@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import posixpath
 from collections.abc import Sequence
@@ -17,7 +18,14 @@ from ..operators.infer import infer_scan_types
 EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 FALLBACK_ENCODING = "ISO-8859-1"
+# Python's name of an encoding -> the name Spark's readers take.
+ENCODINGS = {
+    "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8",
+    "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-32": "UTF-32",
+}
 _OVERFLOW = "__overflow"
+# Lines looked at for the form of a JSON file and the order of its fields.
+_HEAD_LINES = 500
 _REPLACEMENT = "�"
 
 
@@ -64,6 +72,30 @@ def detect_format(path: str) -> str:
     return EXTENSIONS[extension]
 
 
+def spark_encoding(name: str) -> str:
+    """Spark's name for ``name``; Windows-1252 is read as Latin-1 and its own characters are put right after."""
+    try:
+        known = codecs.lookup(name).name
+    except LookupError:
+        raise ValueError(f"unknown encoding {name!r}") from None
+    if known == "cp1252":
+        return FALLBACK_ENCODING
+    if known not in ENCODINGS:
+        raise ValueError(f"unsupported encoding {name!r}; supported: {sorted([*ENCODINGS, 'cp1252'])}")
+    return ENCODINGS[known]
+
+
+def _windows_characters() -> dict[str, str]:
+    """Latin-1 reading -> Windows-1252 reading, where the two differ."""
+    out = {}
+    for code in range(0x80, 0xA0):
+        try:
+            out[chr(code)] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
     return df.select(*[ref(c) for c in data_columns(df)]).limit(n)
 
@@ -113,7 +145,7 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
         }
 
     df, found = typed(encoding)
-    if found["undecoded"] and encoding.lower().replace("-", "") == "utf8" and _has_invalid_utf8(spark, path):
+    if found["undecoded"] and spark_encoding(encoding) == "UTF-8" and _has_invalid_utf8(spark, path):
         df, found = typed(FALLBACK_ENCODING)
     if found["long"] and long_rows == "error":
         raise ValueError(f"{found['long']} row(s) of {path} have more fields than the header; pass long_rows='truncate' to cut them")
@@ -121,7 +153,7 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
 
 
 def _reader(spark, options, encoding):
-    defaults = {"escape": '"', "encoding": encoding, "mode": "PERMISSIVE"}
+    defaults = {"escape": '"', "encoding": spark_encoding(encoding), "mode": "PERMISSIVE"}
     return spark.read.options(**{**defaults, **options})
 
 
@@ -130,9 +162,12 @@ def _scan_text(spark, path, options, encoding, keep_position) -> DataFrame:
     first = _reader(spark, {**options, "header": False}, encoding).csv(path).first()
     if first is None:
         raise ValueError(f"{path} is empty: no header row")
-    names = header_names(list(first))
+    windows = _windows_characters() if codecs.lookup(encoding).name == "cp1252" else {}
+    names = header_names([n and n.translate(str.maketrans(windows)) for n in first])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
     df = _reader(spark, {**options, "header": True}, encoding).schema(schema).csv(path)
+    if windows:
+        df = df.select(*[F.translate(ref(c), "".join(windows), "".join(windows.values())).alias(c) for c in df.columns])
     return _with_position(df, None) if keep_position else df
 
 
@@ -160,12 +195,12 @@ def _has_invalid_utf8(spark: SparkSession, path: str) -> bool:
 
 
 def _read_json(spark, path, encoding, lines, options) -> DataFrame:
-    head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").take(1)]
+    head = "\n".join(r["value"] for r in spark.read.text(path).where(F.trim("value") != "").take(_HEAD_LINES))
     if lines is None:
-        lines = not (head and head[0].lstrip().startswith("["))
-    df = spark.read.options(**{"encoding": encoding, "multiLine": not lines, **options}).json(path)
-    # Spark sorts the inferred fields; keep the order of the first record where it is on the first line.
-    first = _first_keys(head[0]) if head else []
+        lines = not head.lstrip().startswith("[")
+    df = spark.read.options(**{"encoding": spark_encoding(encoding), "multiLine": not lines, **options}).json(path)
+    # Spark sorts the inferred fields; the first record gives the order of the columns (of nothing else).
+    first = _first_keys(head)
     named = [c for c in first if c in df.columns]
     return df.select(*[ref(c) for c in [*named, *(c for c in df.columns if c not in named)]])
 

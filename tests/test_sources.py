@@ -79,12 +79,22 @@ def test_latin1_fallback_and_valid_utf8(spark, tmp_path):
     assert load(spark, write(tmp_path / "r.csv", "name\n�\n")).first()["name"] == "�"
 
 
+def test_named_encodings(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "preis €,n\n“10 €”,1\n", "cp1252")
+    df = load(spark, path, encoding="windows-1252")
+    assert df.columns == ["preis €", "n"] and df.first()[0] == "“10 €”"
+    assert load(spark, write(tmp_path / "l.csv", "é\nü\n", "latin-1"), encoding="latin-1").first()["é"] == "ü"
+    for bad in ("no-such-code", "cp037"):
+        with pytest.raises(ValueError, match="encoding"):
+            load(spark, path, encoding=bad)
+
+
 def test_json_forms_keep_field_order(spark, tmp_path):
     records = [{"z": 1, "a": "x", "n": {"k": [1, 2]}}, {"z": 2, "a": None, "n": None}]
     array = write(tmp_path / "a.json", json.dumps(records))
     lines = write(tmp_path / "l.json", "\n".join(json.dumps(r) for r in records))
     pretty = write(tmp_path / "p.json", json.dumps(records, indent=2))
-    for path in (array, lines):
+    for path in (array, lines, pretty):
         df = load(spark, path)
         assert df.columns == ["z", "a", "n"]
         assert df.orderBy("z").first()["n"] == '{"k":[1,2]}'
