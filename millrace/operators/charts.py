@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import columns_of, ref
+from ..functions.columns import columns_of, normalise, ref
 from ..functions.dates import from_micros, micros
 from .counts import top_values
 from .facts import Facts
@@ -122,6 +122,7 @@ def correlation_table(facts: Facts, columns: Sequence[str] | None = None) -> Dat
 
 def chart_data(df: DataFrame, facts: Facts | None = None, max_points: int = 2000) -> dict[str, DataFrame]:
     """Chart name -> DataFrame, for every chart the table gives rise to."""
+    df = df if facts else normalise(df)
     facts = facts or Facts(df)
     charts: dict[str, DataFrame] = {}
     nulls = {c: n for c, n in facts.nulls().items() if n}

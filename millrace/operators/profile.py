@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.columns import normalise
 from ..functions.dates import is_date_part
 from .facts import Facts
 
@@ -77,6 +78,7 @@ def temporal(facts: Facts) -> dict[str, dict]:
 
 def profile(df: DataFrame, facts: Facts | None = None, hide_date_parts: bool = True) -> dict:
     """Shape, types, missing values and per-role summaries as a nested dict of size O(columns)."""
+    df = df if facts else normalise(df)
     facts = facts or Facts(df)
     return {
         "shape": {"rows": facts.rows, "cols": len(facts.roles)},

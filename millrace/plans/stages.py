@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import ref
+from ..functions.columns import normalise, ref
 from ..operators.dedupe import drop_duplicates_counted
 from ..operators.encode import Mapping, encode_columns
 from ..operators.facts import Facts
@@ -39,6 +39,7 @@ def clean(df: DataFrame, settings: Settings | None = None, facts: Facts | None =
     s = _settings(settings, changes)
     if s.missing_strategy not in STRATEGIES:
         raise ValueError(f"unknown missing strategy {s.missing_strategy!r}; one of {STRATEGIES}")
+    df = df if facts else normalise(df)
     report: dict = {}
     unique, _, report["duplicates_removed"] = drop_duplicates_counted(df)
     facts = facts.derive(unique) if facts and not report["duplicates_removed"] else Facts(unique)
@@ -79,6 +80,7 @@ def encode(df: DataFrame, settings: Settings | None = None, facts: Facts | None
 def engineer(df: DataFrame, settings: Settings | None = None, facts: Facts | None = None, **changes) -> Stage:
     """Date features, then identifier-like, low-variance and correlated columns, each on what is left."""
     s = _settings(settings, changes)
+    df = df if facts else normalise(df)
     facts = facts or Facts(df)
     report: dict = {}
     if s.extract_date_features:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import Facts, clean
+from millrace import Facts, clean, profile
 from millrace.operators import missing, outliers
 from millrace.operators.dedupe import drop_duplicates_counted
 from millrace.operators.infer import infer_types
@@ -229,6 +229,16 @@ def test_clean_report_and_order(spark):
     assert "outliers_handled" not in clean(frame(spark, rows, "n string, s string, sparse int, v double"), outlier_method="none").report
 
 
+def test_nan_and_decimals_in_a_plain_frame(spark):
+    nan = float("nan")
+    df = frame(spark, [(1.0, 1), (nan, 2), (nan, 2), (3.0, 3), (5.0, 4)], "v double, k int")
+    df = df.withColumn("d", F.col("k").cast("decimal(10,2)"))
+    stage = clean(df)
+    assert stage.report["duplicates_removed"] == 1 and stage.report["missing_values_filled"] == {"v": 1}
+    assert values(stage.df, "v") == [1.0, 3.0, 3.0, 5.0] and dict(stage.df.dtypes)["d"] == "double"
+    assert profile(df)["missing"] == {"v": {"count": 2, "pct": 40.0}}
+
+
 def test_clean_empty_frame(spark):
     stage = clean(frame(spark, [], "a int, s string, t timestamp_ntz"))
     assert stage.df.count() == 0 and stage.report["duplicates_removed"] == 0
