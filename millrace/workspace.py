@@ -1,8 +1,8 @@
 """Scratch tables in the shared checkpoint folder.
 
-A stage that shuffles (duplicate removal, ordered fill, a very large lookup) is
-written out once, so later jobs re-read pruned parquet columns instead of
-repeating the shuffle, and a lost executor costs a re-read of files only.
+A stage that shuffles or parses text is written out once, so later jobs re-read
+pruned parquet columns instead of repeating the work, and a lost executor costs
+a re-read of files only.
 """
 
 from __future__ import annotations
@@ -12,13 +12,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the session names; a private one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder ``spark.checkpoint.dir`` names.
+
+    A private folder stands in only where driver and executors are one process
+    (a ``local`` master); elsewhere a machine-local folder would be invisible to
+    the other machines, so an unset folder is an error. The session is not changed.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="millrace-")
+        root = _LOCAL_ROOTS[app]
     return root.rstrip("/")
 
 
