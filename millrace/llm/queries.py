@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_stream
+from . import exact_stream, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ FROM t""",
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_stream.deduplicate(documents(spark, sf_dir)).drop("row")
+
+
+@query("op7_simhash")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("fp")
