@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import exact_stream, mixing, simhash
+from . import exact_stream, langid, mixing, packing, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,20 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op5_packing")
+def length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def fold(folds: int) -> Column:
+    """crc32 of the id as text, by ``folds``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+@query("op4_language")
+def language_by_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    return langid.identify(docs, langid.train(docs, ~F.col("held_out")), ["doc_id", "held_out"])
