@@ -92,6 +92,8 @@ def deduplicate(
 
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # the run ends with its input: a store's local files go as soon as its batch is committed
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint = scratch_path(spark, "state")
     stream = session.readStream.schema(rows.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(folder)
