@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import exact_stream, langid, mixing, packing, simhash
+from . import exact_stream, langid, mixing, packing, quality_gbt, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,11 @@ def language_by_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold(4) == 2, F.lit(False))
     docs = documents(spark, sf_dir).withColumn("held_out", held_out)
     return langid.identify(docs, langid.train(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
+@query("op10_quality")
+def quality_by_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    forest = quality_gbt.train(docs, labels, ~F.col("held_out"))
+    return quality_gbt.score(docs, forest, ["doc_id", "held_out"])
