@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import exact_stream, langid, mixing, packing, quality_gbt, simhash
+from . import exact_stream, langid, mixing, packing, quality_gbt, simhash, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,12 @@ def quality_by_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     forest = quality_gbt.train(docs, labels, ~F.col("held_out"))
     return quality_gbt.score(docs, forest, ["doc_id", "held_out"])
+
+
+@query("op2_toxicity")
+def toxicity_of_restored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.character_model(docs)
+    learned = toxicity.train(docs, labels, ~F.col("held_out"), model)
+    return toxicity.score(docs, model, learned, ["doc_id", "held_out"])
