@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import exact_stream, langid, mixing, packing, quality_gbt, simhash, toxicity
+from . import credentials, exact_stream, langid, mixing, packing, quality_gbt, simhash, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def toxicity_of_restored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.character_model(docs)
     learned = toxicity.train(docs, labels, ~F.col("held_out"), model)
     return toxicity.score(docs, model, learned, ["doc_id", "held_out"])
+
+
+@query("op8_secrets")
+def secrets_by_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(documents(spark, sf_dir))
