@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import credentials, exact_stream, langid, mixing, packing, quality_gbt, simhash, toxicity
+from . import credentials, exact_stream, langid, mixing, outliers, packing, quality_gbt, simhash, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def toxicity_of_restored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets")
 def secrets_by_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(documents(spark, sf_dir))
+
+
+@query("op6_outliers")
+def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(documents(spark, sf_dir))
