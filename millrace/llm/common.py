@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.workspace import materialise, scratch_path
 
-__all__ = ["SPACES", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "scratch_path", "skew_join", "words"]
+__all__ = ["Numbering", "SPACES", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "scratch_path", "skew_join", "words"]
 
 # The separators of words, as a regular expression and as characters.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -76,6 +77,22 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+class Numbering(dict):
+    """Numbers for keys in order of first sight; ``pending`` lists those not yet taken care of."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.pending.append(key)
+        return number
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 def bounded_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts (null: empty), about ``chars`` bytes each.
 

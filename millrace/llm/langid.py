@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_slices, words
+from .common import Numbering, bounded_slices, words
 
 UNDETERMINED = "und"
 PIECE = 48
@@ -203,37 +203,35 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbering()
         self.sums = np.zeros((0, len(self.net.langs)), np.float32)
         self.sizes = np.zeros(0, np.int64)
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self) -> None:
+        """Read the runs seen for the first time."""
+        runs = self.known.pending
         cut = [pieces_of(r) for r in runs]
         flat = [p for ps in cut for p in ps]
         owner = np.repeat(np.arange(len(runs)), [len(ps) for ps in cut])
         sums = np.zeros((len(runs), len(self.net.langs)), np.float32)
         np.add.at(sums, owner, piece_sums(self.net, flat))
         sizes = np.bincount(owner, [len(p) for p in flat], len(runs)).astype(np.int64)
-        start = len(self.known)
-        self.known.update(zip(runs, range(start, start + len(runs))))
         self.sums = np.concatenate([self.sums, sums])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.known.pending = []
 
     def read(self, texts: list[str]) -> np.ndarray:
         """Mean probabilities over positions (n, C); zeros where a text has no letter."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        found = [LETTERS.findall(t.lower()) for t in texts]
-        fresh = dict.fromkeys(r for runs in found for r in runs if r not in self.known)
-        if fresh:
-            self.learn(list(fresh))
+        found = [self.known.numbers(LETTERS.findall(t.lower())) for t in texts]
+        if self.known.pending:
+            self.learn()
         out = np.zeros((len(texts), len(self.net.langs)))
-        for row, runs in enumerate(found):
-            if runs:
-                at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
-                positions = self.sizes[at].sum()
-                if positions:
-                    out[row] = self.sums[at].sum(axis=0, dtype=np.float64) / positions
+        for row, at in enumerate(found):
+            positions = self.sizes[at].sum()
+            if positions:
+                out[row] = self.sums[at].sum(axis=0, dtype=np.float64) / positions
         return out
 
 

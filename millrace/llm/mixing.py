@@ -32,7 +32,7 @@ from .common import empty_like, materialise, n_words, skew_join
 
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2000
 SCHEMA = "doc_id long, size long, source_size long, target double, rate double, copies long, taken long"
 
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import credentials, exact_stream, langid, mixing, outliers, packing, quality_gbt, simhash, toxicity
+from . import (
+    credentials,
+    exact_stream,
+    grammar,
+    langid,
+    mixing,
+    outliers,
+    packing,
+    quality_gbt,
+    simhash,
+    toxicity,
+)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +99,10 @@ def secrets_by_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_outliers")
 def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
+
+
+@query("op3_token_grammar")
+def tokens_as_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return grammar.store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
