@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.workspace import materialise, scratch_path
 
-__all__ = ["Numbering", "SPACES", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "scratch_path", "skew_join", "words"]
+__all__ = ["Numbering", "SPACES", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "scratch_path", "skew_join", "text_slices", "words"]
 
 # The separators of words, as a regular expression and as characters.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -93,6 +93,21 @@ class Numbering(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
+def text_slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str]]:
+    """``texts`` (null: empty) in lists of about ``chars`` characters, one text at least."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if held and size + len(text) > chars:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def bounded_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts (null: empty), about ``chars`` bytes each.
 

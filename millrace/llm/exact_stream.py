@@ -142,7 +142,9 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     tags = decided.select(
         F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"
     )
-    dropped = materialise(tags.where(~F.col("kept")).select("__id", "__sha"), "dropped")
+    twice = tags.where("kept").groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = tags.where(~F.col("kept")).select("__id", "__sha").unionByName(twice.select("__id", "__sha"))
+    dropped = materialise(dropped, "dropped")
     own = docs.withColumns(
         {"__id": F.col("doc_id").cast("long"), "__sha": F.unhex(F.sha2(normalised(F.col("text")), 256))}
     )

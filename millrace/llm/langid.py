@@ -23,10 +23,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Numbering, bounded_slices, words
+from .common import Numbering, text_slices, words
 
 UNDETERMINED = "und"
 PIECE = 48
@@ -281,19 +281,33 @@ def train(docs: DataFrame, learnable: Column, *, docs_per_lang: int = DOCS_PER_L
     return fit(pieces, np.array(labels), langs) if pieces else None
 
 
+def reading(net: Network | None, text: Column) -> Column:
+    """A struct (lang, score) of the language of ``text``; only the text goes to Python."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        reader = Reader(net) if net is not None else None
+        for batch in batches:
+            langs, scores = [], []
+            for texts in text_slices(batch.tolist()):
+                probs = reader.read(texts) if reader else np.zeros((len(texts), 1))
+                best, top = probs.argmax(axis=1), np.minimum(probs.max(axis=1), 1.0)
+                langs += [net.langs[k] if net and s > 0 else UNDETERMINED for k, s in zip(best.tolist(), top.tolist())]
+                scores += top.tolist()
+            yield pd.DataFrame({"lang": langs, "score": scores})
+
+    # not to be evaluated again for a filter on its result
+    return F.pandas_udf(read, "lang string, score double").asNondeterministic()(text)
+
+
 def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, lang_pred and score."""
-    spark = docs.sparkSession
-    own = docs.select(*keep, F.col("text").alias("__text"))
-    out = spark.createDataFrame([], own.select(*keep).schema).schema.add("lang_pred", "string").add("score", "double")
+    read = docs.select(*keep, reading(net, F.col("text")).alias("__read"))
+    return read.select(*keep, F.col("__read.lang").alias("lang_pred"), F.col("__read.score").alias("score"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net is not None else None
-        for part, texts in bounded_slices(batches, "__text"):
-            probs = reader.read(texts) if reader else np.zeros((len(texts), 1))
-            best, score = probs.argmax(axis=1), probs.max(axis=1)
-            langs = [net.langs[k] if s > 0 else UNDETERMINED for k, s in zip(best.tolist(), score.tolist())] if net else [UNDETERMINED] * len(texts)
-            kept = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(np.minimum(score, 1.0))], [*keep, "lang_pred", "score"])
-
-    return own.mapInArrow(read, out)
+
+def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, a missing ``lang`` filled in; all if nothing was learned."""
+    if net is None:
+        return docs
+    read = docs.withColumn("__read", reading(net, F.col("text"))).where(F.col("__read.lang") != UNDETERMINED)
+    return read.withColumn("lang", F.coalesce("lang", "__read.lang")).drop("__read")

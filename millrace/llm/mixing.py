@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import empty_like, materialise, n_words, skew_join
+from .common import empty_like, mark_maybe, materialise, n_words, skew_join
 
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -211,3 +211,27 @@ def mix(
     out = skew_join(copied, facts.select("source_key", "source_size", "target", "rows"), "source_key", "rows", total)
     columns = ["doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")]
     return out.select(*columns, *([F.col("row").alias(row)] if row else []))
+
+
+def take_copies(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it.
+
+    Rows equal in id, source and text share what their kind takes. Rows that the mix
+    surely does not take are left behind before the shuffle.
+    """
+    key = {
+        "__id": F.col("doc_id").cast("long"),
+        "__tie": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
+    }
+    own = docs.withColumns(key)
+    mixed = mix(own.withColumn("__key", F.struct(*key)), row="__key", **settings)
+    taken = mixed.where("copies > 0").groupBy("__key").agg(F.sum("copies").alias("__copies"))
+    taken = materialise(taken.select("__key.*", "__copies"), "taken")
+    names = list(key)
+    marked = mark_maybe(own, taken.select(*names), names, "__maybe").where("__maybe").drop("__maybe")
+    rights = taken.withColumnsRenamed({n: f"{n}_taken" for n in names})
+    same = [marked[n].eqNullSafe(rights[f"{n}_taken"]) for n in names]
+    joined = marked.join(rights, same).dropDuplicates(names)
+    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return repeated.select(*docs.columns)

@@ -49,7 +49,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_simhash")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir)).drop("fp")
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 @query("op9_mixing")

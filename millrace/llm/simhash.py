@@ -22,11 +22,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_slices, empty_like, materialise, skew_join
+from .common import empty_like, materialise, skew_join, text_slices
+from .exact_stream import keep_rows, normalised
 
 SEED = 42
 SHINGLE = 3
@@ -66,16 +68,15 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in bounded_slices(batches):
-        marks = np.array([fingerprint(shingle_hashes(t)) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks)], ["doc_id", "fp"])
+def marking(text: Column) -> Column:
+    """The fingerprint of ``text`` as a signed long; only the text goes to Python."""
 
+    def mark(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            marks = [fingerprint(shingle_hashes(t)) for texts in text_slices(batch.tolist()) for t in texts]
+            yield pd.Series(np.array(marks, np.uint64).view(np.int64))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return F.pandas_udf(mark, "long")(text)
 
 
 # Bit-sliced comparison
@@ -333,24 +334,44 @@ def components(links: DataFrame, label: str = "stars") -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, fingerprint, component_id."""
-    spark = docs.sparkSession
-    rows = materialise(fingerprints(docs), "fingerprints")
+def _placed(docs: DataFrame, extra: dict[str, Column]) -> DataFrame | None:
+    """doc_id, fp, root, component_id and the columns ``extra`` of every row; None for no rows."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marking(F.col("text")).alias("fp"), *[c.alias(k) for k, c in extra.items()])
+    rows = materialise(own, "fingerprints")
     marks = materialise(
         rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "marks"
     )
-    total = rows.count()
+    total = marks.agg(F.sum("n")).first()[0]
     if not total:
-        return empty_like(spark, "doc_id long, fp long, fingerprint string, component_id long")
+        return None
     roots = components(materialise(close_links(marks.select("fp")), "links"))
-    placed = materialise(
+    rooted = materialise(
         marks.join(roots, marks["fp"] == roots["node"], "left").select(
             "fp", "least_id", "n", F.coalesce("root", "fp").alias("root")
         ),
-        "placed",
+        "rooted",
     )
-    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    named = skew_join(placed, names, "root", "m", total).select("fp", "n", "component_id")
-    found = skew_join(rows, named, "fp", "n", total)
-    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = skew_join(rooted, names, "root", "m", total).select("fp", "n", "root", "component_id")
+    return skew_join(rows, named, "fp", "n", total).drop("n")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id."""
+    placed = _placed(docs, {})
+    if placed is None:
+        return empty_like(docs.sparkSession, "doc_id long, fingerprint string, component_id long")
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest id (then digest) stays, with all its columns."""
+    placed = _placed(docs, {"text_sha256": F.sha2(normalised(F.col("text")), 256)})
+    if placed is None:
+        return docs
+    placed = materialise(placed.select("doc_id", "text_sha256", "root"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    first = placed.groupBy("root").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    total = placed.count()
+    decided = skew_join(placed, materialise(first, "firsts"), "root", "n", total)
+    return keep_rows(docs, decided.select("doc_id", "text_sha256", (rank == F.col("first")).alias("kept")))
