@@ -61,16 +61,16 @@ def mark_maybe(rows: DataFrame, keys: DataFrame, on: list[str], flag: str, bits:
     """
     place = F.pmod(F.xxhash64(*on), F.lit(bits))
     bitmap = (
-        keys.select(place.alias("__place"))
-        .groupBy(F.bitmap_bucket_number("__place").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+        keys.select(place.alias("__mr_place"))
+        .groupBy(F.bitmap_bucket_number("__mr_place").alias("__mr_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__mr_place")).alias("__mr_bits"))
     )
-    at = F.bitmap_bit_position("__place").cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    at = F.bitmap_bit_position("__mr_place").cast("int")
+    byte = F.conv(F.hex(F.substring("__mr_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at % 8)) != 0
-    placed = rows.withColumn("__place", place).withColumn("__bucket", F.bitmap_bucket_number("__place"))
-    marked = placed.join(F.broadcast(bitmap), "__bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False)))
-    return marked.drop("__place", "__bucket", "__bits")
+    placed = rows.withColumn("__mr_place", place).withColumn("__mr_bucket", F.bitmap_bucket_number("__mr_place"))
+    marked = placed.join(F.broadcast(bitmap), "__mr_bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False)))
+    return marked.drop("__mr_place", "__mr_bucket", "__mr_bits")
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:

@@ -140,17 +140,17 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     dropped ones lets the others pass where they are.
     """
     tags = decided.select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"
+        F.col("doc_id").alias("__mr_id"), F.unhex("text_sha256").alias("__mr_sha"), "kept"
     )
-    twice = tags.where("kept").groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dropped = tags.where(~F.col("kept")).select("__id", "__sha").unionByName(twice.select("__id", "__sha"))
+    twice = tags.where("kept").groupBy("__mr_id", "__mr_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = tags.where(~F.col("kept")).select("__mr_id", "__mr_sha").unionByName(twice.select("__mr_id", "__mr_sha"))
     dropped = materialise(dropped, "dropped")
     own = docs.withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__sha": F.unhex(F.sha2(normalised(F.col("text")), 256))}
+        {"__mr_id": F.col("doc_id").cast("long"), "__mr_sha": F.unhex(F.sha2(normalised(F.col("text")), 256))}
     )
-    marked = mark_maybe(own, dropped, ["__id", "__sha"], "__maybe")
-    sure = marked.where(~F.col("__maybe")).drop("__maybe")
-    pairs = tags.where("kept").select("__id", F.col("__sha").alias("__kept_sha"))
-    on = marked["__id"].eqNullSafe(pairs["__id"]) & (F.col("__sha") == F.col("__kept_sha"))
-    looked_at = marked.where("__maybe").drop("__maybe").join(pairs, on, "left_semi").dropDuplicates(["__id", "__sha"])
-    return sure.unionByName(looked_at).drop("__id", "__sha")
+    marked = mark_maybe(own, dropped, ["__mr_id", "__mr_sha"], "__mr_maybe")
+    sure = marked.where(~F.col("__mr_maybe")).drop("__mr_maybe")
+    pairs = tags.where("kept").select("__mr_id", F.col("__mr_sha").alias("__mr_kept_sha"))
+    on = marked["__mr_id"].eqNullSafe(pairs["__mr_id"]) & (F.col("__mr_sha") == F.col("__mr_kept_sha"))
+    looked_at = marked.where("__mr_maybe").drop("__mr_maybe").join(pairs, on, "left_semi").dropDuplicates(["__mr_id", "__mr_sha"])
+    return sure.unionByName(looked_at).drop("__mr_id", "__mr_sha")

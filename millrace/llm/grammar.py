@@ -88,12 +88,15 @@ def compress(ids: np.ndarray, *, rounds: int = ROUNDS, least: int = LEAST) -> Sh
         at, slot = at[own], slot[own]
         count = np.bincount(slot, minlength=1 << bits)
         weight = count[slot]
-        # where chosen pairs overlap the more frequent one wins, of equals the left one
-        chosen = weight >= need
-        weight = np.where(chosen, weight, 0)
+        # where pairs overlap the more frequent one wins, of equals every second one
+        weight = np.where(weight >= need, weight, 0)
         touch = at[1:] == at[:-1] + 1
-        chosen[1:] &= ~touch | (weight[1:] > weight[:-1])
-        chosen[:-1] &= ~touch | (weight[:-1] >= weight[1:])
+        index = np.arange(len(at))
+        first = np.append(True, ~touch | (weight[1:] != weight[:-1]))
+        chosen = (weight > 0) & ((index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0)
+        clash = touch & chosen[1:] & chosen[:-1]
+        chosen[1:] &= ~clash | (weight[1:] > weight[:-1])
+        chosen[:-1] &= ~clash | (weight[:-1] > weight[1:])
         at, slot = at[chosen], slot[chosen]
         uses = np.bincount(slot, minlength=1 << bits)
         used = np.flatnonzero(uses > 2)

@@ -301,13 +301,13 @@ def reading(net: Network | None, text: Column) -> Column:
 
 def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, lang_pred and score."""
-    read = docs.select(*keep, reading(net, F.col("text")).alias("__read"))
-    return read.select(*keep, F.col("__read.lang").alias("lang_pred"), F.col("__read.score").alias("score"))
+    read = docs.select(*keep, reading(net, F.col("text")).alias("__mr_read"))
+    return read.select(*keep, F.col("__mr_read.lang").alias("lang_pred"), F.col("__mr_read.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows of ``docs`` whose language can be told, a missing ``lang`` filled in; all if nothing was learned."""
     if net is None:
         return docs
-    read = docs.withColumn("__read", reading(net, F.col("text"))).where(F.col("__read.lang") != UNDETERMINED)
-    return read.withColumn("lang", F.coalesce("lang", "__read.lang")).drop("__read")
+    read = docs.withColumn("__mr_read", reading(net, F.col("text"))).where(F.col("__mr_read.lang") != UNDETERMINED)
+    return read.withColumn("lang", F.coalesce("lang", "__mr_read.lang")).drop("__mr_read")

@@ -220,18 +220,18 @@ def take_copies(docs: DataFrame, **settings) -> DataFrame:
     surely does not take are left behind before the shuffle.
     """
     key = {
-        "__id": F.col("doc_id").cast("long"),
-        "__tie": F.xxhash64(F.coalesce("text", F.lit(""))),
-        "__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
+        "__mr_id": F.col("doc_id").cast("long"),
+        "__mr_tie": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "__mr_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
     }
     own = docs.withColumns(key)
-    mixed = mix(own.withColumn("__key", F.struct(*key)), row="__key", **settings)
-    taken = mixed.where("copies > 0").groupBy("__key").agg(F.sum("copies").alias("__copies"))
-    taken = materialise(taken.select("__key.*", "__copies"), "taken")
+    mixed = mix(own.withColumn("__mr_key", F.struct(*key)), row="__mr_key", **settings)
+    taken = mixed.where("copies > 0").groupBy("__mr_key").agg(F.sum("copies").alias("__mr_copies"))
+    taken = materialise(taken.select("__mr_key.*", "__mr_copies"), "taken")
     names = list(key)
-    marked = mark_maybe(own, taken.select(*names), names, "__maybe").where("__maybe").drop("__maybe")
+    marked = mark_maybe(own, taken.select(*names), names, "__mr_maybe").where("__mr_maybe").drop("__mr_maybe")
     rights = taken.withColumnsRenamed({n: f"{n}_taken" for n in names})
     same = [marked[n].eqNullSafe(rights[f"{n}_taken"]) for n in names]
     joined = marked.join(rights, same).dropDuplicates(names)
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    repeated = joined.withColumn("__mr_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mr_copies")))
     return repeated.select(*docs.columns)

@@ -170,21 +170,21 @@ def fit(
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, rows: int) -> DataFrame:
     """About ``rows`` rows of ``docs`` with a 0/1 ``label``, chosen by a hash of the id; at most twice as many."""
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
-    marks = marks.where(F.col("__y").isin(0, 1)).dropDuplicates(["__id"])
-    draw = F.pmod(F.xxhash64("__id", F.lit(label)), F.lit(1 << 30))
+    marks = labels.select(F.col("doc_id").alias("__mr_id"), F.col(label).cast("int").alias("__mr_y"))
+    marks = marks.where(F.col("__mr_y").isin(0, 1)).dropDuplicates(["__mr_id"])
+    draw = F.pmod(F.xxhash64("__mr_id", F.lit(label)), F.lit(1 << 30))
     n = marks.count()
     share = int(min(1.0, rows / max(n, 1)) * (1 << 30))
     chosen = marks.where(draw < share).limit(2 * rows)
-    return docs.where(learnable).join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).drop("__id")
+    return docs.where(learnable).join(F.broadcast(chosen), docs["doc_id"] == chosen["__mr_id"]).drop("__mr_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
     sample = labelled_sample(docs, labels, label, learnable, sample_rows)
     stats = statistics(F.col("text"))
-    found = sample.select(F.col("__y"), *[c.alias(k) for k, c in stats.items()]).toPandas()
+    found = sample.select(F.col("__mr_y"), *[c.alias(k) for k, c in stats.items()]).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
-    return fit(found[list(stats)].to_numpy(float), found["__y"].to_numpy(float))
+    return fit(found[list(stats)].to_numpy(float), found["__mr_y"].to_numpy(float))
 
 
 def score(docs: DataFrame, forest: Forest, keep: list[str], threshold: float = 0.3) -> DataFrame:

@@ -348,7 +348,7 @@ def fit_curve(evidence: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, model: np.ndarray, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> WordModel:
     grams = model.tolist()
-    sample = labelled_sample(docs, labels, label, learnable, sample_rows).select("text", "__y")
+    sample = labelled_sample(docs, labels, label, learnable, sample_rows).select("text", "__mr_y")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, memory = Restorer(grams), {}
