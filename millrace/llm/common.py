@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.workspace import materialise, scratch_path
 
-__all__ = ["Numbering", "SPACES", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "scratch_path", "skew_join", "text_slices", "words"]
+__all__ = ["Numbering", "SPACES", "bounded_batches", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "process_memory", "scratch_path", "skew_join", "text_slices", "words"]
 
 # The separators of words, as a regular expression and as characters.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -108,8 +110,20 @@ def text_slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[lis
         yield held
 
 
-def bounded_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with their texts (null: empty), about ``chars`` bytes each.
+def process_memory(key: str, make):
+    """The object kept under ``key`` in this Python process, made on first use.
+
+    A worker process runs many tasks of a stage one after the other; what one has
+    worked out (never a result, only what saves work) serves the next.
+    """
+    memory = sys.modules.setdefault("_millrace_memory", types.ModuleType("_millrace_memory"))
+    if key not in vars(memory):
+        setattr(memory, key, make())
+    return getattr(memory, key)
+
+
+def bounded_batches(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``chars`` bytes of text each.
 
     A slice has one row at least, so a very long text is a slice of its own.
     """
@@ -117,11 +131,16 @@ def bounded_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
-        for end, size in enumerate(sizes):
+        for end, size in enumerate(sizes.tolist()):
             if end > start and held + size > chars:
-                part = batch.slice(start, end - start)
-                yield part, [t or "" for t in column.slice(start, end - start).to_pylist()]
+                yield batch.slice(start, end - start)
                 start, held = end, 0
-            held += int(size)
+            held += size
         if len(sizes) > start:
-            yield batch.slice(start), [t or "" for t in column.slice(start).to_pylist()]
+            yield batch.slice(start)
+
+
+def bounded_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """``bounded_batches`` with the texts of each (null: empty)."""
+    for part in bounded_batches(batches, text, chars):
+        yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]

@@ -23,6 +23,7 @@ encoded each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,9 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Numbering, bounded_slices, scratch_path
+from .common import Numbering, bounded_batches, process_memory, scratch_path
 
 END = 2
 SHARD_TOKENS = 1 << 20
@@ -41,10 +43,10 @@ LEAST = 12
 # A round takes pairs down to 1 / BREADTH of the most frequent; the rounds end when one replaces less than RESTS of all symbols.
 BREADTH = 48
 RESTS = 0.01
-# Distinct words a task remembers before it starts anew.
-REMEMBERED = 500_000
+# Distinct words a worker process remembers; when full it forgets the rarer half.
+REMEMBERED = 800_000
 # Odd multipliers, one per round, so pairs that share a slot once part in the next.
-_MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
+_MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(64)]
 
 
 # Grammar
@@ -73,15 +75,19 @@ def compress(ids: np.ndarray, *, rounds: int = ROUNDS, least: int = LEAST) -> Sh
     for turn in range(rounds):
         if len(sequence) < 2:
             break
-        pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        slot = ((pairs * _MIX[turn % len(_MIX)]) >> np.uint64(64 - bits)).astype(np.int64)
+        mix = _MIX[turn % len(_MIX)]
+        slot = sequence[:-1] * np.uint32(mix >> 32 | 1)
+        slot ^= sequence[1:] * np.uint32(mix & 0xFFFFFFFF | 1)
+        slot *= np.uint32(0x9E3779B1)
+        slot = (slot >> np.uint32(32 - bits)).astype(np.int64)
         total = np.bincount(slot, minlength=1 << bits)
         need = max(least, int(total.max()) // BREADTH)
         at = np.flatnonzero((total >= need)[slot])
         if not len(at):
             break
         # one pair speaks for a slot, its count is exact; others of the slot wait for another round
-        slot, pairs = slot[at], pairs[at]
+        slot = slot[at]
+        pairs = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[at + 1]
         speaker = np.zeros(1 << bits, np.uint64)
         speaker[slot] = pairs
         own = speaker[slot] == pairs
@@ -206,11 +212,20 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.suffixes: dict[str, list[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.known = Numbering()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the half of the room that was used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        words = list(self.known)
+        self.known = Numbering()
+        self.known.numbers([words[i] for i in kept])
+        self.known.pending = []
+        held = np.maximum(self.sizes[kept], 0)
+        self.flat = _gather(self.flat, self.starts[kept], held)
+        self.starts, self.sizes, self.uses = np.cumsum(held) - held, self.sizes[kept], self.uses[kept] // 2
 
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""
@@ -221,16 +236,21 @@ class WordEncoder:
     def word(self, word: str) -> list[int] | None:
         """Ids of a blank and a plain word, or None."""
         core = word.rstrip(self.PLAIN_MARKS)
-        if not core.isalpha() or not (core.isascii() or max(core) < "ɐ"):
+        if not core.isalpha():
+            return None
+        if core.isascii():
+            ids = [t.id for t in self.tokenizer.model.tokenize("Ġ" + core)]
+        elif max(core) < "ɐ":
+            ids = self.piece(" " + core)
+        else:
             return None
-        ids = self.piece(" " + core)
         if len(core) < len(word):
             marks = word[len(core) :]
             if marks not in self.suffixes:
                 if len(self.suffixes) > 50_000:
                     self.suffixes = {}
                 self.suffixes[marks] = self.piece(marks)
-            ids = ids + self.suffixes[marks]
+            ids += self.suffixes[marks]
         return ids
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -240,40 +260,51 @@ class WordEncoder:
         """Encode the words seen for the first time."""
         words = self.known.pending
         ids = [self.word(w) if w else None for w in words]
+        rest = [i for i, found in enumerate(ids) if found is None]
         # a word that begins or ends with a blank, or is empty, is no unit of the splitter: size -1
-        odd = [not w or w[0].isspace() or w[-1].isspace() for w in words]
-        rest = [i for i, found in enumerate(ids) if found is None and not odd[i]]
+        odd = [i for i in rest if not words[i] or words[i][0].isspace() or words[i][-1].isspace()]
+        for i in odd:
+            ids[i] = []
+        rest = [i for i in rest if ids[i] is None]
         for i, found in zip(rest, self.whole([" " + words[i] for i in rest])):
             ids[i] = found
-        sizes = np.array([-1 if o else len(x) for x, o in zip(ids, odd)], np.int64)
-        flat = np.array([k for x, o in zip(ids, odd) if not o for k in x], np.uint32)
-        held = np.maximum(sizes, 0)
+        held = np.fromiter(map(len, ids), np.int64, len(ids))
+        fresh = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(held.sum()))
+        sizes = held.copy()
+        sizes[odd] = -1
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(held) - held])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, fresh])
+        self.uses = np.concatenate([self.uses, np.zeros(len(ids), np.int64)])
         self.known.pending = []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if len(self.known) > REMEMBERED:
-            self.forget()
-        split = [t.split(" ") for t in texts]
-        numbers = [self.known.numbers(ws[1:]) for ws in split]
+            self.forget_rare()
+        # split and number the words in Arrow; only distinct ones become Python strings
+        split = pa.compute.split_pattern(pa.compute.fill_null(column, ""), " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        own = self.known.numbers(coded.dictionary.to_pylist())
         if self.known.pending:
             self.learn()
-        heads = [ws[0] for ws in split]
-        odd = [
-            i
-            for i, n in enumerate(numbers)
-            if len(n) and (not heads[i] or heads[i][-1].isspace() or (self.sizes[n] < 0).any())
-        ]
+        numbers = own[coded.indices.to_numpy()]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        heads = [(column[i].as_py() or "").split(" ", 1)[0] for i in range(len(column))]
+        strange = np.add.reduceat(np.append(self.sizes[numbers] < 0, False), bounds[:-1]) > 0
+        direct = [i for i, h in enumerate(heads) if strange[i] or (h and h[-1].isspace())]
+        whole = dict(zip(direct, self.whole([column[i].as_py() or "" for i in direct])))
         firsts = self.whole(heads)
-        direct = dict(zip(odd, self.whole([texts[i] for i in odd])))
-        return [
-            np.array(direct[i], np.uint32)
-            if i in direct
-            else np.concatenate([np.array(firsts[i], np.uint32), _gather(self.flat, self.starts[n], self.sizes[n])])
-            for i, n in enumerate(numbers)
-        ]
+        out = []
+        for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if i in whole:
+                out.append(np.array(whole[i], np.uint32))
+            else:
+                n = numbers[s + 1 : e]
+                out.append(np.concatenate([np.array(firsts[i], np.uint32), _gather(self.flat, self.starts[n], self.sizes[n])]))
+        return out
 
 
 _SCHEMA = (
@@ -296,7 +327,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end: int = END,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer)
+        encoder = process_memory(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
         held: list[np.ndarray] = []
         names: list[int | None] = []
         size, shard = 0, 0
@@ -310,8 +341,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, end: int = END,
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FIELDS)], schema=_FIELDS)
 
-        for batch, texts in bounded_slices(batches, chars=2_000_000):
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+        for batch in bounded_batches(batches, chars=8_000_000):
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 held.append(np.append(ids, np.uint32(end)))
                 names.append(name)
                 size += len(ids) + 1

@@ -82,3 +82,12 @@ def test_many_shards(spark, docs, tokenizer, tmp_path):
 
 def test_empty(nothing):
     assert G.store(nothing, PATH).collect() == []
+
+
+def test_forgetting_changes_nothing(tokenizer, docs, monkeypatch):
+    monkeypatch.setattr(G, "REMEMBERED", 100)
+    texts = [r.text for r in docs.select("text").limit(40).collect()]
+    encoder = G.WordEncoder(PATH)
+    for t in texts:
+        assert encoder.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encoder.known) < 5000
