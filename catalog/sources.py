@@ -109,7 +109,14 @@ def s12(spark, sf):
 @query("k1_csv_sink", "SELECT page_id, url, html FROM pages")
 def k1(spark, sf):
     # Page sources hold quotes, commas and line breaks.
-    return load(spark, _stored(spark, table(spark, sf, "pages"), "k1", ".csv"), multiLine=True)
+    return load(spark, _stored(spark, table(spark, sf, "pages"), "k1", ".csv"))
+
+
+@query("s1_csv_quoted_breaks", "SELECT page_id, chr(34) || url || chr(10) || ',' AS url, page_id % 7 AS rest FROM pages")
+def s1_breaks(spark, sf):
+    pages = table(spark, sf, "pages")
+    url = F.concat(F.lit('"'), "url", F.lit("\n,"))
+    return load(spark, _stored(spark, pages.select("page_id", url.alias("url"), (F.col("page_id") % 7).alias("rest")), "s1b", ".csv"))
 
 
 @query(

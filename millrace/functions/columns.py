@@ -65,7 +65,11 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 
 def normalise(df: DataFrame, stringify_nested: bool = True) -> DataFrame:
-    """NaN -> null, decimal -> double, date -> timestamp_ntz, nested -> JSON text."""
+    """NaN -> null, decimal -> double, date and zoned time -> timestamp_ntz, nested -> JSON text.
+
+    A zoned time becomes the wall clock of the session's zone, so no later step
+    depends on where the driver stands.
+    """
     new: dict[str, Column] = {}
     for field in df.schema.fields:
         if field.name == POSITION:
@@ -75,7 +79,7 @@ def normalise(df: DataFrame, stringify_nested: bool = True) -> DataFrame:
             new[field.name] = F.when(~F.isnan(c), c)
         elif isinstance(t, T.DecimalType):
             new[field.name] = c.cast("double")
-        elif isinstance(t, T.DateType):
+        elif isinstance(t, (T.DateType, T.TimestampType)):
             new[field.name] = c.cast("timestamp_ntz")
         elif isinstance(t, _NESTED) and stringify_nested:
             new[field.name] = F.to_json(c)

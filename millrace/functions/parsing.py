@@ -27,12 +27,20 @@ _ISO_ZONED = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|
 _YEAR_FIRST = r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _CLOCK
 _YEAR_LAST = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK
 _COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})" + _CLOCK
-_NAME = "(" + "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
+_NAME = "(" + "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]}{'|t' if m == 'september' else ''})?" for m in MONTHS) + ")"
 _DAY_NAME = r"(?i)^\s*(\d{1,2})[ -]" + _NAME + r"\.?,?[ -]+(\d{4})" + _CLOCK
 _NAME_DAY = r"(?i)^\s*" + _NAME + r"\.? +(\d{1,2}),? +(\d{4})" + _CLOCK
 _HALF_DAY = r"(?i)^\s*(\d{1,2}/\d{1,2}/\d{4}) +(\d{1,2}:\d{2}(?::\d{2})?) *([AP]M)\s*$"
-# Longer texts are not tried: no accepted format is this long.
-_LONGEST_TIMESTAMP = 64
+_SHORT_YEAR = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})" + _CLOCK
+_SHORT_YEAR_NAMED = r"(?i)^\s*(\d{1,2})[ -]" + _NAME + r"\.?,?[ -]+(\d{2})" + _CLOCK
+_MONTH_YEAR = r"(?i)^\s*" + _NAME + r"\.?,? +(\d{4})\s*$"
+_COMPACT_CLOCK = r"^\s*(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?\s*$"
+_ISO_HALF_DAY = r"(?i)^\s*(\d{4}-\d{1,2}-\d{1,2})[ T]+(\d{1,2}:\d{2}(?::\d{2})?) *([AP]M)\s*$"
+# A leading day of the week says nothing more; a trailing zone makes the text a zoned one.
+_WEEKDAY = r"(?i)^\s*(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +"
+_MAIL_ZONE = r"(?i)^\s*(\d{1,2}) " + _NAME + r" (\d{4}) (\d{1,2}:\d{2}(?::\d{2})?) *(?:(GMT|UTC|Z)|([+-]\d{2}):?(\d{2}))\s*$"
+# Two-digit years: from this one on they belong to the 1900s, before it to the 2000s.
+CENTURY_TURN = 69
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -58,45 +66,60 @@ def to_boolean(c: Column) -> Column:
 def to_timestamp(c: Column) -> Column:
     """timestamp_ntz for the formats listed above; month first where both readings are valid.
 
-    Zoned texts become UTC wall-clock time. Texts that hold only a clock time or
-    a bare number are rejected, as their date would depend on the day of the run.
+    Zoned texts become UTC wall-clock time. Two-digit years lie between 1969 and 2068.
+    A month with a year is its first day. Texts that hold only a clock time or a bare
+    number are rejected, as their date would depend on the day of the run.
     """
+    text = F.regexp_replace(c, _WEEKDAY, "")
 
     def reordered(pattern: str, order: str) -> Column:
-        return F.trim(F.regexp_replace(c, pattern, order))
+        return F.trim(F.regexp_replace(text, pattern, order))
 
-    def cast(text: Column) -> Column:
-        return text.try_cast("timestamp_ntz")
+    def cast(value: Column) -> Column:
+        return value.try_cast("timestamp_ntz")
+
+    def utc(value: Column) -> Column:
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.try_cast("timestamp").cast("timestamp_ntz"))
 
-    in_utc = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), F.trim(c).try_cast("timestamp").cast("timestamp_ntz")
-    )
-    # "name year-#-day clock", then # gives way to the number of the named month.
-    named = F.when(c.rlike(_DAY_NAME), reordered(_DAY_NAME, "$2 $3-#-$1 $4")).otherwise(
-        reordered(_NAME_DAY, "$1 $3-#-$2 $4")
-    )
     short_names = F.lit("".join(m[:3] for m in MONTHS))
-    month = ((F.position(F.lower(F.substring(named, 1, 3)), short_names) + 2) / 3).cast("int").cast("string")
-    half_day = F.upper(reordered(_HALF_DAY, "$1 $2 $3"))
+
+    def named(value: Column) -> Column:
+        """"name year-#-day clock": # gives way to the number of the named month."""
+        month = ((F.position(F.lower(F.substring(value, 1, 3)), short_names) + 2) / 3).cast("int").cast("string")
+        return F.replace(F.regexp_replace(value, "^[A-Za-z]+ ", ""), F.lit("#"), month)
+
+    def century(pattern: str, group: int) -> Column:
+        year = F.regexp_extract(text, pattern, group)
+        return F.concat(F.when(year.try_cast("int") >= CENTURY_TURN, "19").otherwise("20"), year)
+
+    def short_year(order: str) -> Column:
+        return cast(F.concat(century(_SHORT_YEAR, 3), F.lit("-"), reordered(_SHORT_YEAR, order)))
+
+    def half_day(pattern: str, order: str, *formats: str) -> Column:
+        value = F.upper(reordered(pattern, order))
+        return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+    mail_zone = F.regexp_replace(text, _MAIL_ZONE, "$6:$7")
+    mail = F.concat(named(reordered(_MAIL_ZONE, "$2 $3-#-$1 $4")), F.when(mail_zone == ":", "Z").otherwise(mail_zone))
     return (
-        F.when(F.length(F.trim(c)) > _LONGEST_TIMESTAMP, F.lit(None).cast("timestamp_ntz"))
-        .when(c.rlike(_ISO), cast(F.trim(c)))
-        .when(c.rlike(_ISO_ZONED), in_utc)
+        F.when(text.rlike(_ISO), cast(F.trim(text)))
+        .when(text.rlike(_ISO_ZONED), utc(F.trim(text)))
         .when(
-            c.rlike(_YEAR_LAST),
+            text.rlike(_YEAR_LAST),
             F.coalesce(cast(reordered(_YEAR_LAST, "$3-$1-$2 $4")), cast(reordered(_YEAR_LAST, "$3-$2-$1 $4"))),
         )
-        .when(c.rlike(_YEAR_FIRST), cast(reordered(_YEAR_FIRST, "$1-$2-$3 $4")))
-        .when(c.rlike(_COMPACT), cast(reordered(_COMPACT, "$1-$2-$3 $4")))
-        .when(
-            c.rlike(_DAY_NAME) | c.rlike(_NAME_DAY),
-            cast(F.replace(F.regexp_replace(named, "^[A-Za-z]+ ", ""), F.lit("#"), month)),
-        )
+        .when(text.rlike(_YEAR_FIRST), cast(reordered(_YEAR_FIRST, "$1-$2-$3 $4")))
+        .when(text.rlike(_COMPACT), cast(reordered(_COMPACT, "$1-$2-$3 $4")))
+        .when(text.rlike(_COMPACT_CLOCK), cast(F.regexp_replace(reordered(_COMPACT_CLOCK, "$1-$2-$3 $4:$5:$6"), ":$", "")))
+        .when(text.rlike(_DAY_NAME), cast(named(reordered(_DAY_NAME, "$2 $3-#-$1 $4"))))
+        .when(text.rlike(_NAME_DAY), cast(named(reordered(_NAME_DAY, "$1 $3-#-$2 $4"))))
+        .when(text.rlike(_MONTH_YEAR), cast(named(reordered(_MONTH_YEAR, "$1 $2-#-1"))))
+        .when(text.rlike(_SHORT_YEAR), F.coalesce(short_year("$1-$2 $4"), short_year("$2-$1 $4")))
         .when(
-            c.rlike(_HALF_DAY),
-            F.coalesce(
-                F.try_to_timestamp(half_day, F.lit("M/d/yyyy h:mm[:ss] a")),
-                F.try_to_timestamp(half_day, F.lit("d/M/yyyy h:mm[:ss] a")),
-            ).cast("timestamp_ntz"),
+            text.rlike(_SHORT_YEAR_NAMED),
+            cast(F.replace(named(reordered(_SHORT_YEAR_NAMED, "$2 @-#-$1 $4")), F.lit("@"), century(_SHORT_YEAR_NAMED, 3))),
         )
+        .when(text.rlike(_MAIL_ZONE), utc(mail))
+        .when(text.rlike(_HALF_DAY), half_day(_HALF_DAY, "$1 $2 $3", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"))
+        .when(text.rlike(_ISO_HALF_DAY), half_day(_ISO_HALF_DAY, "$1 $2 $3", "yyyy-M-d h:mm[:ss] a"))
     )

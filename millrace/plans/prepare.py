@@ -11,9 +11,10 @@ from ..functions.columns import data_columns, normalise, ref
 from ..operators.charts import chart_data
 from ..operators.encode import mapping_table
 from ..operators.facts import Facts
+from ..operators.missing import check_order
 from ..operators.profile import QUARTILES, profile
 from ..sources.readers import detect_format, load
-from ..sources.writers import save_report, save_table
+from ..sources.writers import require_apart, save_report, save_table
 from ..workspace import materialise
 from .config import Settings
 from .stages import clean, encode, engineer
@@ -45,6 +46,7 @@ def prepare(
         raw = _load_for_run(spark, source, s, load_options or {})
 
     raw_facts = Facts(raw)
+    check_order(raw, raw_facts, s.missing_strategy, s.missing_threshold, s.order_by)
     if s.outlier_method == "iqr" and s.outlier_action != "none":
         # Bounds need the quartiles of every numeric column, the profile those of most: one search for both.
         raw_facts.quantiles(raw_facts.columns("numeric"), QUARTILES)
@@ -54,8 +56,8 @@ def prepare(
 
     charts: dict[str, DataFrame] = {}
     if s.visualize:
-        charts.update({f"raw:{k}": v for k, v in chart_data(raw, raw_facts).items()})
-        charts.update({f"cleaned:{k}": v for k, v in chart_data(cleaned.df, cleaned.facts).items()})
+        charts.update({f"raw:{k}": v for k, v in chart_data(raw, raw_facts, s.series_points).items()})
+        charts.update({f"cleaned:{k}": v for k, v in chart_data(cleaned.df, cleaned.facts, s.series_points).items()})
 
     encoded = encode(cleaned.df, s, cleaned.facts)
     engineered = engineer(encoded.df, s, encoded.facts)
@@ -89,6 +91,7 @@ def prepare_and_save(
     **keywords,
 ) -> Prepared:
     """``prepare``, then write the table (directory of part files) and the JSON report."""
+    require_apart(source.inputFiles() if isinstance(source, DataFrame) else [source], output, report_path)
     result = prepare(source, **keywords)
     save_table(result.df, output)
     save_report(result.df.sparkSession, result.report, report_path)

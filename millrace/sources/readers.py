@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import codecs
-import json
 import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import POSITION, columns_of, data_columns, free_name, normalise, ref, replace_columns
 from ..functions.parsing import null_tokens_to_null
@@ -23,9 +23,8 @@ ENCODINGS = {
     "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8",
     "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-32": "UTF-32",
 }
-_OVERFLOW = "__overflow"
-# Lines looked at for the form of a JSON file and the order of its fields.
-_HEAD_LINES = 500
+# Holds the line of a delimited row whose number of fields differs from the header's.
+_ODD_ROW = "__odd_row"
 _REPLACEMENT = "�"
 
 
@@ -131,19 +130,22 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
 
     def typed(enc: str) -> tuple[DataFrame, dict]:
         df = _scan_text(spark, path, options, enc, keep_position)
-        text = [c for c in data_columns(df) if c != _OVERFLOW]
+        text = [c for c in data_columns(df) if c != _ODD_ROW]
         undecoded = F.lit(False)
         for c in text:
             undecoded = undecoded | F.coalesce(F.contains(ref(c), F.lit(_REPLACEMENT)), F.lit(False))
-        checks = {"long": F.count(ref(_OVERFLOW)), "undecoded": F.count_if(undecoded)}
+        fields = _field_count(ref(_ODD_ROW), options["sep"], options.get("quote", '"'))
+        checks = {"long": F.count_if(fields > len(text)), "undecoded": F.count_if(undecoded)}
         clean = replace_columns(df, {c: null_tokens_to_null(ref(c)) for c in text})
-        checked = clean.drop(_OVERFLOW)
+        checked = clean.drop(_ODD_ROW)
         out, got = infer_scan_types(clean, checks)
         return out.select(*[ref(c) for c in checked.columns]), {
             **got,
             "undecoded": got["undecoded"] or any(_REPLACEMENT in c for c in text),
         }
 
+    if "multiLine" not in options and _breaks_inside_quotes(spark, path, options.get("quote", '"')):
+        options = {**options, "multiLine": True}
     df, found = typed(encoding)
     if found["undecoded"] and spark_encoding(encoding) == "UTF-8" and _has_invalid_utf8(spark, path):
         df, found = typed(FALLBACK_ENCODING)
@@ -152,20 +154,41 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
     return df
 
 
+def _breaks_inside_quotes(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether a quoted field may hold a line break: some line has an odd number of quotes.
+
+    Files without one are read in splits; the others need whole-file parsing.
+    """
+    if not quote:
+        return False
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote)))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+
+
+def _field_count(line: Column, sep: str, quote: str) -> Column:
+    """Fields of a delimited line, empty ones included; separators inside quotes do not count."""
+    bare = line
+    if quote:
+        q = re.escape(quote)
+        bare = F.regexp_replace(line, f"{q}[^{q}]*{q}", "")
+    return F.size(F.split(bare, re.escape(sep)))
+
+
 def _reader(spark, options, encoding):
     defaults = {"escape": '"', "encoding": spark_encoding(encoding), "mode": "PERMISSIVE"}
     return spark.read.options(**{**defaults, **options})
 
 
 def _scan_text(spark, path, options, encoding, keep_position) -> DataFrame:
-    """All columns as text under the header's names, plus a column for surplus fields."""
+    """All columns as text under the header's names, plus the line of rows with other numbers of fields."""
     first = _reader(spark, {**options, "header": False}, encoding).csv(path).first()
     if first is None:
         raise ValueError(f"{path} is empty: no header row")
     windows = _windows_characters() if codecs.lookup(encoding).name == "cp1252" else {}
     names = header_names([n and n.translate(str.maketrans(windows)) for n in first])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
-    df = _reader(spark, {**options, "header": True}, encoding).schema(schema).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _ODD_ROW]])
+    reader = _reader(spark, {**options, "header": True, "columnNameOfCorruptRecord": _ODD_ROW}, encoding)
+    df = reader.schema(schema).csv(path)
     if windows:
         df = df.select(*[F.translate(ref(c), "".join(windows), "".join(windows.values())).alias(c) for c in df.columns])
     return _with_position(df, None) if keep_position else df
@@ -195,20 +218,28 @@ def _has_invalid_utf8(spark: SparkSession, path: str) -> bool:
 
 
 def _read_json(spark, path, encoding, lines, options) -> DataFrame:
-    head = "\n".join(r["value"] for r in spark.read.text(path).where(F.trim("value") != "").take(_HEAD_LINES))
     if lines is None:
-        lines = not head.lstrip().startswith("[")
+        start = F.substring(F.ltrim("value"), 1, 1)
+        first = spark.read.text(path).select(start.alias("c")).where("c <> ''").first()
+        lines = first is None or first["c"] != "["
     df = spark.read.options(**{"encoding": spark_encoding(encoding), "multiLine": not lines, **options}).json(path)
-    # Spark sorts the inferred fields; the first record gives the order of the columns (of nothing else).
-    first = _first_keys(head)
-    named = [c for c in first if c in df.columns]
+    named = [c for c in _field_order(spark, path, encoding, lines) if c in df.columns]
     return df.select(*[ref(c) for c in [*named, *(c for c in df.columns if c not in named)]])
 
 
-def _first_keys(text: str) -> list[str]:
-    text = text.lstrip().lstrip("[").lstrip()
-    try:
-        record, _ = json.JSONDecoder().raw_decode(text)
-    except ValueError:
-        return []
-    return list(record) if isinstance(record, dict) else []
+def _field_order(spark: SparkSession, path: str, encoding: str, lines: bool) -> list[str]:
+    """Field names in the order in which the records first show them (Spark sorts the inferred ones).
+
+    One aggregation over all records; a record array is one value, as it is for the reader.
+    """
+    raw = spark.read.option("encoding", spark_encoding(encoding)).text(path, wholetext=not lines)
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    if lines:
+        named = raw.select(at.alias("at"), F.posexplode(F.json_object_keys("value")).alias("place", "name"))
+    else:
+        records = raw.select(at.alias("at"), F.from_json("value", "array<map<string,string>>").alias("records"))
+        records = records.select("at", F.posexplode("records").alias("record", "fields"))
+        at = F.struct("at", "record")
+        named = records.select(at.alias("at"), F.posexplode(F.map_keys("fields")).alias("place", "name"))
+    first = named.groupBy("name").agg(F.min(F.struct("at", "place")).alias("first"))
+    return [r["name"] for r in first.orderBy("first").select("name").collect()]

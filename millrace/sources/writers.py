@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Iterable
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,11 +17,29 @@ SUMMARY = {
 }
 
 
+def require_apart(inputs: Iterable[str], *outputs: str) -> None:
+    """An output is replaced as a whole, so none may be, hold or lie inside an input."""
+
+    def parts(path: str) -> tuple[str, ...]:
+        plain = unquote(urlsplit(path).path) if "://" in path or path.startswith("file:") else posixpath.abspath(path)
+        return tuple(p for p in posixpath.normpath(plain).split("/") if p)
+
+    targets = {out: parts(out) for out in outputs}
+    for source in inputs:
+        own = parts(source)
+        for out, target in targets.items():
+            n = min(len(own), len(target))
+            if own[:n] == target[:n]:
+                raise ValueError(f"output {out!r} would overwrite the input {source!r}; choose another path")
+
+
 def save_table(df: DataFrame, path: str, format: str | None = None, **options) -> None:
     """Write to the directory ``path``, one part file per partition; CSV has a header and no index.
 
-    The format follows the extension of ``path`` (CSV where it has none known).
+    The format follows the extension of ``path`` (CSV where it has none known). A
+    path that overlaps a file ``df`` reads is refused before anything is deleted.
     """
+    require_apart(df.inputFiles(), path)
     fmt = format or {".parquet": "parquet", ".json": "json", ".tsv": "tsv"}.get(posixpath.splitext(path)[1].lower(), "csv")
     writer = df.select(*[ref(c) for c in data_columns(df)]).write.mode("overwrite")
     if fmt in ("csv", "tsv"):

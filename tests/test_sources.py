@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import load, preview, save_report, save_table
+from millrace import load, prepare_and_save, preview, save_report, save_table
 from millrace.functions.columns import POSITION
 from millrace.sources.readers import header_names
 
@@ -55,6 +55,63 @@ def test_short_rows_are_padded_and_long_rows_rejected(spark, tmp_path):
     assert load(spark, path, long_rows="truncate").count() == 2
 
 
+def test_surplus_fields_are_found_when_empty_or_quoted(spark, tmp_path):
+    for i, row in enumerate(['3,4,,5', '3,4,', '3,"4,4",5', '"3","4",']):
+        path = write(tmp_path / f"s{i}.csv", f"a,b\n1,2\n{row}\n")
+        with pytest.raises(ValueError, match="1 row"):
+            load(spark, path)
+    fine = write(tmp_path / "fine.csv", 'a,b\n1,"2,3,4"\n3\n"x ""y"", z",5\n')
+    assert sorted((r["a"], r["b"]) for r in load(spark, fine).fillna("-").collect()) == [("1", "2,3,4"), ("3", "-"), ('x "y", z', "5")]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    text = 'a,b,c\n1,"x\ny",5\n2,"p\n\n""q"", r",6\n3,z,"w\n"\n'
+    df = load(spark, write(tmp_path / "b.csv", text))
+    assert df.dtypes[0] == ("a", "bigint")
+    assert sorted(map(tuple, df.collect())) == [(1, "x\ny", "5"), (2, 'p\n\n"q", r', "6"), (3, "z", "w\n")]
+    tall = "a,b\n" + "".join(f'{i},"line\n{i}"\n' for i in range(500))
+    assert load(spark, write(tmp_path / "t.csv", tall), keep_position=True).count() == 500
+
+
+def test_outputs_apart_from_inputs(spark, tmp_path):
+    source = str(tmp_path / "in.parquet")
+    spark.range(5).write.parquet(source)
+    df = load(spark, source)
+    for out in (source, f"{source}/part", str(tmp_path), "file://" + source):
+        if not out.endswith("/part"):  # beside the files of the source nothing is overwritten
+            with pytest.raises(ValueError, match="overwrite the input"):
+                save_table(df, out, format="parquet")
+        with pytest.raises(ValueError, match="overwrite the input"):
+            prepare_and_save(source, out, str(tmp_path / "report.json"), spark=spark)
+    with pytest.raises(ValueError, match="overwrite the input"):
+        prepare_and_save(df, str(tmp_path.parent / "elsewhere.csv"), source)
+    assert spark.read.parquet(source).count() == 5
+    save_table(df, source + "2", format="parquet")
+    assert spark.read.parquet(source + "2").count() == 5
+
+
+def test_json_fields_in_order_of_first_sight(spark, tmp_path):
+    records = [{"z": 1, "b": 2}, {"z": 3, "y": 4, "b": 5}, {"a": 6}]
+    lines = write(tmp_path / "l.json", "\n".join(map(json.dumps, records)))
+    array = write(tmp_path / "a.json", json.dumps(records))
+    tall = write(tmp_path / "t.json", json.dumps([{f"k{i}": i for i in range(600, 0, -1)}], indent=1))
+    for path in (lines, array):
+        assert load(spark, path).columns == ["z", "b", "y", "a"]
+    assert load(spark, tall).columns == [f"k{i}" for i in range(600, 0, -1)]
+
+
+def test_zoned_times_become_the_clock_of_the_session(spark, tmp_path):
+    path = str(tmp_path / "z.parquet")
+    spark.sql("select timestamp'2024-01-05 05:00:00 UTC' as t").write.parquet(path)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = load(spark, path)
+        assert df.dtypes == [("t", "timestamp_ntz")] and str(df.first()["t"]) == "2024-01-05 00:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_tsv_and_reader_options(spark, tmp_path):
     assert load(spark, write(tmp_path / "a.tsv", "a\tb\n1\tx,y\n")).collect()[0]["b"] == "x,y"
     assert load(spark, write(tmp_path / "a.csv", "a|b\n1|2\n"), sep="|").collect()[0]["b"] == 2
