@@ -64,6 +64,23 @@ def c3_formats(spark, sf):
     return infer.infer_types(table(spark, sf, "orders").select(k, day.alias("odate")))[0]
 
 
+@query(
+    "c3_infer_short_formats",
+    """SELECT o_orderkey, date_trunc(CASE WHEN o_orderkey % 11 IN (4, 5) THEN 'month' ELSE 'day' END, o_orderdate)
+              + CASE WHEN o_orderkey % 11 IN (3, 9, 10) THEN 15 ELSE 0 END * INTERVAL 1 HOUR AS odate FROM orders""",
+)
+def c3_short(spark, sf):
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = [
+        "MM/dd/yy", "M-d-yy", "d MMM yy", "yyyy-MM-dd '03:00 PM'", "MMM yyyy", "MMMM yyyy", "E MMM d yyyy",
+        "EEEE, MMMM d, yyyy", "'Thu' d MMM yyyy", "yyyyMMdd'T150000'", "E, d MMM yyyy '15:00:00 +0000'",
+    ]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(k % 11 == i, F.date_format(at, form)).otherwise(text)
+    return infer.infer_types(table(spark, sf, "orders").select(k, text.alias("odate")))[0]
+
+
 @query(
     "c4_drop_columns",
     f"""WITH {ORDERS_N}, s AS (SELECT o.*, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS sparse FROM orders_n o),

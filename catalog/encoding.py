@@ -68,20 +68,20 @@ def e3_nulls(spark, sf):
     return enc.onehot(orders_n(spark, sf).select("o_orderkey", "prio"), "prio", drop_first=False)
 
 
-@query("e4_label", "SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY l_linestatus) - 1)::INT AS l_linestatus FROM lineitem")
+@query("e4_label", "SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_linestatus) - 1 AS l_linestatus FROM lineitem")
 def e4(spark, sf):
     return enc.label(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus"), "l_linestatus")[0]
 
 
 @query(
     "e4_label_nulls",
-    f"""WITH {ORDERS_N} SELECT o_orderkey, (dense_rank() OVER (ORDER BY coalesce(prio, '<NA>')) - 1)::INT AS prio FROM orders_n""",
+    f"""WITH {ORDERS_N} SELECT o_orderkey, dense_rank() OVER (ORDER BY coalesce(prio, '<NA>')) - 1 AS prio FROM orders_n""",
 )
 def e4_nulls(spark, sf):
     return enc.label(orders_n(spark, sf).select("o_orderkey", "prio"), "prio")[0]
 
 
-@query("e4_label_wide", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_name) - 1)::INT AS c_name FROM customer")
+@query("e4_label_wide", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name FROM customer")
 def e4_wide(spark, sf):
     return enc.label(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name")[0]
 

@@ -120,8 +120,8 @@ def correlation_table(facts: Facts, columns: Sequence[str] | None = None) -> Dat
     return facts.df.sparkSession.createDataFrame(rows, "column_a string, column_b string, r double")
 
 
-def chart_data(df: DataFrame, facts: Facts | None = None, max_points: int = 2000) -> dict[str, DataFrame]:
-    """Chart name -> DataFrame, for every chart the table gives rise to."""
+def chart_data(df: DataFrame, facts: Facts | None = None, max_points: int | None = None) -> dict[str, DataFrame]:
+    """Chart name -> DataFrame, for every chart the table gives rise to; series hold every row unless ``max_points`` is set."""
     df = df if facts else normalise(df)
     facts = facts or Facts(df)
     charts: dict[str, DataFrame] = {}

@@ -10,12 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import is_integral, ref
 from .measure import measure
 
-# Above this many rows a threshold decision asks a sketch first.
+# Up to this many rows distinct values of all columns are counted in one job.
 EXACT_DISTINCT_ROWS = 2_000_000
-_SKETCH_LG_K = 16
-# 16 bits give a relative standard error of about 0.0041; six of them decide safely.
-_SKETCH_MARGIN = 6 * 0.0041
-_SKETCH_GROUPS = 256
 # Texts longer than this on average are counted by digest, so a shuffle carries 32 bytes per text.
 LONG_TEXT_BYTES = 128
 # Up to this many digests are broadcast to fetch their texts.
@@ -162,17 +158,6 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return measure(df, {c: F.count_distinct(ref(c)) for c in columns})
 
 
-def sketched_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """HLL estimates, merged in two levels so that no task receives a sketch of every map task."""
-    parts = df.withColumn("__part", F.spark_partition_id() % _SKETCH_GROUPS)
-    hashed = {c: F.when(ref(c).isNotNull(), F.xxhash64(ref(c))) for c in columns}
-    first = parts.groupBy("__part").agg(
-        *[F.hll_sketch_agg(hashed[c], _SKETCH_LG_K).alias(f"s{i}") for i, c in enumerate(columns)]
-    )
-    estimates = measure(first, {c: F.hll_sketch_estimate(F.hll_union_agg(F.col(f"s{i}"))) for i, c in enumerate(columns)})
-    return {c: estimates[c] or 0 for c in columns}
-
-
 def distinct_share_reaches(
     df: DataFrame,
     columns: Sequence[str],
@@ -181,11 +166,12 @@ def distinct_share_reaches(
     ends: dict[str, tuple] | None = None,
     exact_rows: int = EXACT_DISTINCT_ROWS,
 ) -> dict[str, bool]:
-    """Per column: is distinct / rows >= threshold?
+    """Per column: is distinct / rows >= threshold? Exact in tables of any size.
 
-    ``ends`` are known (min, max) pairs: an integer column cannot hold more
-    distinct values than its range is wide. Large tables ask a sketch next, and
-    only columns it cannot settle are counted exactly.
+    ``ends`` are known (min, max) pairs: an integer column cannot hold more distinct
+    values than its range is wide. All other columns are counted: up to ``exact_rows``
+    rows in one job, which repeats every row per column; beyond that one column at a
+    time, so the shuffle is never wider than the widest column.
     """
     verdict: dict[str, bool] = {}
     pending = []
@@ -196,13 +182,8 @@ def distinct_share_reaches(
         else:
             pending.append(c)
     if pending and rows > exact_rows:
-        for c, estimate in sketched_distinct(df, pending).items():
-            if estimate * (1 + _SKETCH_MARGIN) < threshold * rows:
-                verdict[c] = False
-            elif estimate * (1 - _SKETCH_MARGIN) > threshold * rows:
-                verdict[c] = True
-        pending = [c for c in pending if c not in verdict]
-    if pending:
-        exact = distinct_counts(df, pending)
-        verdict.update({c: exact[c] / rows >= threshold for c in pending})
+        exact = {c: df.select(ref(c).alias("v")).where("v is not null").distinct().count() for c in pending}
+    else:
+        exact = distinct_counts(df, pending) if pending else {}
+    verdict.update({c: exact[c] / rows >= threshold for c in pending})
     return {c: verdict[c] for c in columns}

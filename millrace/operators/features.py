@@ -31,8 +31,13 @@ def extract_date_features(df: DataFrame, drop_source: bool = True, facts: Facts
             listed.append(f"{c}_hour")
         listed += [n for n in parts if n != f"{c}_hour"]
         new.update(parts)
-    keep = [c for c in df.columns if c not in new and not (drop_source and c in dates)]
-    out = df.select(*[ref(c) for c in keep], *[e.alias(n) for n, e in new.items()])
+    # a column that already has the name of a part (names ignore case) gives way to it, in its place
+    taken = {c.lower(): c for c in df.columns}
+    held = {taken[n.lower()]: n for n in new if n.lower() in taken}
+    kept = [
+        new[held[c]].alias(held[c]) if c in held else ref(c) for c in df.columns if c in held or not (drop_source and c in dates)
+    ]
+    out = df.select(*kept, *[e.alias(n) for n, e in new.items() if n not in held.values()])
     return out, listed, facts.derive(out, changed=new)
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import POSITION, columns_of, data_columns, ref, replace_columns, roles
 from ..functions.dates import from_micros, micros
+from ..workspace import materialise
 from .counts import top_of_counts, value_counts
 from .facts import Facts
 from .measure import measure
 from .ordered import ordered_fill
 from .quantiles import exact_quantiles
 
+# Names of the strategies.
 STRATEGIES = ("auto", "drop", "mean", "median", "mode", "ffill", "bfill", "constant")
 
 
@@ -215,15 +217,35 @@ def fill_missing(
         literals.update(mode_values(df, rest) if rest else {})
     out = _filled(_filled(out, wide, widen=True), literals, widen=False)
 
+    ordered = False
     for name, direction in (("ffill", "forward"), ("bfill", "backward")):
         if name in chosen:
-            out = ordered_fill(out, chosen[name], _order_of(out, order_by), direction, facts.rows)
+            out = ordered_fill(out, chosen[name], _order_of(out, chosen[name], order_by), direction, facts.rows)
+            ordered = True
+    if ordered:
+        # the sort runs once, not in every later job that touches a filled column
+        out = materialise(out, "filled")
     return out, report, facts.derive(out, changed=holders)
 
 
-def _order_of(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
+def check_order(df: DataFrame, facts: Facts, strategy: str, threshold: float, order_by: Sequence[str] | None) -> None:
+    """Raise now what an ordered fill would raise after the profile: it needs an order of the rows.
+
+    Columns that will be dropped for their share of nulls do not count.
+    """
+    if order_by or POSITION in df.columns or not facts.rows:
+        return
+    nulls = facts.nulls()
+    kept = [c for c, r in facts.roles.items() if 0 < nulls[c] <= threshold * facts.rows and strategy_for(r, strategy) in ("ffill", "bfill")]
+    if kept:
+        _order_of(df, kept, order_by)
+
+
+def _order_of(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None) -> list[str]:
     if order_by:
         return list(order_by)
     if POSITION in df.columns:
         return [POSITION]
-    raise ValueError("an ordered fill needs order_by=[...], or a table loaded with keep_position=True")
+    raise ValueError(
+        f"filling {list(columns)} in order needs order_by=[...], or a table loaded with keep_position=True"
+    )

@@ -65,6 +65,14 @@ def with_ranges(df: DataFrame, key: Column, rows: int, rows_per_range: int = ROW
     return _number_ranges(keyed, ref(key_name), cuts, dtype, range_name), key_name, range_name
 
 
+def _block_ranges(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """Ranges of the row position: its file and block. Their size is that of a split, whatever the table's."""
+    key_name, range_name = free_name("__key", df.columns), free_name("__range", df.columns)
+    at = ref(POSITION)
+    keyed = df.withColumn(key_name, order_key(df, [POSITION]))
+    return keyed.withColumn(range_name, F.struct(at["file"].alias("file"), at["block"].alias("block"))), key_name, range_name
+
+
 def _cut_points(keys: DataFrame, n: int, rows: int) -> list:
     share = min(1.0, n * SAMPLED_KEYS_PER_RANGE / rows)
     name = keys.columns[0]
@@ -115,13 +123,16 @@ def ordered_fill(
         raise ValueError(f"direction must be forward or backward, not {direction!r}")
     rows = df.count() if rows is None else rows
     forward = direction == "forward"
-    ranged, key, rng = with_ranges(df, order_key(df, order_by), rows, rows_per_range)
+    if list(order_by) == [POSITION]:
+        ranged, key, rng = _block_ranges(df)
+    else:
+        ranged, key, rng = with_ranges(df, order_key(df, order_by), rows, rows_per_range)
 
     nearest = F.max_by if forward else F.min_by
     edges = ranged.groupBy(rng).agg(
         *[nearest(ref(c), F.when(ref(c).isNotNull(), ref(key))).alias(f"edge{i}") for i, c in enumerate(columns)]
     )
-    # One row per range from here to the join: at most MAX_RANGES.
+    # One row per range from here to the join.
     outward = Window.orderBy(F.col(rng) if forward else F.col(rng).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(
         F.col(rng).alias("__carry_range"),
@@ -133,7 +144,8 @@ def ordered_fill(
         .orderBy(ref(key) if forward else ref(key).desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = ranged.join(F.broadcast(carry), F.col(rng) == F.col("__carry_range"), "left")
+    few = rows <= MAX_RANGES * rows_per_range and list(order_by) != [POSITION]
+    joined = ranged.join(F.broadcast(carry) if few else carry, F.col(rng) == F.col("__carry_range"), "left")
     new = {
         c: F.coalesce(F.last(ref(c), ignorenulls=True).over(local), F.col(f"__carry{i}")) for i, c in enumerate(columns)
     }
@@ -153,5 +165,5 @@ def dense_codes(values: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RAN
     return (
         ranged.withColumn("__at", F.row_number().over(local) - 1)
         .join(F.broadcast(starts), F.col(rng) == F.col("__start_range"), "left")
-        .select(*[ref(c) for c in values.columns], (F.col("__start") + F.col("__at")).cast("int").alias("code"))
+        .select(*[ref(c) for c in values.columns], (F.col("__start") + F.col("__at")).alias("code"))
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 
+# Names of the settings and their defaults.
 @dataclass(frozen=True)
 class Settings:
     # cleaning
@@ -23,7 +24,8 @@ class Settings:
     onehot_max_cardinality: int = 10
     drop_first: bool = True
     ordinal_categories: dict[str, Sequence[str]] = field(default_factory=dict)
-    onehot_guard: int = 1000
+    # most categories a one-hot column may have; None: any number
+    onehot_guard: int | None = 1000
     # features
     extract_date_features: bool = True
     drop_datetime_cols: bool = True
@@ -36,5 +38,7 @@ class Settings:
     correlation_threshold: float = 0.95
     # charts
     visualize: bool = True
+    # time series: None keeps every row, a number averages over so many equal time slices
+    series_points: int | None = None
     # order of rows for ffill / bfill; None: position in the source files
     order_by: Sequence[str] | None = None

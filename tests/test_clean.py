@@ -6,10 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import Facts, clean, profile
+from millrace import Facts, clean, prepare, profile
 from millrace.operators import missing, outliers
 from millrace.operators.dedupe import drop_duplicates_counted
 from millrace.operators.infer import infer_types
+from millrace.operators.missing import fill_missing
 from millrace.operators.ordered import ordered_fill
 
 TS = datetime.datetime
@@ -60,6 +61,37 @@ DATES = {
 }
 
 
+SHORT_DATES = {
+    "01/05/23": TS(2023, 1, 5), "1-2-23": TS(2023, 1, 2), "13.2.23 10:15": TS(2023, 2, 13, 10, 15), "5 Jan 23": TS(2023, 1, 5),
+    "2023-01-05 03:04 PM": TS(2023, 1, 5, 15, 4), "Jan 2023": TS(2023, 1, 1), "January 2023": TS(2023, 1, 1),
+    "Thu Jan 5 2023": TS(2023, 1, 5), "Thursday, January 5, 2023": TS(2023, 1, 5), "Sept 5 2023": TS(2023, 9, 5),
+    "20230105T101500": TS(2023, 1, 5, 10, 15), "Thu, 05 Jan 2023 10:15:00 +0200": TS(2023, 1, 5, 8, 15),
+    "Thu, 05 Jan 2023 10:15:00 GMT": TS(2023, 1, 5, 10, 15), "1/2/69": TS(1969, 1, 2), "1/2/68": TS(2068, 1, 2),
+    "Monday": None, "Sat 5": None, "1/2/3": None, "x" * 100: None,
+}
+
+
+def test_short_and_spoken_date_texts(spark):
+    from millrace.functions.parsing import to_timestamp
+
+    df = frame(spark, [(t,) for t in SHORT_DATES], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", to_timestamp(F.col("t")).alias("v")).collect()} == SHORT_DATES
+
+
+def test_order_is_asked_for_before_the_work(spark):
+    df = frame(spark, [(1, None), (2, TS(2024, 1, 1)), (3, TS(2024, 1, 2))], "a int, t timestamp_ntz")
+    with pytest.raises(ValueError, match=r"\['t'\].*order_by"):
+        prepare(df)
+
+
+def test_ordered_fill_is_stored(spark):
+    df = frame(spark, [(i, None if i % 3 else float(i)) for i in range(30)], "k int, v double")
+    out = fill_missing(df, "ffill", order_by=["k"])[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert {r["k"]: r["v"] for r in out.collect()} == {i: float(i - i % 3) for i in range(30)}
+
+
 def test_date_texts(spark):
     from millrace.functions.parsing import to_timestamp
 

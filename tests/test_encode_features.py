@@ -20,10 +20,17 @@ def frame(spark, rows, schema):
 
 
 def test_strategy_resolution():
-    pick = enc.strategy_for
-    assert [pick("c", n) for n in (0, 1, 2, 3, 10, 11)] == ["onehot", "onehot", "label", "onehot", "onehot", "frequency"]
-    assert pick("c", 2, ordinal={"c": []}) == "ordinal"
-    assert pick("c", 5000, "onehot") == "onehot"
+    sizes = {"none": 0, "one": 1, "two": 2, "three": 3, "ten": 10, "eleven": 11, "listed": 2}
+    assert enc.plan_kinds(sizes, listed={"listed": []}) == {
+        "none": "onehot", "one": "onehot", "two": "label", "three": "onehot", "ten": "onehot", "eleven": "frequency",
+        "listed": "ordinal",
+    }
+    assert enc.plan_kinds({"c": 5000}, "onehot") == {"c": "onehot"}
+
+
+def test_any_number_of_dummies_without_a_guard(spark):
+    df = frame(spark, [(f"v{i:04d}",) for i in range(60)], "c string")
+    assert len(enc.onehot(df, "c", drop_first=False, guard=None).columns) == 60
 
 
 def test_onehot_names_nulls_and_collisions(spark):
@@ -88,7 +95,7 @@ def test_encode_all_columns(spark):
     table = enc.mapping_table(spark, stage.mappings)
     assert {r["value"]: r["code"] for r in table.where("column = 'two'").collect()} == {"<NA>": 0.0, "f": 1.0, "m": 2.0}
     everything = encode(df, encoding_strategy="label").df
-    assert all(t in ("int", "double") for _, t in everything.dtypes)
+    assert all(t in ("int", "bigint", "double") for _, t in everything.dtypes)
     with pytest.raises(ValueError):
         encode(df, encoding_strategy="hash")
 
@@ -151,3 +158,25 @@ def test_engineer_switches(spark):
     assert stage.report["identifier_columns_dropped"] == ["id"] and "t" not in stage.df.columns
     off = engineer(df, extract_date_features=False, drop_identifiers=False, drop_low_variance=False, drop_high_correlation=False)
     assert off.df.columns == df.columns and off.report == {}
+
+
+def test_date_parts_replace_columns_of_their_name_in_place(spark):
+    df = frame(spark, [(TS(2024, 5, 6), 1, 2, 3)], "d timestamp_ntz, D_Year int, x int, d_day int")
+    out = feat.extract_date_features(df)[0]
+    assert out.columns[:3] == ["d_year", "x", "d_day"] and len(set(c.lower() for c in out.columns)) == len(out.columns)
+    row = out.first()
+    assert (row["d_year"], row["x"], row["d_day"], row["d_month"]) == (2024, 2, 6, 5)
+
+
+def test_wide_mappings_are_stored_and_joined_once(spark):
+    """Without broadcast a coded column is one scan: no later job repeats its lookup."""
+    df = frame(spark, [(i, f"w{i % 700}") for i in range(2000)], "k int, c string")
+    keep = enc.BROADCAST_BYTES
+    enc.BROADCAST_BYTES = 0
+    try:
+        out = enc.encode_columns(df, "frequency")[0]
+    finally:
+        enc.BROADCAST_BYTES = keep
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert out.where("c is null").count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import Facts, chart_data, profile
 from millrace.operators import charts, correlate
-from millrace.operators.counts import distinct_share_reaches, levels, long_text_levels, sketched_distinct
+from millrace.operators.counts import distinct_share_reaches, levels, long_text_levels
 from millrace.operators.quantiles import exact_quantiles
 
 TS = datetime.datetime
@@ -122,15 +122,14 @@ def test_long_text_levels_of_nothing(spark):
     assert long_text_levels(df, "x") == levels(df, ["x"])["x"]
 
 
-def test_distinct_decisions_by_sketch_agree(spark):
+def test_distinct_decisions_agree_at_any_size(spark):
     df = spark.range(20_000).select(
-        F.col("id").alias("unique"), (F.col("id") % 18_500).alias("below"), (F.col("id") % 19_100).alias("close"),
+        F.col("id").alias("unique"), (F.col("id") % 18_500).alias("below"), (F.col("id") % 19_000).alias("close"), (F.col("id") % 18_999).alias("under"),
         F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("half"), F.lit(None).cast("double").alias("nothing"),
     )
-    want = {"unique": True, "below": False, "close": True, "half": False, "nothing": False}
+    want = {"unique": True, "below": False, "close": True, "under": False, "half": False, "nothing": False}
     assert distinct_share_reaches(df, df.columns, 20_000, 0.95, exact_rows=0) == want
     assert distinct_share_reaches(df, df.columns, 20_000, 0.95) == want
-    assert sketched_distinct(df, ["half"])["half"] == pytest.approx(10_000, rel=0.03)
 
 
 def test_profile_sections(spark):
