@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import normalise, ref
 from millrace.operators import profile as prof
+from millrace.operators.charts import correlation_table
 from millrace.operators.counts import top_values
 from millrace.operators.facts import Facts
 from millrace.operators.missing import missing_summary
 from millrace.operators.quantiles import exact_quantiles
+from millrace.sources.writers import summary_table
 
 from .registry import ORDERS_N, orders_n, query, table
 
 
 @query("p1_shape", "SELECT count(*) AS n_rows, 11::BIGINT AS n_cols FROM lineitem")
 def p1(spark, sf):
-    df = table(spark, sf, "lineitem")
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)).cast("bigint"))
+    shape = prof.profile(table(spark, sf, "lineitem"))["shape"]
+    return spark.createDataFrame([(shape["rows"], shape["cols"])], "n_rows bigint, n_cols bigint")
 
 
 @query(
@@ -195,9 +197,30 @@ def p11(spark, sf):
     return spark.createDataFrame(rows, "column string, min string, max string, range_days bigint, missing bigint")
 
 
-@query("r1_rounding", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice, 1) AS price FROM lineitem")
+@query(
+    "r1_rounding",
+    """SELECT l_orderkey || '/' || l_linenumber AS "column", round_even(l_extendedprice / 7, 3) AS mean, round_even(l_quantity * l_tax, 3) + 0.0 AS std FROM lineitem""",
+)
 def r1(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.bround("l_extendedprice", 1).alias("price"))
+    """The rounding of the summary sink, on as many rows as there are line items."""
+    name = F.concat_ws("/", "l_orderkey", "l_linenumber").alias("column")
+    mean, std = F.col("l_extendedprice") / 7, F.col("l_quantity") * F.col("l_tax")
+    return summary_table(table(spark, sf, "lineitem").select(name, mean.alias("mean"), std.alias("std")))
+
+
+_WIDE = {f"w{i:02d}": f"l_extendedprice * {i + 1} + l_quantity * {(i * 7) % 13} - l_partkey % {i + 2}" for i in range(13)}
+_WIDE_PAIRS = [(a, b) for a in _WIDE for b in _WIDE if a < b]
+
+
+@query(
+    "a9_correlation_wide",
+    "WITH w AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem)\n"
+    + "\nUNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 8) AS r FROM w" for a, b in _WIDE_PAIRS),
+)
+def a9_wide(spark, sf):
+    """More pairs than plain aggregate expressions serve."""
+    wide = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()])
+    return correlation_table(Facts(wide)).withColumn("r", F.round("r", 8))
 
 
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]

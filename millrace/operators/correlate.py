@@ -15,6 +15,9 @@ from .measure import measure
 
 # Up to this many pairs the sums are plain aggregate expressions; beyond, per-partition matrices.
 EXPRESSION_PAIRS = 66
+# Tasks that fold rows into matrices, and tasks that merge those.
+MATRIX_TASKS = 4096
+MERGE_TASKS = 8
 _FIELDS = ("n", "x", "y", "xx", "yy", "xy")
 
 
@@ -102,26 +105,23 @@ def _by_matrices(df, pairs, means, with_nulls, rows) -> dict[tuple[str, str], Su
             m = mask.astype(float)
             sq = d * d
             total += np.stack([m.T @ m, d.T @ m, m.T @ d, sq.T @ m, m.T @ sq, d.T @ d])
-        i, j = np.triu_indices(k, 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int32()), pa.array(j, pa.int32())] + [pa.array(total[f, i, j]) for f in range(len(_FIELDS))],
-            names=["i", "j", *_FIELDS],
-        )
-
-    schema = "i int, j int, " + ", ".join(f"{f} double" for f in _FIELDS)
-    summed = (
-        df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-        .mapInArrow(fold, schema)
-        .groupBy("i", "j")
-        .agg(*[F.sum(f).alias(f) for f in _FIELDS])
-    )
-    wanted = set(pairs)
-    out = {}
-    for row in summed.collect():  # one row per pair of columns
-        a, b = columns[row["i"]], columns[row["j"]]
-        s = Sums(*[row[f] for f in _FIELDS])
-        if (a, b) in wanted:
-            out[a, b] = s
-        elif (b, a) in wanted:
-            out[b, a] = Sums(s.n, s.y, s.x, s.yy, s.xx, s.xy)
-    return out
+        yield packed(total)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(_FIELDS), k, k))
+        for batch in batches:
+            for sums in batch.column(0):
+                total += np.frombuffer(sums.as_py()).reshape(total.shape)
+        yield packed(total)
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    # one row of matrices per task, of which there are at most MATRIX_TASKS, merged in two levels
+    numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).coalesce(MATRIX_TASKS)
+    folded = numbers.mapInArrow(fold, "sums binary").repartition(MERGE_TASKS).mapInArrow(merge, "sums binary")
+    total = np.zeros((len(_FIELDS), k, k))
+    for row in folded.collect():  # MERGE_TASKS rows
+        total += np.frombuffer(row["sums"]).reshape(total.shape)
+    place = {c: i for i, c in enumerate(columns)}
+    return {(a, b): Sums(*total[:, place[a], place[b]].tolist()) for a, b in pairs}

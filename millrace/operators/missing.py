@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import POSITION, columns_of, data_columns, ref, replace_columns, roles
+from ..functions.columns import POSITION, data_columns, ref, replace_columns, roles
 from ..functions.dates import from_micros, micros
 from ..workspace import materialise
 from .counts import top_of_counts, value_counts

@@ -10,6 +10,8 @@ from ..functions.columns import columns_of, ref, replace_columns
 from .facts import Facts
 from .measure import measure
 
+# Columns whose rows are removed one after the other are judged so many at a time.
+LOOK_AHEAD = 4
 METHODS = ("iqr", "zscore", "none")
 ACTIONS = ("clip", "remove", "none")
 MIN_VALUES = 4
@@ -101,18 +103,21 @@ def handle_outliers(
 def _remove(facts: Facts, columns: list[str], method: str, multiplier: float, threshold: float):
     """Column by column: the bounds of a column come from the rows the earlier ones left.
 
-    All remaining columns are judged together; only a column that removes rows
-    starts a new round. The result is a chain of literal filters on the source,
-    so nothing has to be stored between rounds.
+    LOOK_AHEAD columns are judged together; a column that removes rows starts a new
+    round behind it, so the scans grow with the columns, not with their square. The
+    result is a chain of literal filters on the source, so nothing has to be stored
+    between rounds.
     """
     report: dict[str, int] = {}
     rest = list(columns)
     while rest:
-        bounds = outlier_bounds(facts, rest, method, multiplier, threshold)
+        judged = rest[:LOOK_AHEAD]
+        bounds = outlier_bounds(facts, judged, method, multiplier, threshold)
         counts = outlier_counts(facts, bounds)
-        hit = next((c for c in rest if c in counts), None)
+        hit = next((c for c in judged if c in counts), None)
         if hit is None:
-            break
+            rest = rest[LOOK_AHEAD:]
+            continue
         lo, hi = bounds[hit]
         report[hit] = counts[hit]
         kept = facts.df.where(ref(hit).isNull() | ref(hit).between(F.lit(lo), F.lit(hi)))

@@ -1,12 +1,15 @@
 """Exact quantiles with bounded memory per task.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which a 100 TB column overflows. Here each wanted order statistic is located by
-counting instead: one pass counts rows per bin of the column's value range
-(partial aggregation keeps at most ``BINS`` rows per column and task), the bin
-that holds the wanted rank becomes the next range, and so on until a bin holds a
-single value. Bins carry their real minimum and maximum, so a pass also skips
-empty gaps, and all columns and ranks advance in the same pass.
+which a 100 TB column overflows. Here a sketch of bounded size brackets every
+wanted rank of every column in one pass; the next pass counts what lies below
+each bracket, and another the few rows inside it, per bin of its value range
+(partial aggregation keeps at most ``BINS`` rows per bracket and task). The bin
+that holds the rank becomes the next range, until a bin holds a single value:
+three passes up to about ten million rows, one more per factor of a thousand.
+Bins carry their real minimum and maximum, so a pass also skips empty gaps. A
+rank outside its bracket, or a bracket that reaches infinity, is searched for in
+the whole column, so the result never rests on the sketch.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ BINS = 1024
 # Up to this many rows the built-in aggregate's buffer is small and one job suffices.
 BUILT_IN_ROWS = 50_000
 _LOG_SPAN = float(2**52)
+# The sketch is off by at most 1 / SKETCH of all ranks; brackets reach twice as far.
+SKETCH = 5000
 
 
 @dataclass
@@ -44,7 +49,7 @@ class _Range:
 
     def key(self, v: Column) -> Column:
         """Bin of ``v``; monotone in v, and lo and hi never share a bin unless equal."""
-        if self.inside <= BINS:
+        if self.inside <= BINS or self.lo == self.hi:
             return v
         share = (v / 2 - self.lo / 2) / F.lit(self.hi / 2 - self.lo / 2)
         if self.lopsided:  # most rows fell into one bin: spread the distances from lo evenly per octave
@@ -88,16 +93,52 @@ def exact_quantiles(
         row = []
         for x in positions[c]:
             low, high = values[c][math.floor(x)], values[c][math.ceil(x)]
-            row.append(low if low == high else low + (high - low) * (x - math.floor(x)))
+            # the weights of the built-in aggregate, so both paths agree to the last digit
+            row.append(low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high)
         result[c] = row
     return result
 
 
-def _order_statistics(
-    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], known: dict[str, tuple[float, float]]
-) -> dict[str, dict[int, float]]:
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    v = {c: ref(c).cast("double") for c in ranks}
+def _brackets(df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], v: dict[str, Column]) -> list[_Range]:
+    """A narrow range around each rank, with the exact number of rows below and inside it."""
+    reach = 2.0 / SKETCH
+    shares = {
+        c: [(k, min(max(k / max(counts[c] - 1, 1) + d, 0.0), 1.0)) for k in sorted(ks) for d in (-reach, reach)] for c, ks in ranks.items()
+    }
+    sketch = {c: F.percentile_approx(v[c], F.array(*[F.lit(p) for _, p in at]), SKETCH) for c, at in shares.items()}
+    ends = measure(df, sketch)
+    # neighbouring ranks (of one quantile, mostly) share a bracket
+    held: dict[tuple[str, float, float], set[int]] = {}
+    for c, at in shares.items():
+        for (k, _), lo, hi in zip(at[::2], ends[c][::2], ends[c][1::2]):
+            if not (math.isfinite(lo) and math.isfinite(hi)):
+                continue
+            for other in [o for o in held if o[0] == c and o[1] <= hi and lo <= o[2]]:
+                lo, hi = min(lo, other[1]), max(hi, other[2])
+                held[c, lo, hi] = held.pop(other) | held.get((c, lo, hi), set())
+            held.setdefault((c, lo, hi), set()).add(k)
+    exprs: dict = {}
+    for c, lo, hi in held:
+        exprs[c, lo, hi, "below"] = F.count_if(v[c] < F.lit(lo))
+        exprs[c, lo, hi, "inside"] = F.count_if(v[c].between(F.lit(lo), F.lit(hi)))
+    got = measure(df, exprs) if exprs else {}
+    out = []
+    for (c, lo, hi), ks in held.items():
+        below, inside = got[c, lo, hi, "below"], got[c, lo, hi, "inside"]
+        reached = {k for k in ks if below <= k < below + inside}
+        if reached:
+            out.append(_Range(c, lo, hi, below, inside, reached))
+    return out
+
+
+def _whole_columns(
+    df: DataFrame,
+    ranks: dict[str, set[int]],
+    counts: dict[str, int],
+    known: dict[str, tuple[float, float]],
+    v: dict[str, Column],
+) -> list[_Range]:
+    """Each column's whole range, for ranks that no bracket holds."""
     ends = {c: known[c] for c in ranks if c in known and all(math.isfinite(x) for x in known[c])}
     unknown = [c for c in ranks if c not in ends]
     if unknown:
@@ -108,6 +149,20 @@ def _order_statistics(
     for r in ranges:
         if r.lo == r.hi:  # one finite value, or none: any positive width keeps the bins apart
             r.hi = math.nextafter(r.lo, math.inf)
+    return ranges
+
+
+def _order_statistics(
+    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], known: dict[str, tuple[float, float]]
+) -> dict[str, dict[int, float]]:
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    v = {c: ref(c).cast("double") for c in ranks}
+    ranges = _brackets(df, ranks, counts, v)
+    bracketed = {(r.column, k) for r in ranges for k in r.ranks}
+    missed = {c: {k for k in ks if (c, k) not in bracketed} for c, ks in ranks.items()}
+    missed = {c: ks for c, ks in missed.items() if ks}
+    if missed:
+        ranges += _whole_columns(df, missed, counts, known, v)
 
     while ranges:
         cells = [x for i, r in enumerate(ranges) for x in (F.lit(i), F.when(r.member(v[r.column]), r.key(v[r.column])), v[r.column])]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import POSITION, columns_of, data_columns, free_name, normalise, ref, replace_columns
+from ..functions.columns import POSITION, data_columns, free_name, normalise, ref, replace_columns
 from ..functions.parsing import null_tokens_to_null
 from ..operators.infer import infer_scan_types
 
