@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_slices
+from .common import bounded_slices, materialise
 from .quality_gbt import labelled_sample
 from .simhash import fingerprint, shingle_hashes
 
@@ -301,33 +301,35 @@ def restore(text: str, restorer: Restorer) -> str:
     return " ".join(w for w in out if w)
 
 
-def choose_words(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Log odds of the words found significantly more often with label 1.
+def evidence_of(toxic: int, clean: int) -> tuple[Column, Column]:
+    """The likelihood ratio of presence against label, and the log odds, of a word in a and b texts of each label."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    n, held = float(toxic + clean), F.col("a").cast("double") + F.col("b").cast("double")
 
-    The likelihood ratio of presence against label must exceed what chance gives to
-    the best of as many words as were seen at least twice.
+    def part(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
+    ratio = 2 * (
+        part(a, held * (toxic / n))
+        + part(b, held * (clean / n))
+        + part(toxic - a, (n - held) * (toxic / n))
+        + part(clean - b, (n - held) * (clean / n))
+    )
+    odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
+    return ratio, odds
+
+
+def choose_words(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Log odds of the words (word, a, b) found significantly more often with label 1.
+
+    The ratio must exceed what chance gives to the best of as many words as were seen
+    at least twice. Only the chosen words reach the driver.
     """
-    tested = max(2, sum(a + b > 1 for a, b in counts.values()))
-    least = 2.0 * math.log(tested / 0.05)
-
-    def part(k: float, expected: float) -> float:
-        return k * math.log(k / expected) if k else 0.0
-
-    out = {}
-    n = toxic + clean
-    for word, (a, b) in counts.items():
-        if a < 2 or a * clean <= b * toxic:
-            continue
-        with_word = a + b
-        g = 2 * (
-            part(a, with_word * toxic / n)
-            + part(b, with_word * clean / n)
-            + part(toxic - a, (n - with_word) * toxic / n)
-            + part(clean - b, (n - with_word) * clean / n)
-        )
-        if g > least:
-            out[word] = math.log((a + 0.5) / (toxic + 1.0)) - math.log((b + 0.5) / (clean + 1.0))
-    return out
+    tested = max(2, counts.where("a + b > 1").count())
+    ratio, odds = evidence_of(toxic, clean)
+    more_often = (F.col("a") >= 2) & (F.col("a") * clean > F.col("b") * toxic)
+    chosen = counts.where(more_often & (ratio > 2.0 * math.log(tested / 0.05))).select("word", odds.alias("odds"))
+    return {r["word"]: r["odds"] for r in chosen.collect()}
 
 
 def fit_curve(evidence: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -365,20 +367,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, model: np.ndarr
 
     # copies count once: of equal fingerprints and labels one row stays
     read = sample.mapInArrow(marks, "y int, fp long, words array<string>")
-    read = read.groupBy("fp", "y").agg(F.min("words").alias("words"))
+    read = materialise(read.groupBy("fp", "y").agg(F.min("words").alias("words")), "read")
     sizes = {r["y"]: r["n"] for r in read.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         share = (toxic + 1.0) / (toxic + clean + 2.0)
         return WordModel({}, math.log(share / (1 - share)), 0.0)
-    found = (
-        read.select("y", F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where("a + b > 1")
-        .collect()
-    )
-    weights = choose_words({r["word"]: (r["a"], r["b"]) for r in found}, toxic, clean)
+    counts = read.select("y", F.explode("words").alias("word")).groupBy("word")
+    counts = materialise(counts.agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "word_counts")
+    weights = choose_words(counts, toxic, clean)
     listed = F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")
     held = read.select("y", F.array_intersect("words", listed).alias("words")).groupBy("y", "words").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = sorted((r["y"], sum(weights[w] for w in sorted(r["words"])), r["n"]) for r in held)

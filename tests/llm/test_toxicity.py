@@ -90,3 +90,22 @@ def test_edges(edges, edge_rows, nothing, spark):
     none = X.train(nothing, labels, F.lit(True), X.character_model(nothing))
     assert none.weights == {} and none.probability(np.zeros(1))[0] == pytest.approx(0.5)
     assert X.score(nothing, model, none, ["doc_id"]).collect() == []
+
+
+def test_words_are_chosen_by_significance(spark):
+    """Against the plain formula, with zeros among the counts."""
+    import math
+
+    rows = [("bad", 18, 0), ("half", 10, 10), ("rare", 2, 0), ("clean", 0, 50), ("worse", 30, 2), ("once", 1, 0)]
+    toxic, clean = 40, 300
+
+    def ratio(a, b):
+        n, held = toxic + clean, a + b
+        cells = [(a, held * toxic / n), (b, held * clean / n), (toxic - a, (n - held) * toxic / n), (clean - b, (n - held) * clean / n)]
+        return 2 * sum(k * math.log(k / e) for k, e in cells if k)
+
+    least = 2 * math.log(5 / 0.05)
+    got = X.choose_words(spark.createDataFrame(rows, "word string, a long, b long"), toxic, clean)
+    want = {w for w, a, b in rows if a >= 2 and a * clean > b * toxic and ratio(a, b) > least}
+    assert set(got) == want == {"bad", "half", "worse"}
+    assert got["bad"] == pytest.approx(math.log(18.5 / 41) - math.log(0.5 / 301))
