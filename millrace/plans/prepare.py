@@ -15,7 +15,7 @@ from ..operators.missing import check_order
 from ..operators.profile import QUARTILES, profile
 from ..sources.readers import detect_format, load
 from ..sources.writers import require_apart, save_report, save_table
-from ..workspace import materialise
+from ..workspace import materialise, recorded, release
 from .config import Settings
 from .stages import clean, encode, engineer
 
@@ -25,6 +25,11 @@ class Prepared(NamedTuple):
     report: dict
     charts: dict[str, DataFrame]
     mappings: DataFrame
+    scratch: list[str] = []
+
+    def release(self) -> None:
+        """Delete the scratch tables behind the result, once it has been written or is no longer needed."""
+        release(self.df.sparkSession, self.scratch)
 
 
 def prepare(
@@ -38,6 +43,12 @@ def prepare(
 
     Keywords beyond the named ones override fields of ``settings``.
     """
+    with recorded() as scratch:
+        result = _prepare(source, spark, settings, load_options, changes)
+    return result._replace(scratch=scratch)
+
+
+def _prepare(source, spark, settings, load_options, changes: dict) -> Prepared:
     s = replace(settings or Settings(), **changes)
     if isinstance(source, DataFrame):
         raw, spark = normalise(source), source.sparkSession

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_RECORDS: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,5 +44,26 @@ def scratch_path(spark: SparkSession, label: str, suffix: str = "") -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as parquet, return a scan of it."""
     path = scratch_path(df.sparkSession, label)
+    for record in _RECORDS:
+        record.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the scratch tables that are written while the block runs."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS.remove(record)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables; whatever reads them can no longer be run."""
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

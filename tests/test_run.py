@@ -137,3 +137,30 @@ def test_text_table_with_duplicates_and_file_order(spark, tmp_path):
     assert result.report["cleaning"]["duplicates_removed"] == 28
     late = result.df.where(F.col("v") >= 1000).collect()
     assert [r["t_day"] for r in late] == [28, 28]  # the last date before them in the file
+
+
+def test_scratch_tables_can_be_released(spark, tmp_path):
+    import os
+
+    path = tmp_path / "r.csv"
+    path.write_text("a,b\n" + "".join(f"{i},{i % 7}\n" for i in range(50)))
+    result = prepare(str(path), spark=spark, visualize=False)
+    assert result.scratch and all(os.path.isdir(p.removeprefix("file:")) for p in result.scratch)
+    assert result.df.count() == 50
+    result.release()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in result.scratch)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from millrace import workspace
+
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.scratch_root(Session())
