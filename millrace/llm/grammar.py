@@ -44,7 +44,7 @@ LEAST = 12
 BREADTH = 48
 RESTS = 0.01
 # Distinct words a worker process remembers; when full it forgets the rarer half.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 # Odd multipliers, one per round, so pairs that share a slot once part in the next.
 _MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(64)]
 
@@ -212,6 +212,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.suffixes: dict[str, list[int]] = {}
+        self.break_ids = [t.id for t in self.tokenizer.model.tokenize(self.letters[10])]
         self.known = Numbering()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
@@ -233,15 +234,15 @@ class WordEncoder:
             text = text.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(text)]
 
-    def word(self, word: str) -> list[int] | None:
-        """Ids of a blank and a plain word, or None."""
+    def word(self, word: str, blank: str = " ") -> list[int] | None:
+        """Ids of ``blank`` and a plain word, or None."""
         core = word.rstrip(self.PLAIN_MARKS)
         if not core.isalpha():
-            return None
+            return self.lines(word) if "\n" in core else None
         if core.isascii():
-            ids = [t.id for t in self.tokenizer.model.tokenize("Ġ" + core)]
+            ids = [t.id for t in self.tokenizer.model.tokenize("Ġ" + core if blank else core)]
         elif max(core) < "ɐ":
-            ids = self.piece(" " + core)
+            ids = self.piece(blank + core)
         else:
             return None
         if len(core) < len(word):
@@ -250,7 +251,18 @@ class WordEncoder:
                 if len(self.suffixes) > 50_000:
                     self.suffixes = {}
                 self.suffixes[marks] = self.piece(marks)
-            ids += self.suffixes[marks]
+            ids = ids + self.suffixes[marks]
+        return ids
+
+    def lines(self, word: str) -> list[int] | None:
+        """Plain words with single line breaks between them: each break is a pre-token of its own."""
+        parts = word.split("\n")
+        ids = self.word(parts[0])
+        for part in parts[1:]:
+            more = self.word(part, "") if ids is not None and part else None
+            if more is None:
+                return None
+            ids = ids + self.break_ids + more
         return ids
 
     def whole(self, texts: list[str]) -> list[list[int]]:

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", " ", "  a", "a  b", " a", "a ", "\n", "a \n b", "a\n b", "x  \n\n y", "it's don't I'll we're", "<|endoftext|> x",
     "a<|endoftext|>b", "naïve café — ü", "日本語 テスト", "1,000 22nd $5.00", "\t\ttab  x", "word's. \"q\"", "é", "end.\n",
-    "a　 b", "x\x1c y", "don’t “q”", "a.b c!d ?! ...", "MIXED Case wörter,", "́x ý", "a b c d",
+    "a　 b", "x\x1c y", "don’t “q”", "u.\nVw x.\nYé\nz", "u\n\nv w\n", "u\n.v a\nb c\n1", "a.b c!d ?! ...", "MIXED Case wörter,", "́x ý", "a b c d",
 ]
 
 
