@@ -110,3 +110,31 @@ def x0v(spark, sf):
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("chart"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    "x0v_chart_contents",
+    """WITH v AS (SELECT unnest(['value', 'user_id']) AS c, unnest([value, user_id::DOUBLE]) AS v, ts FROM events),
+            q AS (SELECT c, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY c),
+            t AS (SELECT c, w, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, w) AS place
+                  FROM (SELECT unnest(['event_type', 'props']) AS c, unnest([event_type, props::VARCHAR]) AS w FROM events) WHERE w IS NOT NULL GROUP BY c, w)
+       SELECT 'histogram' AS chart, c || '/' || least(floor((v - lo) / (hi - lo) * 30), 29)::INT AS item, count(*)::DOUBLE AS number FROM v JOIN q USING (c) GROUP BY 1, 2
+       UNION ALL SELECT 'monthly', c || '/' || strftime(ts, '%Y-%m'), round(avg(v), 4) FROM v GROUP BY 1, 2
+       UNION ALL SELECT 'top', c || '/' || w, n::DOUBLE FROM t WHERE place <= 15
+       UNION ALL SELECT 'box', c || '/' || unnest(['q1', 'median', 'q3']), round(unnest([q1, q2, q3]), 4) FROM q""",
+)
+def x0v_contents(spark, sf):
+    made = charts.chart_data(table(spark, sf, "events"))
+
+    def tall(chart, df, item, number):
+        return df.select(F.lit(chart).alias("chart"), item.alias("item"), number.cast("double").alias("number"))
+
+    name = lambda *parts: F.concat_ws("/", *parts)
+    out = tall("histogram", made["histogram"], name("column", "bin"), F.col("n"))
+    out = out.unionByName(tall("top", made["top"], name("column", "value"), F.col("n")))
+    for c in ("value", "user_id"):
+        month = F.date_format("month", "yyyy-MM")
+        out = out.unionByName(tall("monthly", made["monthly:ts"], name(F.lit(c), month), F.round(c, 4)))
+    for c in ("q1", "median", "q3"):
+        out = out.unionByName(tall("box", made["box"], name("column", F.lit(c)), F.round(c, 4)))
+    return out
