@@ -9,10 +9,11 @@ model and the channel costs is the restored text. Other tokens have one path onl
 themselves, and skip the search.
 
 From a bounded, hash-chosen sample of labelled rows (``sample_rows``; texts that
-share a fingerprint count once) words are taken whose link with the label is
-significant after a Bonferroni correction. A document's evidence is the sum of the
-log odds of the distinct ones it holds; a logistic curve fitted to the sample turns
-it into a score. Whole texts are scored.
+share a fingerprint count once) words and word beginnings are taken whose link with
+the label is significant after a Bonferroni correction; beginnings serve languages
+that inflect and compound. Each distinct word of a document counts with the largest
+log odds among those it matches; a logistic curve over the root of their sum, fitted
+to the sample, gives the score. Whole texts are scored.
 
 Defined results: null and empty texts hold no evidence and get the score of a text
 without any; without labelled rows, or labels of one kind only, every row gets the
@@ -50,6 +51,10 @@ WILD = "*#%?"
 SEPARATORS = ".-_*~^'`,:;/\\|+=#!&"
 EDGE = ".,;:!?\"'()[]{}<>…|*#%&~^_-=+/\\`“”‘’«»¿¡"
 
+# Lengths of the word beginnings that are features beside whole words; they carry a mark.
+STEMS = range(4, 11)
+STEM = "*"
+
 # Channel costs (natural logs).
 COST_LEET, COST_WILD, COST_SKIP, COST_END, COST_ONCE, COST_TWICE, COST_LITERAL = -0.7, -3.5, -1.0, -3.0, -0.3, -0.6, -8.0
 _RUN = re.compile(r"(.)\1\1")
@@ -217,39 +222,71 @@ def single_runs(flags: np.ndarray, least: int = 3) -> list[tuple[int, int]]:
 
 @dataclass
 class WordModel:
-    """Evidence of words, and the logistic curve over its sum."""
+    """Log odds of words and (marked) word beginnings, and the logistic curve over the evidence."""
 
     weights: dict[str, float]
     base: float
     slope: float
 
+    def of(self, word: str) -> float:
+        """The largest log odds of the word and its beginnings; 0 without any."""
+        found = [self.weights.get(word, 0.0)]
+        found += [self.weights.get(word[:k] + STEM, 0.0) for k in STEMS if k < len(word)]
+        return max(found)
+
+    def disguised(self) -> set[str]:
+        """Whole words without doubled letters, for a look into tokens with doubled letters."""
+        return {collapsed(w) for w in self.weights if not w.endswith(STEM)}
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.base + self.slope * evidence, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.base + self.slope * np.sqrt(evidence), -30, 30)))
 
 
 class TextReader:
-    """Numbers of the words of interest in texts; remembers the distinct tokens it has restored."""
+    """Evidence of texts; remembers the distinct tokens it has restored."""
 
     SINGLE, NOTHING = -2, -1
 
-    def __init__(self, restorer: Restorer, number: dict[str, int]):
-        self.restorer, self.number = restorer, number
+    def __init__(self, restorer: Restorer, learned: WordModel):
+        self.restorer, self.learned = restorer, learned
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.several: list[list[int]] = []
+        self.number: dict[str, int] = {}
+        self.values: list[float] = []
+
+    def numbers(self, words: list[str]) -> list[int]:
+        """Numbers of the words that are evidence."""
+        out = []
+        for word in words:
+            if word not in self.number:
+                value = self.learned.of(word)
+                self.number[word] = len(self.values) if value > 0 else self.NOTHING
+                if value > 0:
+                    self.values.append(value)
+            if self.number[word] != self.NOTHING:
+                out.append(self.number[word])
+        return sorted(set(out))
 
     def of(self, token: str) -> int:
         """A word's number; below SINGLE a list of several; SINGLE for single characters."""
         if single(token):
             return self.SINGLE
-        found = sorted({self.number[w] for w in self.restorer.words(token) if w in self.number})
+        words = self.restorer.words(token)
+        if len(words) == 1 and not self.learned.of(words[0]):
+            return self.NOTHING
+        found = self.numbers(words)
         if len(found) < 2:
             return found[0] if found else self.NOTHING
         self.several.append(found)
         return self.SINGLE - len(self.several)
 
-    def read(self, text: str) -> set[int]:
+    def evidence(self, text: str) -> float:
+        """Sum over the distinct words of a text."""
         if len(self.known) > REMEMBERED:
-            self.known, self.several = {}, []
+            self.forget()
         tokens = text.split()
         known = self.known
         try:
@@ -267,8 +304,9 @@ class TextReader:
         if self.SINGLE in special:
             for s, e in single_runs(ids == self.SINGLE):
                 joined = " ".join(single(t) for t in tokens[s:e])
-                out.update(self.number[w] for w in decode(joined, self.restorer.model).split() if w in self.number)
-        return out
+                out.update(self.numbers(decode(joined, self.restorer.model).split()))
+        # in the order of values: the sum does not depend on what was read before
+        return math.fsum(self.values[k] for k in out)
 
 
 def restored_words(text: str, restorer: Restorer, memory: dict[str, list[str]]) -> set[str]:
@@ -301,7 +339,21 @@ def restore(text: str, restorer: Restorer) -> str:
     return " ".join(w for w in out if w)
 
 
-def evidence_of(toxic: int, clean: int) -> tuple[Column, Column]:
+def features(words: Column) -> Column:
+    """The distinct words and marked word beginnings of a list of words."""
+
+    def of(word: Column) -> Column:
+        longest = F.least(F.length(word) - 1, F.lit(STEMS[-1]))
+        stems = F.when(
+            longest >= STEMS[0],
+            F.transform(F.sequence(F.lit(STEMS[0]), longest), lambda k: F.concat(F.substring(word, 1, k), F.lit(STEM))),
+        ).otherwise(F.array().cast("array<string>"))
+        return F.array_append(stems, word)
+
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: of(w))))
+
+
+def association(toxic: int, clean: int) -> tuple[Column, Column]:
     """The likelihood ratio of presence against label, and the log odds, of a word in a and b texts of each label."""
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n, held = float(toxic + clean), F.col("a").cast("double") + F.col("b").cast("double")
@@ -326,15 +378,15 @@ def choose_words(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     at least twice. Only the chosen words reach the driver.
     """
     tested = max(2, counts.where("a + b > 1").count())
-    ratio, odds = evidence_of(toxic, clean)
+    ratio, odds = association(toxic, clean)
     more_often = (F.col("a") >= 2) & (F.col("a") * clean > F.col("b") * toxic)
     chosen = counts.where(more_often & (ratio > 2.0 * math.log(tested / 0.05))).select("word", odds.alias("odds"))
     return {r["word"]: r["odds"] for r in chosen.collect()}
 
 
 def fit_curve(evidence: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Base and slope of a logistic curve by Newton steps, the slope lightly shrunk to zero."""
-    x = np.stack([np.ones(len(y)), evidence], axis=1)
+    """Base and slope of a logistic curve over the root of the evidence by Newton steps, the slope lightly shrunk."""
+    x = np.stack([np.ones(len(y)), np.sqrt(evidence)], axis=1)
     w = np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
     prior = np.array([1e-6, 0.5])
     for _ in range(50):
@@ -373,28 +425,32 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, model: np.ndarr
     if not toxic or not clean:
         share = (toxic + 1.0) / (toxic + clean + 2.0)
         return WordModel({}, math.log(share / (1 - share)), 0.0)
-    counts = read.select("y", F.explode("words").alias("word")).groupBy("word")
+    counts = read.select("y", F.explode(features(F.col("words"))).alias("word")).groupBy("word")
     counts = materialise(counts.agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "word_counts")
-    weights = choose_words(counts, toxic, clean)
-    listed = F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")
-    held = read.select("y", F.array_intersect("words", listed).alias("words")).groupBy("y", "words").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = sorted((r["y"], sum(weights[w] for w in sorted(r["words"])), r["n"]) for r in held)
+    learned = WordModel(choose_words(counts, toxic, clean), 0.0, 0.0)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [math.fsum(map(learned.of, words)) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], ["y", "evidence"])
+
+    held = read.select("y", "words").mapInArrow(weigh, "y int, evidence double")
+    rows = sorted((r["y"], r["evidence"], r["n"]) for r in held.groupBy("y", "evidence").agg(F.count(F.lit(1)).alias("n")).collect())
     y = np.repeat([r[0] for r in rows], [r[2] for r in rows]).astype(float)
     evidence = np.repeat([r[1] for r in rows], [r[2] for r in rows])
-    return WordModel(weights, *fit_curve(evidence, y))
+    return WordModel(learned.weights, *fit_curve(evidence, y))
 
 
 def score(docs: DataFrame, model: np.ndarray, learned: WordModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, score and predicted."""
     own = docs.select(*[F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)], F.col("text").alias("__text"))
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
-    grams, names = model.tolist(), sorted(learned.weights)
-    values = np.array([learned.weights[w] for w in names])
+    grams = model.tolist()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TextReader(Restorer(grams, {collapsed(w) for w in names}), {w: i for i, w in enumerate(names)})
+        reader = TextReader(Restorer(grams, learned.disguised()), learned)
         for part, texts in bounded_slices(batches, "__text"):
-            evidence = np.array([values[sorted(reader.read(t))].sum() if t else 0.0 for t in texts])
+            evidence = np.array([reader.evidence(t) for t in texts])
             p = learned.probability(evidence)
             kept = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])

@@ -58,7 +58,7 @@ def test_viterbi_finds_the_best_reading(trained, token):
 
 
 def test_disguised_words_are_restored(trained):
-    restorer = X.Restorer(trained[2].tolist(), {X.collapsed(w) for w in trained[3].weights})
+    restorer = X.Restorer(trained[2].tolist(), trained[3].disguised())
     cases = {
         "you 1d10t": "you idiot", "i d i o t": "idiot", "cl0wn!!": "clown", "m.o.r.o.n": "moron", "$cum": "scum",
         "tra$h": "trash", "stuuuupid": "stupid", "stuupid": "stupid", "w0rthle$$": "worthless", "IDIOT": "idiot",
@@ -109,3 +109,15 @@ def test_words_are_chosen_by_significance(spark):
     want = {w for w, a, b in rows if a >= 2 and a * clean > b * toxic and ratio(a, b) > least}
     assert set(got) == want == {"bad", "half", "worse"}
     assert got["bad"] == pytest.approx(math.log(18.5 / 41) - math.log(0.5 / 301))
+
+
+def test_features_and_evidence(spark):
+    row = spark.createDataFrame([(["abc", "abcde", "abcdef", "abcde"],)], "w array<string>").select(X.features(F.col("w")).alias("f")).first()
+    assert sorted(row.f) == ["abc", "abcd*", "abcde", "abcde*", "abcdef"]
+    learned = X.WordModel({"bad": 3.0, "dread*": 2.0, "dreadful": 5.0}, -4.0, 2.0)
+    assert [learned.of(w) for w in ("bad", "badly", "dread", "dreadly", "dreadful")] == [3.0, 0.0, 0.0, 2.0, 5.0]
+    model = X.smoothed(np.zeros((27, 27, 27))).tolist()
+    reader = X.TextReader(X.Restorer(model, learned.disguised()), learned)
+    assert reader.evidence("Bad, bad! dreadly dreadest fine dreadful.") == 3 + 2 + 2 + 5
+    assert reader.evidence("") == reader.evidence("fine fine") == 0
+    assert np.allclose(learned.probability(np.array([0.0, 4.0])), [1 / (1 + np.exp(4)), 0.5])
