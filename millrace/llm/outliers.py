@@ -4,8 +4,8 @@ Statistics of the whole text are counted with built-in expressions. Transformed,
 form a vector per document. For every group of language and source a minimum
 covariance determinant estimate is fitted: from a deterministic start (medians and
 median deviations per coordinate), concentration steps take the half of the group
-nearest by Mahalanobis distance and estimate centre and covariance anew, until
-nothing moves. A floor on the variances (``floors``) keeps the matrix regular where
+(``HALF`` of its rows, rounded up) nearest by Mahalanobis distance and estimate centre
+and covariance anew, until nothing moves; so less than half of a group may be junk. A floor on the variances (``floors``) keeps the matrix regular where
 most documents agree exactly, and says which differences never matter. Rows whose
 distance to the reweighted estimate exceeds ``cutoff`` are rejected.
 
@@ -31,8 +31,8 @@ from .common import SPACES, materialise, n_words, skew_join, words
 WINDOW = 5
 LEAST_ROWS = 50
 STEPS = 12
-# Share of a group's rows an estimate rests on.
-HALF = 0.75
+# Share of a group's rows an estimate rests on; the floors keep it regular.
+HALF = 0.5
 # Squared distance beyond which a row is rejected: far above the 0.9999 quantile (25.7)
 # of the chi-squared distribution with five degrees of freedom, for tails heavier than normal.
 CUTOFF = 60.0

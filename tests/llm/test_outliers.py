@@ -76,6 +76,19 @@ def test_distances_match_a_matrix_computation(spark):
     assert (want[:30] > O.CUTOFF).all() and (want[30:] < O.CUTOFF).all()
 
 
+def test_two_fifths_of_a_group_may_be_junk(spark):
+    """A hot source of 40% junk, beside a clean one; junk is spread, so that fitting it swells the covariance."""
+    rng = np.random.default_rng(7)
+    x = rng.multivariate_normal([5, 5, 0.1, 0.1, 0], np.diag([0.3, 0.1, 0.001, 0.005, 0.001]), 600)
+    junk = np.arange(600) < 160
+    x[junk] += rng.uniform(0.5, 3, (160, 1)) * np.array([-1, 2, 0.4, 0.4, 0.3])
+    rows = [(i, "en", "hot" if i < 400 else "b", *map(float, v)) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "row long, lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r.row: r.distance for r in O.robust_distances(frame).collect()}
+    far = np.array([got[i] for i in range(600)]) > O.CUTOFF
+    assert far[junk].mean() > 0.9 and not far[~junk].any()
+
+
 def test_small_groups_are_pooled(spark):
     rows = [(i, "en", f"s{i % 20}", 5.0 + i % 7 / 7, 5.0, 0.0, 0.0, 0.0) for i in range(100)]
     rows += [(1000, "fr", None, 5.0, 5.0, 9.0, 0.0, 0.0)]
