@@ -6,7 +6,9 @@ disguised become lattices: leetspeak and wildcard symbols may stand for letters,
 separators inside a token or between single characters may be nothing or a word
 end, and repeated letters may be one or two. The Viterbi path under the character
 model and the channel costs is the restored text. Other tokens have one path only,
-themselves, and skip the search.
+themselves, and skip the search. Texts are composed (NFC) first and accents of Latin
+letters dropped; letters and marks of other scripts pass the search as they are, the
+character model knows a to z only. Symbols stand for Latin letters.
 
 From a bounded, hash-chosen sample of labelled rows (``sample_rows``; texts that
 share a fingerprint count once) words and word beginnings are taken whose link with
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,8 +66,6 @@ _DECORATION = re.compile(r"^[$@]{3,}|[$@]{3,}$")
 
 def _letter_codes() -> np.ndarray:
     """Code point to letter: 1 to 26 for a to z with case and accents removed, else 0 (a boundary)."""
-    import unicodedata
-
     table = np.zeros(0x250, np.int64)
     for point in range(len(table)):
         plain = unicodedata.normalize("NFKD", chr(point).lower())[:1].lower()
@@ -77,6 +78,25 @@ CODES = _letter_codes()
 FOLD = {point: chr(96 + code) for point, code in enumerate(CODES.tolist()) if code}
 
 
+# Accents that no composed letter holds, such as strokes through the letters.
+_ACCENTS = re.compile("(?<=[A-Za-z\u00c0-\u024f])[\u0300-\u036f]+")
+
+
+def composed(text: str) -> str:
+    """``text`` in composed form, Latin letters without further accents."""
+    return text if text.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFC", text))
+
+
+def folded(token: str) -> str:
+    """A token in lower case, Latin letters without accents."""
+    return composed(token).translate(FOLD).lower()
+
+
+def is_other(c: str) -> bool:
+    """Whether ``c`` is a letter or mark that the character model does not know."""
+    return not c.isascii() and (c.isalpha() or unicodedata.category(c)[0] == "M")
+
+
 def letter_codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 0)
@@ -84,7 +104,7 @@ def letter_codes(text: str) -> np.ndarray:
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """Counts (27 ** 3) of letter trigrams; words begin after two boundaries and end with one."""
-    codes = letter_codes("  " + "  ".join(texts) + " ")
+    codes = letter_codes("  " + "  ".join(map(composed, texts)) + " ")
     # one boundary is enough to end a word, two begin the next
     codes = codes[np.append(True, (codes[1:] > 0) | (codes[:-1] > 0))]
     opens = np.flatnonzero((codes[:-1] == 0) & (codes[1:] > 0)) + 1
@@ -136,6 +156,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             n = run - i
             readings = [(c, 0.0)] if n == 1 else [(c, COST_ONCE if n > 2 else -1.5), (c * 2, COST_TWICE if n > 2 else 0.0)]
             i = run
+        elif is_other(c):
+            n = run - i
+            readings = [(c * n, 0.0)] if n < 3 or not c.isalpha() else [(c, COST_ONCE), (c * 2, COST_TWICE)]
+            i = run
         else:
             readings += [(letter, COST_LEET) for letter in LEET.get(c, "")]
             if c in WILD:
@@ -167,6 +191,10 @@ def decode(token: str, model: list[list[list[float]]]) -> str:
                             now += model[p][q][0]
                             out += " "
                         p = q = 0
+                    elif letter > "z":
+                        # of a script the model does not know: no cost, and a new beginning for the model
+                        out += letter
+                        p = q = 0
                     else:
                         k = ord(letter) - 96
                         now += model[p][q][k]
@@ -181,7 +209,7 @@ def decode(token: str, model: list[list[list[float]]]) -> str:
 
 def core_of(token: str) -> str:
     """A token in lower case and without accents and outer punctuation; up to two outer $ or @ may be letters."""
-    return _DECORATION.sub("", token.lower().translate(FOLD).strip(EDGE)).strip(EDGE)
+    return _DECORATION.sub("", folded(token).strip(EDGE)).strip(EDGE)
 
 
 @dataclass
@@ -196,7 +224,7 @@ class Restorer:
         core = core_of(token)
         if not core:
             return []
-        if core.isalpha():
+        if core.isalpha() or all("a" <= c <= "z" or is_other(c) for c in core):
             if not _RUN.search(core) and not (self.wanted and collapsed(core) in self.wanted):
                 return [core]
         elif not any(c.isalpha() for c in core):
@@ -210,7 +238,7 @@ def collapsed(word: str) -> str:
 
 def single(token: str) -> str:
     """The character of a token that is one letter or disguised letter, else empty."""
-    core = token.lower().translate(FOLD).strip(".,;:-_\"'()[]") or token[:1]
+    core = folded(token).strip(".,;:-_\"'()[]") or token[:1]
     return core if len(core) == 1 and ("a" <= core <= "z" or core in LEET or core in WILD) else ""
 
 

@@ -67,6 +67,30 @@ def test_disguised_words_are_restored(trained):
     assert {t: X.restore(t, restorer) for t in cases} == cases
 
 
+def test_letters_outside_a_to_z_stay(trained):
+    restorer = X.Restorer(trained[2].tolist(), trained[3].disguised())
+    cases = {
+        "imbe\u0301cile": "imbecile", "IMBE\u0301CILE": "imbecile", "i\u0336d\u0336i\u0336o\u0336t\u0336": "idiot", "İdiot": "idiot",
+        "große": "große", "Größße": "größße".replace("ö", "o"), "durak-дурак": "durakдурак", "д.у.р.а.к": "дурак", "дурррак": "дурак",
+        "и\u0306": "й", "ДУРАК!": "дурак", "हिन्दी": "हिन्दी", "ภาษาไทย": "ภาษาไทย", "l\u0301": "l",
+    }
+    assert {t: " ".join(restorer.words(t)) for t in cases} == cases
+    # no letter is lost beside hyphens, digits or runs
+    for token in ("Straßen-Fest", "groß3", "œuvre-œuvre", "какой-то", "в3к", "łłłódź", "你好,世界", "ααα-β"):
+        kept = {c for c in X.core_of(token) if X.is_other(c)}
+        assert kept and kept <= set("".join(restorer.words(token)))
+
+
+def test_decomposed_texts_count_as_composed():
+    assert (X.trigram_counts(["Das O\u0308l, e\u0301te\u0301"]) == X.trigram_counts(["Das Öl, été"])).all()
+
+
+def test_evidence_in_other_scripts():
+    learned = X.WordModel({"дурак": 3.0, "große": 2.0, "imbecile": 5.0}, -4.0, 2.0)
+    reader = X.TextReader(X.Restorer(X.smoothed(np.zeros((27, 27, 27))).tolist(), learned.disguised()), learned)
+    assert [reader.evidence(t) for t in ("дурррак", "gro\u00dfe", "imbe\u0301cile", "д-у-р-а-к")] == [3, 2, 5, 3]
+
+
 def test_held_out_and_disguised(spark, trained):
     docs, labels, model, learned = trained
     scored = X.score(docs, model, learned, ["doc_id", "held_out"]).join(labels, "doc_id").toPandas()
