@@ -4,7 +4,8 @@ Documents are encoded in ascending order of their ids, each closed by an end id,
 cut into shards of about ``shard_tokens`` ids (one document at least). In a shard,
 rounds replace frequent pairs of symbols by new symbols: a round counts pairs, takes
 those that occur ``least`` times or more and at least 1 / BREADTH as often as the most
-frequent, and where they overlap the more frequent one wins. A shard stores the
+frequent, and where they overlap the more frequent one wins. The rounds end when no
+pair has ``least`` uses. A shard stores the
 rules, the expansion length of each, and the rest of the sequence, so any range of
 ids is decoded without the others (``decode_range``).
 
@@ -38,15 +39,12 @@ from .common import Numbering, bounded_batches, process_memory, scratch_path
 
 END = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 12
-LEAST = 12
-# A round takes pairs down to 1 / BREADTH of the most frequent; the rounds end when one replaces less than RESTS of all symbols.
+# Uses from which on a rule saves more than it takes.
+LEAST = 3
+# A round takes pairs down to 1 / BREADTH of the most frequent.
 BREADTH = 48
-RESTS = 0.01
 # Distinct words a worker process remembers; when full it forgets the rarer half.
 REMEMBERED = 1_000_000
-# Odd multipliers, one per round, so pairs that share a slot once part in the next.
-_MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(64)]
 
 
 # Grammar
@@ -66,63 +64,97 @@ class Shard:
         return np.where(rule, self.lengths[np.where(rule, symbols - self.base, 0)] if len(self.lengths) else 1, 1)
 
 
-def compress(ids: np.ndarray, *, rounds: int = ROUNDS, least: int = LEAST) -> Shard:
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which occurrences (ascending positions, rank of their pair) are taken: none overlaps another, higher ranks first."""
+    chosen, alive = np.zeros(len(at), bool), np.ones(len(at), bool)
+    touch = at[1:] == at[:-1] + 1
+    for _ in range(2):
+        now = np.where(alive, rank, -1)
+        best = alive.copy()
+        best[1:] &= ~touch | (now[1:] > now[:-1])
+        best[:-1] &= ~touch | (now[:-1] > now[1:])
+        chosen |= best
+        alive &= ~best
+        alive[1:] &= ~(touch & best[:-1])
+        alive[:-1] &= ~(touch & best[1:])
+    return chosen
+
+
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of pairs, and the pairs in it; sorted together with their places where 64 bits hold both."""
+    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    place, half = len(keys).bit_length(), int(low.max()).bit_length() if len(keys) else 0
+    if not len(keys) or int(high.max()).bit_length() + half + place > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    joined = (((high << np.uint64(half)) | low) << np.uint64(place)) | np.arange(len(keys), dtype=np.uint64)
+    joined.sort()
+    order = (joined & np.uint64((1 << place) - 1)).astype(np.int64)
+    return order, keys[order]
+
+
+def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs with ``least`` or more occurrences that do not overlap themselves, and enough of the most frequent one's:
+    positions in ascending order, the number of the pair at each, the pairs, their counts."""
+    left, right = sequence[:-1], sequence[1:]
+    bits = max(10, min(20, len(sequence).bit_length()))
+    slot = left * np.uint32(0x9E3779B1)
+    slot ^= right * np.uint32(0x85EBCA6B)
+    slot *= np.uint32(0xC2B2AE35)
+    slot = (slot >> np.uint32(32 - bits)).astype(np.int64)
+    total = np.bincount(slot, minlength=1 << bits)
+    # of a run of one symbol every second position counts
+    same = left == right
+    index = np.arange(len(left))
+    even = ~same | ((index - np.maximum.accumulate(np.where(same, -1, index))) % 2 == 1)
+    need = max(least, int(total.max()) // BREADTH)
+    while True:
+        # a slot's total is no less than the count of any of its pairs
+        at = np.flatnonzero((total >= need)[slot] & even)
+        keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+        order, ranged = _ordered(keys)
+        opens = np.flatnonzero(np.append(True, ranged[1:] != ranged[:-1])) if len(at) else np.zeros(0, np.int64)
+        count = np.diff(np.append(opens, len(at)))
+        number = np.empty(len(at), np.int64)
+        number[order] = np.repeat(np.arange(len(opens)), count)
+        enough = count >= need
+        if enough.any() or need == least:
+            break
+        need = least
+    kept = enough[number] if len(at) else np.zeros(0, bool)
+    return at[kept], number[kept], ranged[opens], count
+
+
+def compress(ids: np.ndarray, *, rounds: int | None = None, least: int = LEAST) -> Shard:
+    """The grammar of ``ids``; without ``rounds`` it ends when no pair has ``least`` uses."""
     sequence = ids.astype(np.uint32)  # a copy
     base = int(sequence.max()) + 1 if len(ids) else 1
     rules, made = [], []
     lengths = np.zeros(0, np.int64)
-    bits = max(10, min(18, int(len(ids)).bit_length()))
-    for turn in range(rounds):
-        if len(sequence) < 2:
-            break
-        mix = _MIX[turn % len(_MIX)]
-        slot = sequence[:-1] * np.uint32(mix >> 32 | 1)
-        slot ^= sequence[1:] * np.uint32(mix & 0xFFFFFFFF | 1)
-        slot *= np.uint32(0x9E3779B1)
-        slot = (slot >> np.uint32(32 - bits)).astype(np.int64)
-        total = np.bincount(slot, minlength=1 << bits)
-        need = max(least, int(total.max()) // BREADTH)
-        at = np.flatnonzero((total >= need)[slot])
+    while len(sequence) > 1 and (rounds is None or len(made) < rounds):
+        at, number, pairs, count = _frequent_pairs(sequence, least)
         if not len(at):
             break
-        # one pair speaks for a slot, its count is exact; others of the slot wait for another round
-        slot = slot[at]
-        pairs = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[at + 1]
-        speaker = np.zeros(1 << bits, np.uint64)
-        speaker[slot] = pairs
-        own = speaker[slot] == pairs
-        at, slot = at[own], slot[own]
-        count = np.bincount(slot, minlength=1 << bits)
-        weight = count[slot]
-        # where pairs overlap the more frequent one wins, of equals every second one
-        weight = np.where(weight >= need, weight, 0)
-        touch = at[1:] == at[:-1] + 1
-        index = np.arange(len(at))
-        first = np.append(True, ~touch | (weight[1:] != weight[:-1]))
-        chosen = (weight > 0) & ((index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0)
-        clash = touch & chosen[1:] & chosen[:-1]
-        chosen[1:] &= ~clash | (weight[1:] > weight[:-1])
-        chosen[:-1] &= ~clash | (weight[:-1] > weight[1:])
-        at, slot = at[chosen], slot[chosen]
-        uses = np.bincount(slot, minlength=1 << bits)
-        used = np.flatnonzero(uses > 2)
-        if not len(used):
-            break
-        number = np.zeros(1 << bits, np.uint32)
-        number[used] = base + len(lengths) + np.arange(len(used), dtype=np.uint32)
-        worth = uses[slot] > 2
-        at, slot = at[worth], slot[worth]
-        new = np.stack([speaker[used] >> np.uint64(32), speaker[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        # no two pairs have the same rank, so the first one loses no use and every round makes a rule
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(pairs))
+        chosen = _winners(at, rank[number])
+        at, number = at[chosen], number[chosen]
+        uses = np.bincount(number, minlength=len(pairs))
+        used = np.flatnonzero(uses >= least)
+        worth = uses[number] >= least
+        at, number = at[worth], number[worth]
+        symbol = np.zeros(len(pairs), np.uint32)
+        symbol[used] = base + len(lengths) + np.arange(len(used), dtype=np.uint32)
+        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         span = np.where(new >= base, lengths[np.where(new >= base, new - base, 0)] if len(lengths) else 1, 1)
         lengths = np.concatenate([lengths, span.sum(axis=1)])
         rules.append(new)
         made.append(len(used))
-        sequence[at] = number[slot]
+        sequence[at] = symbol[number]
         stays = np.ones(len(sequence), bool)
         stays[at + 1] = False
-        before, sequence = len(sequence), sequence[stays]
-        if len(at) < RESTS * before:
-            break
+        sequence = sequence[stays]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return Shard(base, table, np.array(made, np.int64), lengths, sequence)
 

@@ -53,6 +53,23 @@ def test_frequent_pairs_become_rules():
     assert shard.lengths.max() >= 8
 
 
+@pytest.mark.parametrize("copies", [3, 5, 11])
+def test_no_pair_that_pays_is_left(copies):
+    """Few copies of a document amid ids that hardly repeat, a run and pairs of very different frequency."""
+    rng = np.random.default_rng(copies)
+    text = rng.integers(0, 40_000, 300)
+    parts = [np.append(text, rng.integers(0, 40_000, 200)) for _ in range(copies)]
+    ids = np.concatenate([*parts, np.full(37, 7), np.tile([1, 2], 900)]).astype(np.uint32)
+    shard = G.compress(ids)
+    assert (G.decode(shard) == ids).all()
+    assert len(shard.sequence) < 210 * copies + 60
+    pairs, last = {}, {}
+    for i, pair in enumerate(zip(shard.sequence.tolist(), shard.sequence[1:].tolist())):
+        if last.get(pair, -2) < i - 1:
+            pairs[pair], last[pair] = pairs.get(pair, 0) + 1, i
+    assert max(pairs.values()) < 3
+
+
 def test_planes():
     values = np.array([0, 1, 255, 256, 65_535, 70_000, (1 << 24) - 1])
     assert G.from_planes(G.to_planes(values, 3), 3).tolist() == values.tolist()
