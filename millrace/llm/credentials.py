@@ -4,7 +4,8 @@ Base spans are what fixed patterns find. Beyond them, long mixed-class tokens ar
 candidates. A candidate's value is hashed, and over the whole corpus the distinct
 repositories and owners that hold the hash are counted: a value that many owners
 share is a copied example, one that a single owner (or few) holds and that looks
-random is a live-looking credential. Live-looking candidates become additional
+random is a live-looking credential. Where owners are not given, only stood for by
+sources, a value in many distinct texts is copied as well. Live-looking candidates become additional
 spans; base spans always stay and carry the same verdict in ``live``.
 
 Defined results: null and empty texts have no spans; a null repository or owner is
@@ -38,6 +39,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LEAST_BITS = 3.5
 # A value held by more owners than this is an example, not a credential.
 MOST_OWNERS = 2
+# Without owners and repositories of its own, a value in more distinct texts than this is an example too.
+MOST_TEXTS = 8
 
 # Long runs of hexadecimal digits without trying every position of ordinary words.
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
@@ -98,33 +101,42 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         yield pa.RecordBatch.from_arrays(
             [
-                part.column(0), part.column(1), part.column(2),
+                part.column(0), part.column(1), part.column(2), part.column(3),
                 *[pa.array([c[i] for c in counts], pa.int64()) for i in range(3)],
                 pa.array(digests), pa.array(lists, pa.list_(pa.struct(fields))),
             ],
-            ["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+            ["doc_id", "owner", "repository", "print", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
         )
 
 
-def scan(docs: DataFrame, *, owner: Column | None = None, repository: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    *,
+    owner: Column | None = None,
+    repository: Column | None = None,
+    most_owners: int = MOST_OWNERS,
+    most_texts: int = MOST_TEXTS,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live, n_copied.
 
     ``owner`` and ``repository`` say whose a row is; a table of documents has no such
     columns, so its ``source`` stands for the owner and source with language for the
-    repository unless given.
+    repository unless given, and where one is not given a live value lies in ``most_texts``
+    distinct texts at most.
     """
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     whose = named(F.col("source")) if owner is None else named(owner)
     place = F.concat_ws("/", named(F.col("source")), named(F.col("lang"))) if repository is None else named(repository)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whose.alias("owner"), place.alias("repository"), "text")
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("print")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whose.alias("owner"), place.alias("repository"), mark, "text")
     schema = (
-        "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, "
+        "doc_id long, owner string, repository string, print long, n_assign long, n_access long, n_hex long, "
         f"base_sha256 string, found array<{_SPAN}>"
     )
     rows = materialise(own.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id()), "scanned")
     held = materialise(
-        rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s")).select(
-            "row", "owner", "repository", "s.*"
+        rows.where(F.size("found") > 0).select("row", "owner", "repository", "print", F.explode("found").alias("s")).select(
+            "row", "owner", "repository", "print", "s.*"
         ),
         "candidates",
     )
@@ -137,8 +149,12 @@ def scan(docs: DataFrame, *, owner: Column | None = None, repository: Column | N
         ),
         "ownership",
     )
-    total = verdicts.agg(F.sum("n")).first()[0] or 0
     live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= 2 * most_owners)
+    if owner is None or repository is None:
+        texts = held.select("hash", "print").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_texts"))
+        verdicts = materialise(verdicts.join(texts, "hash"), "texts")
+        live = live & (F.col("n_texts") <= most_texts)
+    total = verdicts.agg(F.sum("n")).first()[0] or 0
     judged = skew_join(held, verdicts, "hash", "n", max(total, 1)).withColumn("live", live)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     listed = F.array_sort(

@@ -67,6 +67,21 @@ def test_ownership_parts_copied_from_live(spark):
     assert got[0].spans.startswith("assign:") and ",hex:" in got[0].spans
 
 
+def test_value_in_many_texts_of_one_source_is_copied(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i} uses {COPIED}", "en", "hot", 0) for i in range(30)]
+    # exact copies of a document are one text
+    rows += [(100 + i, f"mine is {LIVE}", "en", "hot", 0) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = C.scan(frame).collect()
+    assert {(r.n_added, r.n_copied) for r in got if r.doc_id < 100} == {(0, 1)}
+    assert {(r.n_added, r.n_copied) for r in got if r.doc_id >= 100} == {(1, 0)}
+    # given owners decide alone
+    given = C.scan(frame, owner=F.col("source"), repository=F.col("source")).collect()
+    assert {r.n_added for r in given} == {1}
+
+
 @pytest.mark.parametrize("text,n", [("plain words only", 0), ("A" * 40, 0), (LIVE, 1), (f"token={LIVE}", 0)])
 def test_candidates(text, n):
     assert len(C.added_candidates(text, C.base_spans(text))) == n
