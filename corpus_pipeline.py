@@ -18,7 +18,9 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no letter at all) go; a missing language is filled in."""
-    return langid.keep_identified(docs, langid.train(docs, F.lit(True)))
+    net = langid.train(docs, F.lit(True))
+    # without a labelled row there is no language to fill in, texts without a letter go all the same
+    return langid.with_letters(docs) if net is None else langid.keep_identified(docs, net)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

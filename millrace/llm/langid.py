@@ -305,6 +305,16 @@ def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame
     return read.select(*keep, F.col("__mr_read.lang").alias("lang_pred"), F.col("__mr_read.score").alias("score"))
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds a letter, by the text alone."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([LETTERS.search((t or "").lower()) is not None for t in batch.tolist()], dtype=bool)
+
+    return docs.where(F.pandas_udf(read, "boolean")(F.col("text")))
+
+
 def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows of ``docs`` whose language can be told, a missing ``lang`` filled in; all if nothing was learned."""
     if net is None:

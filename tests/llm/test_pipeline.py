@@ -48,6 +48,12 @@ def test_empty(spark, nothing):
         assert rows.count() == 0
 
 
+def test_letterless_texts_go_without_any_language(edges, edge_rows, spark):
+    rows = edges.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")
+    got = [r.text for r in corpus_pipeline.language(spark, rows, "").collect()]
+    assert sorted(got) == sorted(r[1] for r in edge_rows if any(c.isalpha() for c in r[1] or ""))
+
+
 def test_all_queries_are_registered():
     code = "import __spark_entry__ as e; q = e.queries(); print(sorted(k for k in q if k.startswith('op') or k == 'pipeline'))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
