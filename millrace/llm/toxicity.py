@@ -60,6 +60,7 @@ STEM = "*"
 
 # Channel costs (natural logs).
 COST_LEET, COST_WILD, COST_SKIP, COST_END, COST_ONCE, COST_TWICE, COST_LITERAL = -0.7, -3.5, -1.0, -3.0, -0.3, -0.6, -8.0
+_NUMBER = re.compile(r"[0-9]+(?:[.,:/-][0-9]+)*")
 _RUN = re.compile(r"(.)\1\1")
 _DECORATION = re.compile(r"^[$@]{3,}|[$@]{3,}$")
 
@@ -220,6 +221,9 @@ class Restorer:
     # collapsed forms of words of interest, so that doubled letters are looked into as well
     wanted: set[str] = field(default_factory=set)
 
+    def __post_init__(self) -> None:
+        self.beginnings = {w[:k] for w in self.wanted for k in range(1, len(w) + 1)}
+
     def words(self, token: str) -> list[str]:
         core = core_of(token)
         if not core:
@@ -228,10 +232,29 @@ class Restorer:
             if not _RUN.search(core) and not (self.wanted and collapsed(core) in self.wanted):
                 return [core]
         elif not any(c.isalpha() for c in core):
-            return []
+            return self.hidden(core)
         return decode(core, self.model).split()
 
 
+    def hidden(self, core: str) -> list[str]:
+        """The most probable reading of a core without a letter as one wanted word; plain numbers are what they are."""
+        if not self.wanted or _NUMBER.fullmatch(core) or not any(c in LEET for c in core):
+            return []
+        # only beginnings of wanted words are followed
+        held = {"": 0.0}
+        for readings in lattice(core):
+            after: dict[str, float] = {}
+            for text, score in held.items():
+                for letters, cost in readings:
+                    out = text + letters
+                    if letters == " " or (out and collapsed(out) not in self.beginnings):
+                        continue
+                    after[out] = max(after.get(out, -math.inf), score + cost)
+            held = after
+        found = [(score, word) for word, score in held.items() if collapsed(word) in self.wanted]
+        return [max(found)[1]] if found else []
+
+
 def collapsed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 

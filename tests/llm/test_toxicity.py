@@ -81,6 +81,13 @@ def test_letters_outside_a_to_z_stay(trained):
         assert kept and kept <= set("".join(restorer.words(token)))
 
 
+def test_tokens_without_a_letter():
+    model = X.smoothed(np.zeros((27, 27, 27))).tolist()
+    restorer = X.Restorer(model, {X.collapsed(w) for w in ("salt", "asshole", "ass")})
+    got = {t: restorer.words(t) for t in ("$417", "4$$#013", "455", "1,000", "2024", "$5.00", "+-+", "!!!")}
+    assert got == {"$417": ["salt"], "4$$#013": ["asshole"], "455": [], "1,000": [], "2024": [], "$5.00": [], "+-+": [], "!!!": []}
+
+
 def test_decomposed_texts_count_as_composed():
     assert (X.trigram_counts(["Das O\u0308l, e\u0301te\u0301"]) == X.trigram_counts(["Das Öl, été"])).all()
 
