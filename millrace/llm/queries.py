@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
+    conversation_repair,
     credentials,
     exact_stream,
     filter_audit,
@@ -152,3 +153,86 @@ FROM counted""",
 )
 def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# A conversation's rows are folded in SQL as well. A state is one text there: nine digits of cost, the
+# audit, \\x01, the repaired lines; the least text is the cheapest sequence with the least audit.
+def _edited(state: str, cost: str, letter: str, line: str) -> str:
+    parts = f"substr({state}, 10)"
+    grown = f"lpad(CAST(CAST(substr({state}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || split_part({parts}, chr(1), 1)"
+    return f"CASE WHEN {state}[1] = '9' THEN '999999999' ELSE {grown} || '{letter}' || chr(1) || split_part({parts}, chr(1), 2) || {line} END"
+
+
+def _row_in_sql() -> str:
+    late = "CASE WHEN r[3] = 't' THEN 3 ELSE 0 END"
+    kept = "chr(10) || r[1] || ':' || r[2]"
+
+    def to(state: int, initial: str, role: str | None, *origins: int) -> str:
+        moves = [_edited(f"acc[{state}]", "4", "D", "''")]
+        for o in origins:
+            keep = _edited(f"acc[{o}]", late, "K", kept)
+            moves.append(f"CASE WHEN r[3] IN ('', 't') AND substr(r[1], 1, 1) = '{initial}' THEN {keep} ELSE '999999999' END")
+            if role:
+                turned = _edited(f"acc[{o}]", f"3 + {late}", "R", f"chr(10) || '{role}:' || r[2]")
+                moves.append(f"CASE WHEN r[3] IN ('', 't') THEN {turned} ELSE '999999999' END")
+        return f"least({', '.join(moves)}, '999999999')"
+
+    moved = f"[{to(1, '', None)}, {to(2, 's', None, 1)}, {to(3, 'u', 'user', 1, 2, 4)}, {to(4, 'a', 'assistant', 3)}]"
+    inserted = ", ".join(_edited(f"n[{o}]", "3", "I", "chr(10) || 'user:'") for o in (1, 2, 4))
+    users = f"list_transform([{moved}], lambda n: [n[1], n[2], least(n[3], {inserted}), n[4]])"
+    answer = _edited("n[3]", "3", "I", "chr(10) || 'assistant:'")
+    return f"list_transform({users}, lambda n: [n[1], n[2], n[3], least(n[4], {answer})])[1]"
+
+
+@query(
+    "op13_conversation_repair",
+    rf"""WITH k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda acc, byte: list_reduce(
+      [xor(acc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 20 AS kind
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS earlier
+  FROM d),
+m AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' 
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault
+  FROM o),
+p AS (
+  SELECT conv_id, list([role, text, fault] ORDER BY place) AS held,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE earlier || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY conv_id),
+f AS (
+  SELECT *, list_reduce(list_prepend(
+    ['000000000' || chr(1), '999999999', '000000003I' || chr(1) || chr(10) || 'user:',
+     '000000006II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:'], held),
+    lambda acc, r: {_row_in_sql()}) AS states
+  FROM p),
+e AS (SELECT *, least(states[1], states[4]) AS best FROM f)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(substr(best, 1, 9), '0') AS BIGINT) AS cost, coalesce(split_part(substr(best, 10), chr(1), 1), '') AS audit,
+  sha256(coalesce(substr(split_part(best, chr(1), 2), 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id""",
+)
+def conversations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(rows, rows["copies"])
