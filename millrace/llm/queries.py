@@ -14,6 +14,7 @@ from . import (
     grammar,
     langid,
     mixing,
+    ngram_join,
     outliers,
     packing,
     quality_gbt,
@@ -236,3 +237,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON i.conv_id IS
 def conversations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversation_repair.repair(rows, rows["copies"])
+
+
+@query(
+    "op12_ngram_join",
+    r"""WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT id, doc_id, CASE WHEN len(w) >= 5
+    THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS own
+  FROM t),
+u AS (SELECT id, len(own) AS n, unnest(own) AS shingle FROM s),
+p AS (
+  SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.shingle = b.shingle AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT id AS x, id AS y FROM s UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT s.doc_id, len(s.own) AS n_shingles, c.component_id FROM s JOIN (
+  SELECT r.x, min(o.doc_id) AS component_id FROM r JOIN s o ON o.id = r.y GROUP BY r.x) c ON c.x = s.id""",
+)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
