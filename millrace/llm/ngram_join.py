@@ -38,56 +38,111 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.workspace import recorded, release
+
 from .common import bounded_slices, empty_like, mark_maybe, materialise, skew_join
 from .simhash import Forest, components
 
 WIDTH = 5
 SHARE = 80
-# Prefixes may ask for up to this many shared elements.
-LEVELS = 8
+# Prefixes ask for one of these numbers of shared elements; the higher ones are for larger sets.
+LEVELS = (1, 2, 4, 8, 16, 32)
 # Blocks a set is compared in; sets of a tile.
-HOMES = 3
+HOMES = 2
 TILE = 512
 # The sketch has 1 << SKETCH_BITS counters, whatever the size of the corpus; its classes are broadcast, a byte each.
 SKETCH_BITS = 20
 SLICE = 1 << 16
+# Characters of text hashed at once.
+SLICE_CHARS = 1_000_000
 # Columns of an incidence matrix at once.
 COLUMNS = 4096
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
-# Odd factors for the places of a shingle's words, and those of the final mixing.
-_FACTORS = np.array([2 * xxhash.xxh3_64_intdigest(b"place", i) + 1 & (1 << 64) - 1 for i in range(WIDTH)], np.uint64)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-class WordHashes(dict):
-    """Hashes of words, worked out at first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
-    """Ascending distinct hashes of the 5-word shingles; of the whole sequence if it is shorter."""
-    # splitting bytes knows the same six separators, lower() the letters A to Z only
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    own = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-    if not len(own):
-        return own
-    if len(hashes) > 2_000_000:
-        hashes.clear()
-    n = max(len(own) - WIDTH + 1, 1)
-    mixed = np.full(n, min(len(own), WIDTH), np.uint64)
-    for place in range(min(WIDTH, len(own))):
-        mixed += own[place : place + n] * _FACTORS[place]
-    mixed ^= mixed >> np.uint64(30)
-    mixed *= _MIX[0]
-    mixed ^= mixed >> np.uint64(27)
-    mixed *= _MIX[1]
-    mixed ^= mixed >> np.uint64(31)
-    mixed.sort()
-    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _random(n: int, seed: int) -> np.ndarray:
+    """Fixed odd 64-bit numbers."""
+    return np.array([xxhash.xxh3_64_intdigest(b"ngram", seed + i) | 1 for i in range(n)], np.uint64)
+
+
+# A word's hash is a polynomial over a number per byte, those of A to Z being those of a to z.
+_BYTES = _random(256, 0)
+_BYTES[65:91] = _BYTES[97:123]
+_FACTORS = _random(WIDTH, 1000)
+_BASE, _LENGTH, *_MIX = _random(4, 2000)
+_CHUNK = 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(int(_BASE), -1, 1 << 64)
+        _POWERS[:] = []
+        for factor in (_BASE, np.uint64(inverse)):
+            steps = np.full(max(n, _CHUNK), factor, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values ^= values >> np.uint64(30)
+    values *= _MIX[0]
+    values ^= values >> np.uint64(27)
+    values *= _MIX[1]
+    values ^= values >> np.uint64(31)
+    return values
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word in ``raw`` bytes that end with a separator."""
+    hashes, starts = [], []
+    at = 0
+    while at < len(raw):
+        end = min(at + _CHUNK, len(raw))
+        # a chunk ends behind a separator; a word longer than that is a chunk of its own
+        while not _SPACE[raw[end - 1]]:
+            back = np.flatnonzero(_SPACE[raw[at:end]])
+            end = at + int(back[-1]) + 1 if len(back) else min(end + _CHUNK, len(raw))
+        part = raw[at:end]
+        letter = ~_SPACE[part]
+        edges = np.flatnonzero(np.diff(letter, prepend=False))
+        first, last = edges[::2], edges[1::2]
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[: len(part)], dtype=np.uint64)])
+        own = (sums[last] - sums[first]) * down[first]
+        hashes.append(_mixed(own + (last - first).astype(np.uint64) * _LENGTH))
+        starts.append(first + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Ascending distinct hashes of the 5-word shingles of each text; of the whole sequence if it is shorter."""
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words, starts = word_hashes(np.frombuffer(b"".join(r + b" " for r in raws), np.uint8))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).tolist()
+    full = np.full(max(len(words) - WIDTH + 1, 0), WIDTH, np.uint64)
+    for place in range(WIDTH):
+        full += words[place : place + len(full)] * _FACTORS[place]
+    full = _mixed(full)
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        if b - a >= WIDTH:
+            own = np.sort(full[a : b - WIDTH + 1])
+            own = own[np.append(True, own[1:] != own[:-1])]
+        elif b > a:
+            own = _mixed(np.array([b - a], np.uint64) + (words[a:b] * _FACTORS[: b - a]).sum(dtype=np.uint64))
+        else:
+            own = words[:0]
+        out.append(own)
+    return out
 
 
 def _key(own: np.ndarray) -> bytes | None:
@@ -99,21 +154,18 @@ def required(n):
     return (SHARE * n + 99) // 100
 
 
+def highest_level(n: int) -> int:
+    """The highest level open to a set of ``n``: no more than the least overlap, and a prefix not much longer than at level 1."""
+    return max(level for level in LEVELS if level == 1 or level <= min(required(n), n // 32 + 4))
+
+
 # Order
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    hashes, held, n = WordHashes(), [], 0
-    for _, texts in bounded_slices(batches):
-        for text in texts:
-            held.append(shingle_set(text, hashes))
-            n += len(held[-1])
-        if n > 1 << 20:
-            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            held, n = [], 0
-    if n:
-        counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+    for _, texts in bounded_slices(batches, chars=SLICE_CHARS):
+        np.add.at(counts, (np.concatenate(shingle_sets(texts)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
     for at in range(0, len(counts), SLICE):
         # byte planes: the upper ones are nearly all zero and compress well
         part = counts[at : at + SLICE].view(np.uint8).reshape(-1, 4).T
@@ -144,19 +196,16 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
 def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The elements that a set of these hashes may match with at its highest level, rare ones first."""
     order = np.argsort(classes[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    need = required(len(own))
-    return own[order[: len(own) - need + min(LEVELS, need)]]
+    return own[order[: len(own) - required(len(own)) + highest_level(len(own))]]
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """doc_id, n, key and the longest prefix of every document."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part, texts in bounded_slices(batches):
+        for part, texts in bounded_slices(batches, chars=SLICE_CHARS):
             sizes, keys, held = [], [], []
-            for text in texts:
-                own = shingle_set(text, hashes)
+            for own in shingle_sets(texts):
                 sizes.append(len(own))
                 keys.append(_key(own))
                 held.append(ordered_prefix(own, classes) if len(own) else own)
@@ -173,37 +222,48 @@ def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 # Levels
 
 
-def level_costs(n: Column, postings: list[Column]) -> list[Column]:
-    """Estimated cost of each level: postings to scan, and candidates to verify element by element."""
-    return [s * (F.lit(1.0) + n / level) for level, s in enumerate(postings, 1)]
+def _need(n: Column) -> Column:
+    return F.floor((n * SHARE + 99) / 100)
 
 
 def _levels(shared: DataFrame) -> DataFrame:
-    """node, n, level of the sets that may have partners; ``shared`` holds (node, n, token, first_level, df)."""
-    upto = range(1, LEVELS + 1)
-    within = {k: F.col("first_level") <= k for k in upto}
+    """node, level of the sets that may have partners; ``shared`` holds (node, n, token, first_level, df).
+
+    A level costs its postings to scan, and the candidates to verify element by
+    element: each of them takes ``level`` postings at least.
+    """
+    within = {k: F.col("first_level") <= k for k in LEVELS}
     sums = shared.groupBy("node", "n").agg(
-        *[F.sum(F.when(within[k], F.col("df") - 1).otherwise(0)).alias(f"s{k}") for k in upto],
-        *[F.sum(F.when(within[k], 1).otherwise(0)).alias(f"c{k}") for k in upto],
+        *[F.sum(F.when(within[k], F.col("df") - 1).otherwise(0)).alias(f"s{k}") for k in LEVELS],
+        *[F.sum(F.when(within[k], 1).otherwise(0)).alias(f"c{k}") for k in LEVELS],
     )
-    need = F.floor((F.col("n") * SHARE + 99) / 100)
+    n = F.col("n")
+    able = {k: F.lit(k == 1) | ((_need(n) >= k) & (n >= 32 * (k - 4))) for k in LEVELS}
     possible = F.lit(True)
-    for k in upto:
-        possible = possible & ((F.col(f"c{k}") >= k) | (need < k))
-    costs = level_costs(F.col("n"), [F.col(f"s{k}") for k in upto])
-    choices = [F.when(need >= k, F.struct(cost.alias("cost"), F.lit(k).alias("level"))) for k, cost in zip(upto, costs)]
-    return sums.where(possible).select("node", "n", F.least(*choices)["level"].alias("level"))
+    for k in LEVELS:
+        possible = possible & ((F.col(f"c{k}") >= k) | ~able[k])
+    costs = {k: F.col(f"s{k}") * (F.lit(1.0) + n / k) for k in LEVELS}
+    choices = [F.when(able[k], F.struct(costs[k].alias("cost"), F.lit(k).alias("level"))) for k in LEVELS]
+    return sums.where(possible).select("node", F.least(*choices)["level"].alias("level"))
 
 
 def _shared(classes: DataFrame) -> DataFrame:
     """The prefix elements that several sets have: node, n, token, first_level, df."""
-    base = F.col("n") - F.floor((F.col("n") * SHARE + 99) / 100) + 1
+    base = F.col("n") - _need(F.col("n")) + 1
+    first = F.greatest(F.lit(1), (F.col("at") - base + 2).cast("int"))
     entries = classes.select("node", "n", F.posexplode("tokens").alias("at", "token"))
-    counts = materialise(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join_counts")
+    entries = entries.select("node", "n", "token", first.cast("int").alias("first_level"))
     total = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    found = skew_join(entries, counts, "token", "df", max(total, 1))
-    first = F.greatest(F.lit(1), (F.col("at") - base + 2).cast("int"))
-    return found.select("node", "n", "token", first.cast("int").alias("first_level"), "df")
+    return _recounted(entries, total, "join_shared")
+
+
+def _recounted(entries: DataFrame, total: int, label: str) -> DataFrame:
+    """The entries whose token several sets have, with their number ``df``."""
+    counts = materialise(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join_counts")
+    # the filter only spares the others the way; its size follows the number of shared tokens up to 32 MB
+    bits = 1 << max(16, min(28, (16 * counts.count()).bit_length()))
+    likely = mark_maybe(entries, counts, ["token"], "maybe", bits).where("maybe").drop("maybe")
+    return materialise(skew_join(likely, counts, "token", "df", max(total, 1)), label)
 
 
 # Blocks
@@ -299,12 +359,14 @@ def _tiled(rows: DataFrame, key: str, count: str) -> DataFrame:
     return dealt.withColumns({"pair": pair, "side": (own > F.col("other")).cast("tinyint")}).drop("other")
 
 
-def _block_links(members: DataFrame) -> DataFrame:
-    spread = materialise(members.select("node", F.explode("homes").alias("home")), "join_homes")
+def _block_links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    spread = materialise(wanted.select("node", F.explode("homes").alias("home")), "join_homes")
     sizes = spread.groupBy("home").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     dealt = _tiled(skew_join(spread, materialise(sizes, "join_sizes"), "home", "m", max(spread.count(), 1)), "home", "m")
-    # one home gives a set one row per tile it meets, so a set's list is as long as its blocks are large
-    placed = dealt.join(members.drop("homes"), "node").select("home", "pair", "side", "node", "n", "level", "prefix", "firsts", "own")
+    # blocks are dealt out before the sets are made, so these travel once to their key and once to each block
+    units = dealt.groupBy("node").agg(F.collect_list(F.struct("home", "pair", "side")).alias("units"))
+    members = _sets_of(docs, materialise(wanted.drop("homes").join(units, "node"), "join_units"))
+    placed = members.select(F.inline("units"), "node", "n", "level", "prefix", "firsts", "own")
     ordered = placed.repartition("home", "pair").sortWithinPartitions("home", "pair", "side", "node")
     return ordered.mapInArrow(_in_blocks, "a long, b long")
 
@@ -378,17 +440,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def _lone_links(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """Links between sets that share prefix elements but no home."""
+def _lone_links(docs: DataFrame, entries: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """Links between sets that share prefix elements but no home; None if there is no such pair."""
     counts = materialise(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "join_matches")
     homes = [F.coalesce(F.get("homes", F.lit(i)), F.lit(-1)).alias(f"h{i}") for i in range(HOMES)]
-    dealt = _tiled(skew_join(entries, counts, "token", "m", max(entries.count(), 1)), "token", "m")
+    placed = entries.join(wanted.select("node", "homes"), "node")
+    dealt = _tiled(skew_join(placed, counts, "token", "m", max(entries.count(), 1)), "token", "m")
     rows = dealt.select("token", "pair", "side", "node", "n", "first_level", "level", *homes)
     ordered = rows.repartition("token", "pair").sortWithinPartitions("token", "pair", "side", "node")
     met = ordered.mapInArrow(_apart, "x long, y long, level int")
     enough = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("level").alias("level")).where("c >= level")
     enough = materialise(enough.select("x", "y"), "join_pairs")
-    own = members.select("node", "own")
+    nodes = enough.select(F.col("x").alias("node")).unionByName(enough.select(F.col("y").alias("node"))).distinct()
+    if nodes.isEmpty():
+        return None
+    own = _sets_of(docs, materialise(wanted.select("node", "key", "least_id").join(nodes, "node"), "join_lone"))
+    own = materialise(own.select("node", "own"), "join_lone_sets")
     both = enough.join(own.toDF("x", "own_x"), "x").join(own.toDF("y", "own_y"), "y").select("x", "y", "own_x", "own_y")
     return both.mapInArrow(_verified, "a long, b long")
 
@@ -400,9 +467,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (key, least_id, ...) with the whole set ``own`` of each key, made again from the texts of those ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for _, texts in bounded_slices(batches):
-            own = [shingle_set(t, hashes) for t in texts]
+        for _, texts in bounded_slices(batches, chars=SLICE_CHARS):
+            own = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_key(o) for o in own], pa.binary()), pa.array([o.tobytes() for o in own], pa.binary())], ["key", "own"]
             )
@@ -414,22 +480,39 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(once, "key")
 
 
+def _pruned(classes: DataFrame) -> DataFrame:
+    """Prefix elements of the sets that may have partners: node, n, token, first_level, level, df."""
+    shared = _shared(classes)
+    total = shared.count()
+    while True:
+        levels = materialise(_levels(shared), "join_levels")
+        entries = shared.drop("df").join(levels, "node")
+        # elements whose other sets are out make their own set less likely in turn
+        fewer = _recounted(entries.drop("level"), total, "join_shared")
+        n = fewer.count()
+        if 10 * n > 9 * total:
+            return materialise(fewer.join(levels, "node").where("first_level <= level"), "join_entries")
+        shared, total = fewer, n
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    sets = materialise(prefixes(docs, frequency_classes(docs)), "join_sets")
-    folded = sets.where("n > 0").groupBy("key").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens")
-    )
-    classes = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "join_classes")
+    with recorded() as scratch:
+        sets = materialise(prefixes(docs, frequency_classes(docs)), "join_sets")
+        folded = sets.where("n > 0").groupBy("key").agg(
+            F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens")
+        )
+        classes = materialise(folded.withColumn("node", F.monotonically_increasing_id()), "join_classes")
+    rows = materialise(sets.drop("tokens"), "join_rows")
+    nodes = materialise(classes.drop("tokens"), "join_nodes")
+    with recorded() as more:
+        entries = _pruned(classes)
+    # the prefixes of all documents are not needed any more
+    release(spark, [*scratch, *more[:-1]])
 
-    shared = materialise(_shared(classes), "join_shared")
-    levels = materialise(_levels(shared), "join_levels")
-    entries = shared.join(levels.drop("n"), "node").where("first_level <= level")
-    entries = materialise(entries, "join_entries")
     ranked = F.sort_array(F.collect_list(F.struct("df", "token")), asc=False)
-    # a set's own prefix elements, as packed longs and bytes
-    packed = F.sort_array(F.collect_list(F.struct("token", "first_level")))
+    packed = F.collect_list(F.struct("token", "first_level"))
     gathered = entries.groupBy("node", "n", "level").agg(ranked.alias("ranked"), packed.alias("packed"))
     shown = gathered.select(
         "node", "n", "level", F.slice(F.col("ranked.token"), 1, HOMES).alias("homes"),
@@ -439,24 +522,27 @@ def join(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [[np.asarray(v, kind).tobytes() for v in batch.column(i).to_pylist()] for i, kind in ((4, "<i8"), (5, np.uint8))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(r, pa.binary()) for r in raw], ["node", "n", "level", "homes", "prefix", "firsts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(4)] + [pa.array(r, pa.binary()) for r in raw],
+                ["node", "n", "level", "homes", "prefix", "firsts"],
+            )
 
     shown = shown.mapInArrow(pack, "node long, n long, level int, homes array<long>, prefix binary, firsts binary")
-    wanted = materialise(shown.join(classes.select("node", "key", "least_id"), "node"), "join_wanted")
-    members = materialise(_sets_of(docs, wanted).drop("key", "least_id"), "join_members")
-
-    links = _block_links(members).unionByName(
-        _lone_links(entries.join(members.select("node", "homes"), "node"), members)
-    )
-    roots = components(materialise(links, "join_links"), "join_stars")
-    named = classes.select("key", "node", "least_id", "rows").join(roots, "node", "left")
+    wanted = materialise(shown.join(nodes.select("node", "key", "least_id"), "node"), "join_wanted")
+    links = materialise(_block_links(docs, wanted), "join_links")
+    lone = _lone_links(docs, entries, wanted)
+    if lone is not None:
+        links = links.unionByName(materialise(lone, "join_lone_links"))
+
+    roots = components(links, "join_stars")
+    named = nodes.join(roots, "node", "left")
     named = materialise(named.withColumn("root", F.coalesce("root", "node")), "join_roots")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    total = sets.count()
+    total = rows.count()
     if not total:
         return empty_like(spark, SCHEMA)
     facts = skew_join(named, names, "root", "m", total).select("key", "rows", "component_id")
-    placed = skew_join(sets.where("n > 0").select("doc_id", "n", "key"), facts, "key", "rows", total)
-    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    placed = skew_join(rows.where("n > 0"), facts, "key", "rows", total)
+    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = placed.select("doc_id", "n", "component_id").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

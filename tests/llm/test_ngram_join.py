@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.llm import ngram_join as J
 
 SPACE = "[^\x20\x09-\x0d]+"
+CLASSES = np.random.default_rng(1).integers(0, 4, 1 << J.SKETCH_BITS, np.uint8)
 
 
 def shingles(text):
@@ -58,27 +59,27 @@ def near_copies(rng, n, words=60, edits=6):
 @settings(max_examples=200, deadline=None)
 def test_sets(parts):
     text = "".join(parts)
-    own = J.shingle_set(text, J.WordHashes())
+    own = J.shingle_sets([text])[0]
     assert len(own) == len(shingles(text))
     assert np.array_equal(own, np.unique(own))
     lower = re.sub("[A-Z]", lambda m: m.group().lower(), text)
-    assert np.array_equal(own, J.shingle_set(re.sub("[\x20\t\n]+", "  ", lower), J.WordHashes()))
+    assert np.array_equal(own, J.shingle_sets(["", re.sub("[\x20\t\n]+", "  ", lower), "z"])[1])
 
 
-@given(st.integers(1, 40), st.data())
+@given(st.integers(1, 300), st.data())
 @settings(max_examples=200, deadline=None)
 def test_prefixes_of_any_level_share_as_much(n, data):
     """The bound behind the method: linked sets share l elements of their prefixes, for every level."""
     rng = random.Random(data.draw(st.integers(0, 10**6)))
     x = rng.sample(range(10**6), n)
     y = [e for e in x if rng.random() > 0.08] + rng.sample(range(10**6, 2 * 10**6), rng.randint(0, n // 6))
-    classes = np.array([rng.randint(0, 3) for _ in range(1 << J.SKETCH_BITS)], np.uint8)
+    classes = CLASSES
     x, y = (np.sort(np.array([e * 0x9E3779B97F4A7C15 % 2**64 for e in s], np.uint64)) for s in (x, y))
     both = len(np.intersect1d(x, y))
     if not len(y) or 100 * both < 80 * (len(x) + len(y) - both):
         return
     px, py = J.ordered_prefix(x, classes), J.ordered_prefix(y, classes)
-    for level in range(1, min(J.LEVELS, J.required(len(x)), J.required(len(y))) + 1):
+    for level in range(1, min(J.highest_level(len(x)), J.highest_level(len(y))) + 1):
         cut = [p[: len(s) - J.required(len(s)) + level] for p, s in ((px, x), (py, y))]
         assert len(np.intersect1d(*cut)) >= level
 
@@ -86,11 +87,11 @@ def test_prefixes_of_any_level_share_as_much(n, data):
 @pytest.mark.parametrize("split", [0, 20])
 def test_blocks(split):
     rng = random.Random(split)
-    sets = [J.shingle_set(t, J.WordHashes()) for t in near_copies(rng, 25) + near_copies(rng, 15, 12, 2)]
+    sets = J.shingle_sets(near_copies(rng, 25) + near_copies(rng, 15, 12, 2))
     rng.shuffle(sets)
     classes = np.zeros(1 << J.SKETCH_BITS, np.uint8)
     prefix = [J.ordered_prefix(s, classes).view(np.int64) for s in sets]
-    levels = np.array([rng.randint(1, min(J.LEVELS, J.required(len(s)))) for s in sets])
+    levels = np.array([rng.randint(1, J.highest_level(len(s))) for s in sets])
     firsts = [np.maximum(1, np.arange(len(p)) - (len(s) - J.required(len(s)) + 1) + 2).astype(np.uint8) for p, s in zip(prefix, sets)]
     child, root = J.block_links(np.array([len(s) for s in sets]), levels, prefix, firsts, sets, split)
     forest = J.Forest(len(sets))
