@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import POSITION, data_columns, free_name, normalise, ref, replace_columns
 from ..functions.parsing import null_tokens_to_null
 from ..operators.infer import infer_scan_types
+from ..workspace import materialise
+from .records import parsed, records, survey
 
 # File extension -> format.
 EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
@@ -23,6 +25,8 @@ ENCODINGS = {
     "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8",
     "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-32": "UTF-32",
 }
+# Reader options (lower case) under which quotes or line ends mean something else.
+_QUOTE_RULES = {"chartoescapequoteescaping", "comment", "linesep", "unescapedquotehandling", "ignoreleadingwhitespace"}
 # Holds the line of a delimited row whose number of fields differs from the header's.
 _ODD_ROW = "__odd_row"
 _REPLACEMENT = "�"
@@ -129,7 +133,7 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
         raise ValueError(f"long_rows must be 'error' or 'truncate', not {long_rows!r}")
 
     def typed(enc: str) -> tuple[DataFrame, dict]:
-        df = _scan_text(spark, path, options, enc, keep_position)
+        df = (_scan_records if way == "records" else _scan_text)(spark, path, options, enc, keep_position)
         text = [c for c in data_columns(df) if c != _ODD_ROW]
         undecoded = F.lit(False)
         for c in text:
@@ -144,7 +148,8 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
             "undecoded": got["undecoded"] or any(_REPLACEMENT in c for c in text),
         }
 
-    if "multiLine" not in options and _breaks_inside_quotes(spark, path, options.get("quote", '"')):
+    way = "lines" if "multiLine" in options else _way_to_read(spark, path, options, encoding)
+    if way == "whole":
         options = {**options, "multiLine": True}
     df, found = typed(encoding)
     if found["undecoded"] and spark_encoding(encoding) == "UTF-8" and _has_invalid_utf8(spark, path):
@@ -154,15 +159,21 @@ def _load_delimited(spark, path, options, encoding, keep_position, long_rows) ->
     return df
 
 
-def _breaks_inside_quotes(spark: SparkSession, path: str, quote: str) -> bool:
-    """Whether a quoted field may hold a line break: some line has an odd number of quotes.
+def _way_to_read(spark: SparkSession, path: str, options: dict, encoding: str) -> str:
+    """'lines' where no quoted field can hold a line break, else 'records' of ordered lines, or 'whole' files.
 
-    Files without one are read in splits; the others need whole-file parsing.
+    Whole files are parsed where the quotes follow rules of the caller's own, in
+    encodings whose line ends are no single byte, and where lines end in \\r alone.
     """
+    quote = options.get("quote", '"')
     if not quote:
-        return False
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote)))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+        return "lines"
+    name = spark_encoding(encoding)
+    own_rules = {k.lower() for k in options} & _QUOTE_RULES or options.get("escape", quote) != quote
+    if own_rules or len(quote) > 1 or name.startswith("UTF-16") or name.startswith("UTF-32"):
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote)))
+        return "whole" if spark.read.text(path).where(quotes % 2 == 1).take(1) else "lines"
+    return survey(spark, path, options["sep"], quote, name)
 
 
 def _field_count(line: Column, sep: str, quote: str) -> Column:
@@ -181,19 +192,46 @@ def _reader(spark, options, encoding):
 
 def _scan_text(spark, path, options, encoding, keep_position) -> DataFrame:
     """All columns as text under the header's names, plus the line of rows with other numbers of fields."""
-    first = _reader(spark, {**options, "header": False}, encoding).csv(path).first()
-    if first is None:
-        raise ValueError(f"{path} is empty: no header row")
-    windows = _windows_characters() if codecs.lookup(encoding).name == "cp1252" else {}
-    names = header_names([n and n.translate(str.maketrans(windows)) for n in first])
+    names, windows = _header(spark, path, options, encoding)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _ODD_ROW]])
     reader = _reader(spark, {**options, "header": True, "columnNameOfCorruptRecord": _ODD_ROW}, encoding)
     df = reader.schema(schema).csv(path)
-    if windows:
-        df = df.select(*[F.translate(ref(c), "".join(windows), "".join(windows.values())).alias(c) for c in df.columns])
+    df = _windows_text(df, windows, df.columns)
     return _with_position(df, None) if keep_position else df
 
 
+def _header(spark, path, options, encoding) -> tuple[list[str], dict[str, str]]:
+    """The column names, and the characters that differ from those of the encoding Spark reads in."""
+    first = _reader(spark, {**options, "header": False}, encoding).csv(path).first()
+    if first is None:
+        raise ValueError(f"{path} is empty: no header row")
+    return _names(first, encoding)
+
+
+def _names(first: Sequence[str | None], encoding: str) -> tuple[list[str], dict[str, str]]:
+    windows = _windows_characters() if codecs.lookup(encoding).name == "cp1252" else {}
+    return header_names([n and n.translate(str.maketrans(windows)) for n in first]), windows
+
+
+def _windows_text(df: DataFrame, windows: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    if not windows:
+        return df
+    return replace_columns(df, {c: F.translate(ref(c), "".join(windows), "".join(windows.values())) for c in columns})
+
+
+def _scan_records(spark, path, options, encoding, keep_position) -> DataFrame:
+    """The same from the records that ordered lines make up."""
+    sep, quote = options["sep"], options.get("quote", '"')
+    rows = materialise(records(spark, path, sep, quote, spark_encoding(encoding)), "records")
+    given = {"escape": quote, "multiLine": True, **options}
+    head = rows.where("header").orderBy("file").limit(1)
+    width = head.select(_field_count(F.col("record"), sep, quote)).first()[0]
+    first = parsed(head, [f"c{i}" for i in range(width)], _ODD_ROW, None, given).drop(_ODD_ROW).first()
+    names, windows = _names(first, encoding)
+    df = parsed(rows.where("NOT header"), names, _ODD_ROW, POSITION if keep_position else None, given)
+    return _windows_text(df, windows, [*names, _ODD_ROW])
+
+
 def header_names(raw: Sequence[str | None]) -> list[str]:
     """Repeated names get .1, .2 ...; empty ones a number; names equal but for case get _1."""
     seen: dict[str, int] = {}
