@@ -54,9 +54,9 @@ TILE = 512
 SKETCH_BITS = 20
 SLICE = 1 << 16
 # Characters of text hashed at once.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 # Columns of an incidence matrix at once.
-COLUMNS = 4096
+COLUMNS = 2048
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 _SPACE = np.zeros(256, bool)
@@ -73,7 +73,7 @@ _BYTES = _random(256, 0)
 _BYTES[65:91] = _BYTES[97:123]
 _FACTORS = _random(WIDTH, 1000)
 _BASE, _LENGTH, *_MIX = _random(4, 2000)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
@@ -529,7 +529,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     shown = shown.mapInArrow(pack, "node long, n long, level int, homes array<long>, prefix binary, firsts binary")
     wanted = materialise(shown.join(nodes.select("node", "key", "least_id"), "node"), "join_wanted")
-    links = materialise(_block_links(docs, wanted), "join_links")
+    with recorded() as more:
+        links = materialise(_block_links(docs, wanted), "join_links")
+    release(spark, more[:-1])
     lone = _lone_links(docs, entries, wanted)
     if lone is not None:
         links = links.unionByName(materialise(lone, "join_lone_links"))
