@@ -1,63 +1,80 @@
-"""Exact quantiles with bounded memory per task.
+"""Exact quantiles by counting digits, with bounded memory per task.
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which a 100 TB column overflows. Here a sketch of bounded size brackets every
-wanted rank of every column in one pass; the next pass counts what lies below
-each bracket, and another the few rows inside it, per bin of its value range
-(partial aggregation keeps at most ``BINS`` rows per bracket and task). The bin
-that holds the rank becomes the next range, until a bin holds a single value:
-three passes up to about ten million rows, one more per factor of a thousand.
-Bins carry their real minimum and maximum, so a pass also skips empty gaps. A
-rank outside its bracket, or a bracket that reaches infinity, is searched for in
-the whole column, so the result never rests on the sketch.
+which a 100 TB column overflows. Here a double is read as a 64-bit key of the same
+order, and the values between the ends of a column are counted by the leading digit of
+their distance from the lower end (of their key, where ends are unknown or infinite or
+one digit took most rows) in arrays of ``BINS`` counters: one pass over the rows for all
+columns at once, no row is multiplied. The bin that holds a rank becomes the next
+range; its rows are counted by the next digit, or, once few enough are left, read and
+ranked outright. Bins carry their real ends, so a bin of one value needs no further
+pass and gaps are skipped. Two passes serve a few million rows, one more each factor of a thousand;
+integers within ``BINS`` values of known ends need one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ref
 from .measure import measure
 
+# Functions that run in tasks travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS = 1024
+# Values read outright in one pass, over all ranges; a task returns no more than it holds of them.
+READ = 1 << 18
 # Up to this many rows the built-in aggregate's buffer is small and one job suffices.
 BUILT_IN_ROWS = 50_000
-_LOG_SPAN = float(2**52)
-# The sketch is off by at most 1 / SKETCH of all ranks; brackets reach twice as far.
-SKETCH = 5000
+_LOW = (1 << 63) - 1
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys in the order of the doubles; NaN, of one kind, comes last."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(_LOW), bits)
+
+
+def values_of(keys: np.ndarray) -> np.ndarray:
+    keys = np.asarray(keys, np.int64)
+    return np.where(keys < 0, keys ^ np.int64(_LOW), keys).view(np.float64)
 
 
 @dataclass
 class _Range:
-    """Rows of ``column`` with lo <= value <= hi: ``inside`` of them, ``below`` sort before."""
+    """Rows of column number ``at`` with keys from lo to hi: ``inside`` of them, ``below`` sort before."""
 
-    column: str
-    lo: float
-    hi: float
+    at: int
+    lo: int
+    hi: int
     below: int
     inside: int
-    ranks: set[int] = field(default_factory=set)
-    lopsided: bool = False
-    whole: bool = False
-
-    def member(self, v: Column) -> Column:
-        return v.isNotNull() if self.whole else v.between(self.lo, self.hi)
-
-    def key(self, v: Column) -> Column:
-        """Bin of ``v``; monotone in v, and lo and hi never share a bin unless equal."""
-        if self.inside <= BINS or self.lo == self.hi:
-            return v
-        share = (v / 2 - self.lo / 2) / F.lit(self.hi / 2 - self.lo / 2)
-        if self.lopsided:  # most rows fell into one bin: spread the distances from lo evenly per octave
-            share = F.log1p(share * _LOG_SPAN) / math.log1p(_LOG_SPAN)
-        bin_no = F.least(F.floor(share * BINS).cast("double"), F.lit(float(BINS - 1)))
-        if self.whole:  # infinities lie outside the finite range
-            return F.when(v < self.lo, F.lit(-1.0)).when(v > self.hi, F.lit(float(BINS))).otherwise(bin_no)
-        return bin_no
+    ranks: set[int]
+    even: bool = True  # digits of the distance from lo, rather than of the key
+
+    def __post_init__(self) -> None:
+        lo, hi = values_of([self.lo, self.hi]).tolist()
+        # the step must be a number: neither of infinite ends nor of ends closer than any step
+        self.even = self.even and math.isfinite(hi - lo) and (hi == lo or hi - lo > 1e-300)
+
+    def bins(self, keys: np.ndarray) -> np.ndarray:
+        """Bin of each key, not descending; lo and hi never share one unless equal."""
+        if self.even:
+            lo, hi = values_of([self.lo, self.hi]).tolist()
+            # integers that are no more than BINS have a bin each
+            scale = 1.0 if hi - lo == BINS - 1 else (BINS - 1) / (hi - lo) if hi > lo else 0.0
+            return ((values_of(keys) - lo) * scale).astype(np.int64)
+        width = np.uint64((self.hi - self.lo) // BINS + 1)
+        return ((keys.view(np.uint64) - np.array([self.lo], np.int64).view(np.uint64)) // width).astype(np.int64)
 
 
 def exact_quantiles(
@@ -76,7 +93,10 @@ def exact_quantiles(
     if not columns:
         return {}
     if counts is None:
-        counts = measure(df, {c: F.count(ref(c)) for c in columns})
+        v = {c: ref(c).cast("double") for c in columns}
+        got = measure(df, {(c, k): f(v[c]) for c in columns for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
+        counts = {c: got[c, "n"] for c in columns}
+        ends = {c: (got[c, "lo"], got[c, "hi"]) for c in columns if counts[c]}
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if not counts[c]}
     live = [c for c in columns if counts[c]]
     if not live:
@@ -99,100 +119,103 @@ def exact_quantiles(
     return result
 
 
-def _brackets(df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], v: dict[str, Column]) -> list[_Range]:
-    """A narrow range around each rank, with the exact number of rows below and inside it."""
-    reach = 2.0 / SKETCH
-    shares = {
-        c: [(k, min(max(k / max(counts[c] - 1, 1) + d, 0.0), 1.0)) for k in sorted(ks) for d in (-reach, reach)] for c, ks in ranks.items()
-    }
-    sketch = {c: F.percentile_approx(v[c], F.array(*[F.lit(p) for _, p in at]), SKETCH) for c, at in shares.items()}
-    ends = measure(df, sketch)
-    # neighbouring ranks (of one quantile, mostly) share a bracket
-    held: dict[tuple[str, float, float], set[int]] = {}
-    for c, at in shares.items():
-        for (k, _), lo, hi in zip(at[::2], ends[c][::2], ends[c][1::2]):
-            if not (math.isfinite(lo) and math.isfinite(hi)):
-                continue
-            for other in [o for o in held if o[0] == c and o[1] <= hi and lo <= o[2]]:
-                lo, hi = min(lo, other[1]), max(hi, other[2])
-                held[c, lo, hi] = held.pop(other) | held.get((c, lo, hi), set())
-            held.setdefault((c, lo, hi), set()).add(k)
-    exprs: dict = {}
-    for c, lo, hi in held:
-        exprs[c, lo, hi, "below"] = F.count_if(v[c] < F.lit(lo))
-        exprs[c, lo, hi, "inside"] = F.count_if(v[c].between(F.lit(lo), F.lit(hi)))
-    got = measure(df, exprs) if exprs else {}
-    out = []
-    for (c, lo, hi), ks in held.items():
-        below, inside = got[c, lo, hi, "below"], got[c, lo, hi, "inside"]
-        reached = {k for k in ks if below <= k < below + inside}
-        if reached:
-            out.append(_Range(c, lo, hi, below, inside, reached))
-    return out
-
-
-def _whole_columns(
-    df: DataFrame,
-    ranks: dict[str, set[int]],
-    counts: dict[str, int],
-    known: dict[str, tuple[float, float]],
-    v: dict[str, Column],
-) -> list[_Range]:
-    """Each column's whole range, for ranks that no bracket holds."""
-    ends = {c: known[c] for c in ranks if c in known and all(math.isfinite(x) for x in known[c])}
-    unknown = [c for c in ranks if c not in ends]
-    if unknown:
-        finite = {c: F.when(F.abs(v[c]) < float("inf"), v[c]) for c in unknown}
-        got = measure(df, {(c, i): f(finite[c]) for c in unknown for i, f in enumerate((F.min, F.max))})
-        ends.update({c: (got[c, 0] or 0.0, got[c, 1] or 0.0) for c in unknown})
-    ranges = [_Range(c, *ends[c], 0, counts[c], set(ranks[c]), whole=True) for c in ranks]
-    for r in ranges:
-        if r.lo == r.hi:  # one finite value, or none: any positive width keeps the bins apart
-            r.hi = math.nextafter(r.lo, math.inf)
-    return ranges
+def _columns_of_keys(batches: Iterator[pa.RecordBatch], wanted: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for at in wanted:
+            column = batch.column(at).drop_null()
+            if len(column):
+                yield at, keys_of(column.to_numpy(zero_copy_only=False))
+
+
+def _rows_of(df: DataFrame, columns: list[str], ranges: list[_Range], first: bool) -> DataFrame:
+    """The columns that ranges lie in; after the first pass only rows that lie in one."""
+    v = [ref(c).cast("double") for c in columns]
+    if not first:
+        inside = F.lit(False)
+        for r in ranges:
+            lo, hi = values_of([r.lo, r.hi]).tolist()
+            inside = inside | (v[r.at] + 0.0).between(F.lit(lo), F.lit(hi))
+        df = df.where(inside)
+    return df.select(*[x.alias(f"v{i}") for i, x in enumerate(v)])
+
+
+def _counted(rows: DataFrame, ranges: list[_Range]) -> list[tuple[np.ndarray, ...]]:
+    """Per range: the bins with rows in ascending order, their counts, least and greatest keys."""
+    wanted = {r.at for r in ranges}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(ranges), BINS), np.int64)
+        lo, hi = np.full_like(n, _LOW), np.full_like(n, -_LOW - 1)
+        for at, keys in _columns_of_keys(batches, wanted):
+            for i, r in enumerate(ranges):
+                if r.at == at:
+                    own = keys[(keys >= r.lo) & (keys <= r.hi)]
+                    bins = r.bins(own)
+                    n[i] += np.bincount(bins, minlength=BINS)
+                    np.minimum.at(lo[i], bins, own)
+                    np.maximum.at(hi[i], bins, own)
+        i, b = np.nonzero(n)
+        columns = [i.astype(np.int32), b.astype(np.int32), n[i, b], lo[i, b], hi[i, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "bin", "n", "lo", "hi"])
+
+    counted = rows.mapInArrow(count, "i int, bin int, n long, lo long, hi long")
+    # at most BINS rows a range
+    summed = counted.groupBy("i", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    i, b, n, lo, hi = (summed.column(c).to_numpy() for c in ("i", "bin", "n", "lo", "hi"))
+    order = np.lexsort((b, i))
+    cuts = np.searchsorted(i[order], np.arange(len(ranges) + 1))
+    return [tuple(c[order[x:y]] for c in (n, lo, hi)) for x, y in zip(cuts, cuts[1:])]
+
+
+def _read(rows: DataFrame, ranges: list[_Range]) -> list[np.ndarray]:
+    """The sorted keys inside each range."""
+    wanted = {r.at for r in ranges}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in ranges]
+        for at, keys in _columns_of_keys(batches, wanted):
+            for i, r in enumerate(ranges):
+                if r.at == at:
+                    held[i].append(keys[(keys >= r.lo) & (keys <= r.hi)])
+        full = [(i, np.concatenate(h).tobytes()) for i, h in enumerate(held) if sum(map(len, h))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([k for _, k in full], pa.binary())], ["i", "keys"])
+
+    found: list[list[bytes]] = [[] for _ in ranges]
+    table = rows.mapInArrow(read, "i int, keys binary").toArrow()
+    for i, keys in zip(table.column("i").to_pylist(), table.column("keys").to_pylist()):
+        found[i].append(keys)
+    return [np.sort(np.frombuffer(b"".join(f), np.int64)) for f in found]
 
 
 def _order_statistics(
     df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], known: dict[str, tuple[float, float]]
 ) -> dict[str, dict[int, float]]:
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    v = {c: ref(c).cast("double") for c in ranks}
-    ranges = _brackets(df, ranks, counts, v)
-    bracketed = {(r.column, k) for r in ranges for k in r.ranks}
-    missed = {c: {k for k in ks if (c, k) not in bracketed} for c, ks in ranks.items()}
-    missed = {c: ks for c, ks in missed.items() if ks}
-    if missed:
-        ranges += _whole_columns(df, missed, counts, known, v)
-
+    columns = list(ranks)
+    found: list[dict[int, float]] = [{} for _ in columns]
+    ranges = []
+    for at, c in enumerate(columns):
+        ends = [float(x) for x in known.get(c, (-math.inf, math.nan))]
+        lo, hi = keys_of(np.array(ends)).tolist()
+        ranges.append(_Range(at, lo, hi, 0, counts[c], set(ranks[c])))
+    first = True
     while ranges:
-        cells = [x for i, r in enumerate(ranges) for x in (F.lit(i), F.when(r.member(v[r.column]), r.key(v[r.column])), v[r.column])]
-        rows = df
-        if not any(r.whole for r in ranges):
-            anywhere = F.lit(False)
-            for r in ranges:
-                anywhere = anywhere | r.member(v[r.column])
-            rows = df.where(anywhere)
-        bins = (
-            rows.select(F.stack(F.lit(len(ranges)), *cells).alias("range", "key", "v"))
-            .where(F.col("key").isNotNull())
-            .groupBy("range", "key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()  # at most (BINS + 2) rows per range
-        )
-        by_range: dict[int, list] = {}
-        for b in bins:
-            by_range.setdefault(b["range"], []).append(b)
-        following: list[_Range] = []
-        for i, r in enumerate(ranges):
-            below = r.below
-            for b in sorted(by_range[i], key=lambda b: b["key"]):
-                hit = {k for k in r.ranks if below <= k < below + b["n"]}
-                if hit and b["lo"] == b["hi"]:
-                    found[r.column].update({k: b["lo"] for k in hit})
-                elif hit:
-                    following.append(
-                        _Range(r.column, b["lo"], b["hi"], below, b["n"], hit, lopsided=not r.lopsided and 2 * b["n"] > r.inside)
-                    )
-                below += b["n"]
-        ranges = following
-    return found
+        rows = _rows_of(df, columns, ranges, first)
+        if sum(r.inside for r in ranges) <= READ:
+            for r, keys in zip(ranges, _read(rows, ranges)):
+                found[r.at].update({k: float(values_of(keys[k - r.below])) for k in r.ranks})
+            break
+        following = []
+        for r, (n, lo, hi) in zip(ranges, _counted(rows, ranges)):
+            below = r.below + np.cumsum(n) - n
+            for k in sorted(r.ranks):
+                b = int(np.searchsorted(below, k, "right")) - 1
+                if lo[b] == hi[b]:
+                    found[r.at][k] = float(values_of(lo[b]))
+                elif following and (following[-1].at, following[-1].lo) == (r.at, int(lo[b])):
+                    following[-1].ranks.add(k)
+                else:
+                    # where one bin took most rows, the next digit is one of the other kind
+                    even = r.even != (2 * int(n[b]) > r.inside)
+                    following.append(_Range(r.at, int(lo[b]), int(hi[b]), int(below[b]), int(n[b]), {k}, even))
+        ranges, first = following, False
+    return {c: found[at] for at, c in enumerate(columns)}

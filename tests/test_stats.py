@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import Facts, chart_data, profile
 from millrace.operators import charts, correlate
 from millrace.operators.counts import distinct_share_reaches, levels, long_text_levels
+from millrace.operators import quantiles
 from millrace.operators.quantiles import exact_quantiles
 
 TS = datetime.datetime
@@ -59,6 +60,24 @@ def test_quantiles_with_infinities_and_nulls(spark):
     assert exact_quantiles(series(spark, [None, None]), ["v"], [0.5])["v"] == [None]
 
 
+def test_quantile_passes(spark, monkeypatch):
+    """All columns are counted in one pass over the rows; small integers need no second one."""
+    passes = []
+    for name in ("_counted", "_read"):
+        run = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda rows, ranges, run=run, name=name: passes.append(name) or run(rows, ranges))
+    df = spark.range(200_000).select((F.col("id") % 1000).alias("a"), (F.col("id") % 7 / 100).alias("b"), F.sqrt("id").alias("c"))
+    whole = exact_quantiles(df, ["a", "b"], [0.25, 0.5], built_in_rows=0)
+    assert whole == {"a": [249.75, 499.5], "b": [0.01, 0.03]} and passes == ["_counted"]
+    passes.clear()
+    got = exact_quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0], built_in_rows=0)
+    assert got["c"] == [0.0, (math.sqrt(99_999) + math.sqrt(100_000)) / 2, math.sqrt(199_999)] and passes == ["_counted", "_read"]
+    passes.clear()
+    monkeypatch.setattr(quantiles, "READ", 0)
+    assert exact_quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0], built_in_rows=0) == got
+    assert "_read" not in passes and len(passes) <= 3
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=60))
 def test_quantiles_property(spark, values):
