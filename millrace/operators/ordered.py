@@ -1,9 +1,12 @@
 """Order-dependent operators without a global single-partition window.
 
-Rows are cut into key ranges by literal cut points, so the range of a row is a
-pure function of the row: it stays the same in every job and after a lost
-executor. Each range is processed by its own window partition; what crosses a
-range border (last value seen, number of values before) is one row per range.
+Rows are cut into key ranges, each processed by its own window partition. Up to
+``LITERAL_CUTS`` ranges are cut by literals, so the range of a row is a pure function
+of the row. More of them are dealt out by a distributed range partitioning and stored
+with their number, so the size of a range never grows with the table. Either way a
+range stays the same in every job and after a lost executor. What crosses a range
+border (last value seen, number of values before) is one row per range, carried in two
+levels: over groups of ranges first, then inside each group.
 """
 
 from __future__ import annotations
@@ -15,9 +18,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import POSITION, data_columns, free_name, ref, replace_columns
+from ..workspace import materialise
 
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
+# Cut points that a projection holds as literals.
+LITERAL_CUTS = 4096
+# Ranges that are carried together.
+GROUP = 1024
 # Keys sampled per range to place the cut points; they affect balance only, never the result.
 SAMPLED_KEYS_PER_RANGE = 20
 
@@ -53,9 +60,13 @@ def with_ranges(df: DataFrame, key: Column, rows: int, rows_per_range: int = ROW
     """Add the key and its range number; returns (df, key name, range name)."""
     key_name, range_name = free_name("__key", df.columns), free_name("__range", df.columns)
     keyed = df.withColumn(key_name, key)
-    n = max(1, min(MAX_RANGES, math.ceil(rows / rows_per_range)))
+    n = max(1, math.ceil(rows / rows_per_range))
     if n == 1:
         return keyed.withColumn(range_name, F.lit(0)), key_name, range_name
+    if n > LITERAL_CUTS:
+        # Spark samples the keys and sorts the cut points; storing fixes what they gave
+        dealt = keyed.repartitionByRange(n, ref(key_name)).withColumn(range_name, F.spark_partition_id())
+        return materialise(dealt, "ranges"), key_name, range_name
     cuts = _cut_points(keyed.select(key_name), n, rows)
     dtype = keyed.schema[key_name].dataType
     # The first key field alone places a row, unless some value of it is hot enough to be cut twice.
@@ -110,6 +121,51 @@ def _number_ranges(df: DataFrame, key: Column, cuts: list, dtype: T.DataType, na
     )
 
 
+def _carried(edges: DataFrame, rng: str, values: dict[str, Column], fold, few: bool, forward: bool = True) -> DataFrame:
+    """Per range the ``fold`` of ``values`` over all ranges before it (after it if not ``forward``).
+
+    Ranges are grouped by file where they are blocks of files, else by their number; one
+    row per group is carried in one task, one row per range inside its group. ``few``
+    ranges are one group.
+    """
+    if few:
+        outward = Window.orderBy(ref(rng) if forward else ref(rng).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0) if fold is F.sum else F.lit(None)
+        carried = [F.coalesce(fold(v).over(outward), zero).alias(name) for name, v in values.items()]
+        return edges.select(ref(rng).alias("__carry_range"), *carried)
+    blocks = isinstance(edges.schema[rng].dataType, T.StructType)
+    group = ref(rng)["file"] if blocks else F.floor(ref(rng) / GROUP)
+    grouped = edges.withColumn("__carry_group", group)
+
+    def along(window, column: str) -> Window:
+        return window.orderBy(ref(column) if forward else ref(column).desc())
+
+    inside = along(Window.partitionBy("__carry_group"), rng)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    upto = grouped.select(
+        "__carry_group",
+        ref(rng).alias("__carry_range"),
+        *[fold(v).over(earlier).alias(f"__in{i}") for i, v in enumerate(values.values())],
+        *[fold(v).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__all{i}") for i, v in enumerate(values.values())],
+    )
+    last = F.max_by if forward else F.min_by
+    groups = upto.groupBy("__carry_group").agg(*[last(f"__all{i}", "__carry_range").alias(f"__all{i}") for i in range(len(values))])
+    before = along(Window, "__carry_group").rowsBetween(Window.unboundedPreceding, -1)
+    tops = groups.select("__carry_group", *[fold(F.col(f"__all{i}")).over(before).alias(f"__top{i}") for i in range(len(values))])
+    joined = upto.join(tops, "__carry_group")
+    return joined.select("__carry_range", *[_joined(fold, i).alias(name) for i, name in enumerate(values)])
+
+
+def _last_value(column: Column) -> Column:
+    return F.last(column, ignorenulls=True)
+
+
+def _joined(fold, i: int) -> Column:
+    if fold is F.sum:
+        return F.coalesce(F.col(f"__in{i}"), F.lit(0)) + F.coalesce(F.col(f"__top{i}"), F.lit(0))
+    return F.coalesce(F.col(f"__in{i}"), F.col(f"__top{i}"))
+
+
 def ordered_fill(
     df: DataFrame,
     columns: Sequence[str],
@@ -133,18 +189,15 @@ def ordered_fill(
         *[nearest(ref(c), F.when(ref(c).isNotNull(), ref(key))).alias(f"edge{i}") for i, c in enumerate(columns)]
     )
     # One row per range from here to the join.
-    outward = Window.orderBy(F.col(rng) if forward else F.col(rng).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(
-        F.col(rng).alias("__carry_range"),
-        *[F.last(f"edge{i}", ignorenulls=True).over(outward).alias(f"__carry{i}") for i in range(len(columns))],
-    )
+    names = {f"__carry{i}": F.col(f"edge{i}") for i in range(len(columns))}
+    few = rows <= LITERAL_CUTS * rows_per_range and list(order_by) != [POSITION]
+    carry = _carried(edges, rng, names, _last_value, few, forward)
     # A growing frame in key order; backward walks the descending key, as a shrinking frame is quadratic.
     local = (
         Window.partitionBy(rng)
         .orderBy(ref(key) if forward else ref(key).desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    few = rows <= MAX_RANGES * rows_per_range and list(order_by) != [POSITION]
     joined = ranged.join(F.broadcast(carry) if few else carry, F.col(rng) == F.col("__carry_range"), "left")
     new = {
         c: F.coalesce(F.last(ref(c), ignorenulls=True).over(local), F.col(f"__carry{i}")) for i, c in enumerate(columns)
@@ -155,15 +208,10 @@ def ordered_fill(
 def dense_codes(values: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(value, ...) of distinct values -> the same with ``code``, the 0-based rank of the value."""
     ranged, key, rng = with_ranges(values, F.struct(F.col("value").alias("k0")), rows, rows_per_range)
-    before = Window.orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy(rng)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(F.col(rng).alias("__start_range"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
+    sizes = ranged.groupBy(rng).agg(F.count(F.lit(1)).alias("n"))
+    few = rows <= LITERAL_CUTS * rows_per_range
+    starts = _carried(sizes, rng, {"__start": F.col("n")}, F.sum, few)
     local = Window.partitionBy(rng).orderBy(ref(key))
-    return (
-        ranged.withColumn("__at", F.row_number().over(local) - 1)
-        .join(F.broadcast(starts), F.col(rng) == F.col("__start_range"), "left")
-        .select(*[ref(c) for c in values.columns], (F.col("__start") + F.col("__at")).alias("code"))
-    )
+    placed = ranged.withColumn("__at", F.row_number().over(local) - 1)
+    joined = placed.join(F.broadcast(starts) if few else starts, F.col(rng) == F.col("__carry_range"), "left")
+    return joined.select(*[ref(c) for c in values.columns], (F.col("__start") + F.col("__at")).alias("code"))

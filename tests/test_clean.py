@@ -11,6 +11,7 @@ from millrace.operators import missing, outliers
 from millrace.operators.dedupe import drop_duplicates_counted
 from millrace.operators.infer import infer_types
 from millrace.operators.missing import fill_missing
+from millrace.operators import ordered
 from millrace.operators.ordered import ordered_fill
 
 TS = datetime.datetime
@@ -194,6 +195,18 @@ def test_ordered_fill_equals_pandas(spark, direction, rows_per_range):
     assert got["w"].where(got["w"].notna(), None).tolist() == want["w"].where(want["w"].notna(), None).tolist()
 
 
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_ordered_fill_with_stored_ranges(spark, monkeypatch, direction):
+    """More ranges than literals: dealt out by Spark, carried over groups of ranges."""
+    monkeypatch.setattr(ordered, "LITERAL_CUTS", 8)
+    monkeypatch.setattr(ordered, "GROUP", 4)
+    rows = [(i * 37 % 600, None if i % 41 else i, None if i % 300 else "w") for i in range(600)]
+    df = frame(spark, rows, "k int, v int, w string").repartition(5)
+    got = ordered_fill(df, ["v", "w"], ["k"], direction, rows_per_range=15)
+    want = ordered_fill(df, ["v", "w"], ["k"], direction, rows_per_range=10_000)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_ordered_fill_with_one_hot_key(spark):
     rows = [(0 if i < 400 else i, i, None if i % 4 else float(i)) for i in range(1000)]
     df = frame(spark, rows, "k int, id int, v double")

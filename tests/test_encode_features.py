@@ -66,6 +66,13 @@ def test_dense_codes_across_ranges(spark, rows_per_range):
     assert got == {f"{i:03d}": i for i in range(500)}
 
 
+def test_dense_codes_of_more_ranges_than_literals(spark):
+    """One value per range, 4,200 of them: no bound on their number."""
+    df = frame(spark, [(f"{i:04d}",) for i in range(4200)], "value string").repartition(4)
+    got = {r["value"]: r["code"] for r in dense_codes(df, 4200, 1).collect()}
+    assert got == {f"{i:04d}": i for i in range(4200)}
+
+
 @pytest.mark.parametrize("n_bytes,n_unique", [(10, 401), (10**9, 401), (1 << 50, 1 << 44)])
 def test_lookup_forms_agree(spark, n_bytes, n_unique):
     # One value holds half of all rows; some are missing, some unknown to the mapping.
