@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import POSITION, data_columns, ref
-from ..workspace import materialise
+from ..workspace import materialise_observed
 
 # A set of 8-byte row hashes up to this many is broadcast.
 BROADCAST_HASHES = 1_000_000
@@ -50,5 +50,5 @@ def drop_duplicates_counted(df: DataFrame) -> tuple[DataFrame, int, int]:
         suspects = hashed.join(suspect_hashes, "__hash", "left_semi").select(*[ref(c) for c in df.columns])
         rest = hashed.join(suspect_hashes, "__hash", "left_anti").select(*[ref(c) for c in df.columns])
         unique = rest.unionByName(drop_duplicates(suspects))
-    unique = materialise(unique, "dedupe")
-    return unique, rows, rows - unique.count()
+    unique, kept = materialise_observed(unique, "dedupe", {"rows": F.count(F.lit(1))})
+    return unique, rows, rows - kept["rows"]

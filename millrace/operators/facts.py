@@ -3,7 +3,8 @@
 Profile, charts, cleaning and feature decisions ask for the same statistics. A
 ``Facts`` object computes each at most once, for all columns together, and hands
 the untouched ones on to the DataFrame of the next stage (``derive``), so a
-stage that changes two columns costs scans of two columns.
+stage that changes two columns costs scans of two columns. Where a stage stores its
+table anyway, the first pass over it rides along with the write (``stored``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import columns_of, ref, roles
+from ..workspace import materialise_observed
 from .correlate import centred_sums, pearson
 from .counts import LONG_TEXT_BYTES, Levels, distinct_share_reaches, levels, long_text_levels
 from .measure import measure
@@ -68,34 +70,50 @@ class Facts:
     # -- first pass -------------------------------------------------------
 
     def scan(self) -> dict[str, Scan]:
-        todo = [c for c in self.roles if c not in self._scan]
-        if todo or self._rows is None:
-            exprs: dict = {"rows": F.count(F.lit(1))} if self._rows is None else {}
-            for c in todo:
-                v = ref(c)
-                exprs[c, "present"] = F.count(v)
-                if self.roles[c] == "numeric":
-                    exprs[c, "mean"] = F.avg(v.cast("double"))
-                    exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
-                    exprs[c, "binary"] = F.coalesce(F.bool_and(v.isin(0, 1)), F.lit(True))
-                elif self.roles[c] == "categorical":
-                    exprs[c, "bytes"] = F.sum(F.octet_length(v))
-                elif self.roles[c] == "temporal":
-                    exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
-                    exprs[c, "hour_lo"], exprs[c, "hour_hi"] = F.min(F.hour(v)), F.max(F.hour(v))
-            got = measure(self.df, exprs)
-            self._rows = got.get("rows", self._rows)
-            for c in todo:
-                fields = {name: got.get((c, name)) for name in ("mean", "lo", "hi")}
-                self._scan[c] = Scan(
-                    present=got[c, "present"],
-                    binary=bool(got.get((c, "binary"), False)),
-                    bytes=got.get((c, "bytes")) or 0,
-                    hours=(got.get((c, "hour_lo")), got.get((c, "hour_hi"))),
-                    **fields,
-                )
+        exprs = self._scan_measures()
+        if exprs:
+            self._take_scan(measure(self.df, exprs))
         return self._scan
 
+    def stored(self, label: str) -> "Facts":
+        """Facts of the table once it is stored; those of the first pass are gathered while it is written."""
+        df, got = materialise_observed(self.df, label, self._scan_measures())
+        new = self.derive(df)
+        new._take_scan(got)
+        return new
+
+    def _scan_measures(self) -> dict:
+        """What the first pass has to find: nothing where it has been made."""
+        todo = [c for c in self.roles if c not in self._scan]
+        if not todo and self._rows is not None:
+            return {}
+        exprs: dict = {"rows": F.count(F.lit(1))} if self._rows is None else {}
+        for c in todo:
+            v = ref(c)
+            exprs[c, "present"] = F.count(v)
+            if self.roles[c] == "numeric":
+                exprs[c, "mean"] = F.avg(v.cast("double"))
+                exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
+                exprs[c, "binary"] = F.coalesce(F.bool_and(v.isin(0, 1)), F.lit(True))
+            elif self.roles[c] == "categorical":
+                exprs[c, "bytes"] = F.sum(F.octet_length(v))
+            elif self.roles[c] == "temporal":
+                exprs[c, "lo"], exprs[c, "hi"] = F.min(v), F.max(v)
+                exprs[c, "hour_lo"], exprs[c, "hour_hi"] = F.min(F.hour(v)), F.max(F.hour(v))
+        return exprs
+
+    def _take_scan(self, got: dict) -> None:
+        self._rows = got.get("rows", self._rows)
+        for c in {key[0]: None for key in got if key != "rows"}:
+            fields = {name: got.get((c, name)) for name in ("mean", "lo", "hi")}
+            self._scan[c] = Scan(
+                present=got[c, "present"],
+                binary=bool(got.get((c, "binary"), False)),
+                bytes=got.get((c, "bytes")) or 0,
+                hours=(got.get((c, "hour_lo")), got.get((c, "hour_hi"))),
+                **fields,
+            )
+
     @property
     def rows(self) -> int:
         if self._rows is None:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import POSITION, data_columns, ref, replace_columns, roles
 from ..functions.dates import from_micros, micros
-from ..workspace import materialise
 from .counts import top_of_counts, value_counts
 from .facts import Facts
 from .measure import measure
@@ -222,10 +221,11 @@ def fill_missing(
         if name in chosen:
             out = ordered_fill(out, chosen[name], _order_of(out, chosen[name], order_by), direction, facts.rows)
             ordered = True
+    facts = facts.derive(out, changed=holders)
     if ordered:
         # the sort runs once, not in every later job that touches a filled column
-        out = materialise(out, "filled")
-    return out, report, facts.derive(out, changed=holders)
+        facts = facts.stored("filled")
+    return facts.df, report, facts
 
 
 def check_order(df: DataFrame, facts: Facts, strategy: str, threshold: float, order_by: Sequence[str] | None) -> None:

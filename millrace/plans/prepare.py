@@ -15,7 +15,7 @@ from ..operators.missing import check_order
 from ..operators.profile import QUARTILES, profile
 from ..sources.readers import detect_format, load
 from ..sources.writers import require_apart, save_report, save_table
-from ..workspace import materialise, recorded, release
+from ..workspace import recorded, release
 from .config import Settings
 from .stages import clean, encode, engineer
 
@@ -55,8 +55,12 @@ def _prepare(source, spark, settings, load_options, changes: dict) -> Prepared:
     else:
         spark = spark or SparkSession.active()
         raw = _load_for_run(spark, source, s, load_options or {})
-
     raw_facts = Facts(raw)
+    if not isinstance(source, DataFrame) and _is_text(source, load_options or {}):
+        # parsed once: every later job reads pruned columns
+        raw_facts = raw_facts.stored("load")
+        raw = raw_facts.df
+
     check_order(raw, raw_facts, s.missing_strategy, s.missing_threshold, s.order_by)
     if s.outlier_method == "iqr" and s.outlier_action != "none":
         # Bounds need the quartiles of every numeric column, the profile those of most: one search for both.
@@ -110,9 +114,10 @@ def prepare_and_save(
 
 
 def _load_for_run(spark: SparkSession, path: str, s: Settings, options: dict) -> DataFrame:
-    """Load with row positions, and store parsed text once: every later job then reads pruned columns."""
+    """Load with row positions where an ordered fill may need them."""
     fill_by_position = s.order_by is None and s.missing_strategy in ("auto", "ffill", "bfill")
-    df = load(spark, path, **{"keep_position": fill_by_position, **options})
-    if (options.get("format") or detect_format(path)) == "parquet":
-        return df
-    return materialise(df, "load")
+    return load(spark, path, **{"keep_position": fill_by_position, **options})
+
+
+def _is_text(path: str, options: dict) -> bool:
+    return (options.get("format") or detect_format(path)) != "parquet"

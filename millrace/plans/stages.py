@@ -15,7 +15,6 @@ from ..operators.features import correlated_columns, extract_date_features, iden
 from ..operators.infer import infer_types
 from ..operators.missing import STRATEGIES, fill_missing, high_missing_columns
 from ..operators.outliers import handle_outliers
-from ..workspace import materialise
 from .config import Settings
 
 
@@ -46,10 +45,11 @@ def clean(df: DataFrame, settings: Settings | None = None, facts: Facts | None =
     facts = facts.derive(unique) if facts and not report["duplicates_removed"] else Facts(unique)
 
     typed, made = infer_types(unique, facts=facts)
+    facts = facts.derive(typed, changed=made)
     if made:
         # Parsed once here, instead of in every later scan of the column.
-        typed = materialise(typed, "typed")
-    facts = facts.derive(typed, changed=made)
+        facts = facts.stored("typed")
+        typed = facts.df
 
     gone = high_missing_columns(facts, s.missing_threshold)
     report["columns_dropped_high_missing"] = gone

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _RECORDS: list[list[str]] = []
@@ -43,11 +44,25 @@ def scratch_path(spark: SparkSession, label: str, suffix: str = "") -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as parquet, return a scan of it."""
+    return materialise_observed(df, label, {})[0]
+
+
+def materialise_observed(df: DataFrame, label: str, measures: dict[Hashable, Column]) -> tuple[DataFrame, dict[Hashable, Any]]:
+    """The same, with the values that aggregate ``measures`` have over the rows as they are written.
+
+    The measures stand in the tasks that write, behind every shuffle: such a task counts
+    once, however often stages before it have to be run again.
+    """
     path = scratch_path(df.sparkSession, label)
     for record in _RECORDS:
         record.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    observed, seen = df, None
+    if measures:
+        seen = Observation()
+        observed = df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(measures.values())])
+    observed.write.parquet(path)
+    got = {} if seen is None else {key: seen.get[f"m{i}"] for i, key in enumerate(measures)}
+    return df.sparkSession.read.schema(df.schema).parquet(path), got
 
 
 @contextmanager

@@ -62,6 +62,29 @@ def test_stages_reuse_facts(spark, table):
     assert set(encode(stage.df, facts=stage.facts).facts._scan) >= {"o_orderkey", "o_custkey", "o_orderdate"}
 
 
+def test_facts_are_gathered_while_a_table_is_written(spark, tmp_path):
+    """A table that a stage stores needs no first pass of its own, whatever was changed in it."""
+
+    def jobs():
+        return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+    rows = [(i, f"{i / 4}", None if i % 5 else f"2024-01-{i % 28 + 1:02d}", "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, price string, day string, c string")
+    before = jobs()
+    facts = Facts(df).stored("t")
+    assert jobs() == before + 1
+    assert facts.scan() == Facts(df).scan() and facts.rows == 400
+    before = jobs()
+    facts.scan(), facts.nulls()
+    assert jobs() == before
+
+    stage = clean(df, missing_strategy="ffill", order_by=["k"], outlier_method="none")
+    before = jobs()
+    found = stage.facts.scan()  # two columns were parsed, one filled in order: nothing is left to ask
+    assert jobs() == before
+    assert found == Facts(stage.df).scan()
+
+
 def test_row_distribution_of_one_hot_value(spark):
     """Value counts of a column with one dominating value shuffle one row of it per task."""
     df = spark.range(0, 50_000, 1, 8).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("c"))
