@@ -93,9 +93,9 @@ def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, keys[order]
 
 
-def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Pairs with ``least`` or more occurrences that do not overlap themselves, and enough of the most frequent one's:
-    positions in ascending order, the number of the pair at each, the pairs, their counts."""
+    positions in ascending order, the number of the pair at each, the pairs, their counts, and how many were enough."""
     left, right = sequence[:-1], sequence[1:]
     bits = max(10, min(20, len(sequence).bit_length()))
     slot = left * np.uint32(0x9E3779B1)
@@ -122,6 +122,25 @@ def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
             break
         need = least
     kept = enough[number] if len(at) else np.zeros(0, bool)
+    return at[kept], number[kept], ranged[opens], count, need
+
+
+def _recounted_pairs(sequence: np.ndarray, least: int, active: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_frequent_pairs`` where every pair with ``least`` occurrences lies at ``active`` positions or in a run of one symbol."""
+    same = np.flatnonzero(sequence[:-1] == sequence[1:])
+    opens = np.append(True, same[1:] != same[:-1] + 1) if len(same) else np.zeros(0, bool)
+    odd = (same - same[np.flatnonzero(opens)[np.cumsum(opens) - 1]]) % 2 == 1 if len(same) else opens
+    marked = np.zeros(len(sequence), bool)
+    marked[active] = marked[same] = True
+    marked[same[odd]] = marked[-1] = False
+    at = np.flatnonzero(marked)
+    keys = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[at + 1]
+    order, ranged = _ordered(keys)
+    opens = np.flatnonzero(np.append(True, ranged[1:] != ranged[:-1])) if len(at) else np.zeros(0, np.int64)
+    count = np.diff(np.append(opens, len(at)))
+    number = np.empty(len(at), np.int64)
+    number[order] = np.repeat(np.arange(len(opens)), count)
+    kept = (count >= least)[number] if len(at) else np.zeros(0, bool)
     return at[kept], number[kept], ranged[opens], count
 
 
@@ -131,10 +150,16 @@ def compress(ids: np.ndarray, *, rounds: int | None = None, least: int = LEAST)
     base = int(sequence.max()) + 1 if len(ids) else 1
     rules, made = [], []
     lengths = np.zeros(0, np.int64)
+    # once a round took all pairs down to ``least`` uses, later ones arise beside replaced places only
+    active: np.ndarray | None = None
     while len(sequence) > 1 and (rounds is None or len(made) < rounds):
-        at, number, pairs, count = _frequent_pairs(sequence, least)
+        if active is None:
+            at, number, pairs, count, need = _frequent_pairs(sequence, least)
+        else:
+            at, number, pairs, count = _recounted_pairs(sequence, least, active)
         if not len(at):
             break
+        counted = at
         # no two pairs have the same rank, so the first one loses no use and every round makes a rule
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(count, kind="stable")] = np.arange(len(pairs))
@@ -155,6 +180,11 @@ def compress(ids: np.ndarray, *, rounds: int | None = None, least: int = LEAST)
         stays = np.ones(len(sequence), bool)
         stays[at + 1] = False
         sequence = sequence[stays]
+        if need == least:
+            place = np.cumsum(stays) - 1
+            fresh = place[at]
+            # what is left of the pairs just counted, and both sides of every new symbol
+            active = np.concatenate([place[counted[stays[counted]]], fresh, np.maximum(fresh - 1, 0)])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return Shard(base, table, np.array(made, np.int64), lengths, sequence)
 
@@ -331,12 +361,13 @@ class WordEncoder:
         split = pa.compute.split_pattern(pa.compute.fill_null(column, ""), " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        own = self.known.numbers(coded.dictionary.to_pylist())
+        words = coded.dictionary.to_pylist()
+        own = self.known.numbers(words)
         if self.known.pending:
             self.learn()
         numbers = own[coded.indices.to_numpy()]
         self.uses += np.bincount(numbers, minlength=len(self.uses))
-        heads = [(column[i].as_py() or "").split(" ", 1)[0] for i in range(len(column))]
+        heads = [words[i] for i in coded.indices.to_numpy()[bounds[:-1]].tolist()]
         strange = np.add.reduceat(np.append(self.sizes[numbers] < 0, False), bounds[:-1]) > 0
         direct = [i for i, h in enumerate(heads) if strange[i] or (h and h[-1].isspace())]
         whole = dict(zip(direct, self.whole([column[i].as_py() or "" for i in direct])))
