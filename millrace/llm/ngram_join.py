@@ -17,8 +17,8 @@ never are written out as pairs:
   block counts the shared prefix elements of all its pairs by products of incidence
   matrices, verifies those that reach their level the same way, and gives a spanning
   forest of the links. Large blocks are dealt out as pairs of tiles;
-- pairs that share a prefix element but no home are counted over all elements and
-  verified one by one.
+- pairs that share a prefix element but no home, and that the blocks have not connected
+  through others, are counted over all elements and verified one by one.
 
 Shingles are compared by 64-bit hashes, sets are folded by 128-bit ones.
 
@@ -48,7 +48,7 @@ SHARE = 80
 # Prefixes ask for one of these numbers of shared elements; the higher ones are for larger sets.
 LEVELS = (1, 2, 4, 8, 16, 32)
 # Blocks a set is compared in; sets of a tile.
-HOMES = 2
+HOMES = 4
 TILE = 512
 # The sketch has 1 << SKETCH_BITS counters, whatever the size of the corpus; its classes are broadcast, a byte each.
 SKETCH_BITS = 20
@@ -375,10 +375,10 @@ def _block_links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (x, y, level) of sorted rows (token, pair, side, node, n, first_level, level, homes) that share no home."""
+    """Pairs (x, y, level) of sorted rows (token, pair, side, node, n, first_level, level, root, homes) that share neither root nor home."""
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, pair, side, node, n, first, level, *homes = columns
+        token, pair, side, node, n, first, level, root, *homes = columns
         alive = np.arange(len(token))
         for d in range(1, len(token)):
             alive = alive[alive + d < len(token)]
@@ -391,7 +391,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lower = np.minimum(level[alive], level[other])
             good = (first[alive] <= lower) & (first[other] <= lower)
             good &= 100 * np.minimum(n[alive], n[other]) >= SHARE * np.maximum(n[alive], n[other])
-            good &= crossing[alive] <= (side[alive] != side[other])
+            good &= (crossing[alive] <= (side[alive] != side[other])) & (root[alive] != root[other])
             for h in homes:
                 for g in homes:
                     good &= (h[alive] != g[other]) | (h[alive] == -1)
@@ -440,13 +440,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def _lone_links(docs: DataFrame, entries: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """Links between sets that share prefix elements but no home; None if there is no such pair."""
+def _lone_links(docs: DataFrame, entries: DataFrame, wanted: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links between sets that share prefix elements but no home; None if there is no such pair.
+
+    Sets with one ``root`` are connected already, another link between them would tell nothing.
+    """
     counts = materialise(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "join_matches")
     homes = [F.coalesce(F.get("homes", F.lit(i)), F.lit(-1)).alias(f"h{i}") for i in range(HOMES)]
-    placed = entries.join(wanted.select("node", "homes"), "node")
+    placed = entries.join(wanted.select("node", "homes"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     dealt = _tiled(skew_join(placed, counts, "token", "m", max(entries.count(), 1)), "token", "m")
-    rows = dealt.select("token", "pair", "side", "node", "n", "first_level", "level", *homes)
+    rows = dealt.select("token", "pair", "side", "node", "n", "first_level", "level", "root", *homes)
     ordered = rows.repartition("token", "pair").sortWithinPartitions("token", "pair", "side", "node")
     met = ordered.mapInArrow(_apart, "x long, y long, level int")
     enough = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("level").alias("level")).where("c >= level")
@@ -532,11 +535,13 @@ def join(docs: DataFrame) -> DataFrame:
     with recorded() as more:
         links = materialise(_block_links(docs, wanted), "join_links")
     release(spark, more[:-1])
-    lone = _lone_links(docs, entries, wanted)
+    roots = components(links, "join_stars")
+    lone = _lone_links(docs, entries, wanted, roots)
     if lone is not None:
-        links = links.unionByName(materialise(lone, "join_lone_links"))
+        lone = materialise(lone, "join_lone_links")
+        if not lone.isEmpty():
+            roots = components(links.unionByName(lone), "join_stars")
 
-    roots = components(links, "join_stars")
     named = nodes.join(roots, "node", "left")
     named = materialise(named.withColumn("root", F.coalesce("root", "node")), "join_roots")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
