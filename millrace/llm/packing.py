@@ -11,9 +11,10 @@ L exceeds the budget). Documents of a bucket are put in a random but fixed order
 hash; ranks come from sorted ranges of bounded size plus their offsets, so no bucket
 meets in one task, and all batches of a bucket but its last are full.
 
-Lengths up to FINE are exact boundaries. Longer ones are first rounded up to a grid
-of GRID steps per doubling, which bounds the histogram on the driver (about
-``FINE + GRID * log2(longest / FINE)`` rows) at a padding of at most 1 / GRID.
+The histogram holds every length that occurs, so it has no more rows than the longest
+text has words, however many documents there are. A caller with lengths beyond that may
+ask for a ``grid``: lengths above four times it are then rounded up to ``grid`` steps
+per doubling, at a padding of at most 1 / grid.
 
 Defined results: null texts and texts without a word have length 0 and their own
 boundary 0 if it pays; ties and repeated rows are ordered by id, then by the hash of
@@ -29,18 +30,18 @@ from .common import empty_like, materialise, n_words
 
 BUCKETS = 16
 BUDGET = 65_536
-FINE = 4096
-GRID = 1024
 RANGE_ROWS = 50_000
 SCHEMA = "doc_id long, size long, bucket int, boundary long, batch long, slot long, padding long"
 
 
-def grid_length(size: Column) -> Column:
-    """``size`` up to FINE, above it rounded up to GRID steps per doubling."""
-    # step: the largest power of two of which GRID fit below the size
-    power = F.greatest(F.floor(F.log2(F.greatest(size - 1, F.lit(1)).cast("double") / GRID)), F.lit(0))
+def grid_length(size: Column, grid: int | None) -> Column:
+    """``size``; with a ``grid``, sizes above four times it are rounded up to ``grid`` steps per doubling."""
+    if grid is None:
+        return size
+    # step: the largest power of two of which ``grid`` fit below the size
+    power = F.greatest(F.floor(F.log2(F.greatest(size - 1, F.lit(1)).cast("double") / grid)), F.lit(0))
     step = F.pow(F.lit(2.0), power).cast("long")
-    return F.when(size <= FINE, size).otherwise(F.ceil(size / step) * step).cast("long")
+    return F.when(size <= 4 * grid, size).otherwise(F.ceil(size / step) * step).cast("long")
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -85,7 +86,9 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, size: Column | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, size: Column | None = None, grid: int | None = None
+) -> DataFrame:
     """Bucket, batch and slot of every row of ``docs``.
 
     ``size`` is the length of a row in tokens (words of ``text``, unless given).
@@ -99,13 +102,13 @@ def pack(docs: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET, size:
         ),
         "lengths",
     )
-    histogram = rows.groupBy(grid_length(F.col("size")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = rows.groupBy(grid_length(F.col("size"), grid).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     counted = sorted((r["length"], r["n"]) for r in histogram.collect())
     if not counted:
         return empty_like(spark, SCHEMA)
     cuts = best_boundaries(np.array([c[0] for c in counted]), np.array([c[1] for c in counted]), buckets)
     bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    bucket = F.size(F.filter(bounds, lambda b: b < grid_length(F.col("size"))))
+    bucket = F.size(F.filter(bounds, lambda b: b < grid_length(F.col("size"), grid)))
     per_bucket = [sum(n for length, n in counted if (cuts[k - 1] if k else -1) < length <= c) for k, c in enumerate(cuts)]
     ranges = F.array(*[F.lit(-(-n // RANGE_ROWS)).cast("long") for n in per_bucket])
     dealt = rows.withColumn("bucket", bucket).withColumn(

@@ -24,8 +24,10 @@ def test_boundaries_are_optimal():
 
 
 def test_grid(spark):
-    x = spark.range(0, 300_000, 7).select("id", P.grid_length(F.col("id")).alias("g")).toPandas()
-    assert (x.g >= x.id).all() and (x.g - x.id <= x.id / P.GRID).all() and (x.g == x.id)[x.id <= P.FINE].all()
+    exact, coarse = P.grid_length(F.col("id"), None).alias("e"), P.grid_length(F.col("id"), 1024).alias("g")
+    x = spark.range(0, 300_000, 7).select("id", exact, coarse).toPandas()
+    assert (x.e == x.id).all()
+    assert (x.g >= x.id).all() and (x.g - x.id <= x.id / 1024).all() and (x.g == x.id)[x.id <= 4096].all()
 
 
 def check(rows, got, buckets, budget):
@@ -51,12 +53,19 @@ def test_documents(docs, monkeypatch):
 
 
 def test_edges(edges, edge_rows):
-    short = [r for r in edge_rows if len(r[1] or "") < 10_000]
-    check([r[1] for r in short], P.pack(edges.where("coalesce(length(text), 0) < 10000"), buckets=3, budget=20).collect(), 3, 20)
-    found = P.pack(edges).collect()
+    check([r[1] for r in edge_rows], P.pack(edges, buckets=3, budget=20).collect(), 3, 20)
+    found = P.pack(edges, grid=1024).collect()
     assert len(found) == len(edge_rows) and all(r.padding >= 0 for r in found)
 
 
+def test_long_texts_keep_exact_boundaries(spark):
+    """Lengths beyond 4,096 words, close to each other: no grid could tell them apart."""
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in np.concatenate([rng.integers(0, 60, 200), rng.integers(20_000, 20_060, 40), rng.integers(5000, 9000, 40)])]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(4)
+    check(["w " * n for n in sizes], P.pack(docs, buckets=6, budget=50_000).collect(), 6, 50_000)
+
+
 def test_empty(nothing):
     assert P.pack(nothing).collect() == []
 
