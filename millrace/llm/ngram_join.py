@@ -31,12 +31,13 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.workspace import recorded, release
 
@@ -57,6 +58,8 @@ SLICE = 1 << 16
 SLICE_CHARS = 250_000
 # Columns of an incidence matrix at once.
 COLUMNS = 2048
+# Rows in an Arrow batch.
+BATCH_ROWS = 500
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 _SPACE = np.zeros(256, bool)
@@ -498,8 +501,25 @@ def _pruned(classes: DataFrame) -> DataFrame:
         shared, total = fewer, n
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows here hold whole sets: fewer of them go to Python at once while the block runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    with _small_batches(docs.sparkSession):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with recorded() as scratch:
         sets = materialise(prefixes(docs, frequency_classes(docs)), "join_sets")
