@@ -496,7 +496,7 @@ def _pruned(classes: DataFrame) -> DataFrame:
         # elements whose other sets are out make their own set less likely in turn
         fewer = _recounted(entries.drop("level"), total, "join_shared")
         n = fewer.count()
-        if 10 * n > 9 * total:
+        if 10 * n >= 9 * total:
             return materialise(fewer.join(levels, "node").where("first_level <= level"), "join_entries")
         shared, total = fewer, n
 
