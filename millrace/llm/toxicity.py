@@ -25,11 +25,13 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,72 +142,207 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+Readings = tuple[tuple[str, float], ...]
+
+
+@lru_cache(maxsize=4096)
+def _letter_readings(c: str, n: int) -> Readings:
+    """Readings of ``n`` times the letter ``c`` (3: three or more)."""
+    if "a" <= c <= "z":
+        return ((c, 0.0),) if n == 1 else ((c, COST_ONCE if n > 2 else -1.5), (c * 2, COST_TWICE if n > 2 else 0.0))
+    return ((c * n, 0.0),) if n < 3 else ((c, COST_ONCE), (c * 2, COST_TWICE))
+
+
+@lru_cache(maxsize=4096)
+def _mark_readings(c: str) -> Readings:
+    readings = [(letter, COST_LEET) for letter in LEET.get(c, "")]
+    if c in WILD:
+        readings += [(chr(97 + k), COST_WILD) for k in range(26)]
+    if c in SEPARATORS:
+        readings.append(("", COST_SKIP))
+    if c == " ":
+        readings.append(("", -0.5))
+    # a digit or symbol that stands for itself is as rare as it is costly
+    literal = c in LEET and c not in SEPARATORS
+    readings.append((" ", -0.5 if c == " " else COST_LITERAL if literal else COST_END))
+    return tuple(readings)
+
+
+def lattice(token: str) -> list[Readings]:
     """Per position the readings (letters, cost); an empty reading skips, a blank ends a word.
 
-    A blank in ``token`` separates single characters that may belong together.
+    A blank in ``token`` separates single characters that may belong together. Equal
+    positions share one tuple of readings.
     """
-    steps: list[list[tuple[str, float]]] = []
+    steps: list[Readings] = []
     i = 0
     while i < len(token):
         c = token[i]
+        if not ("a" <= c <= "z" or is_other(c)):
+            steps.append(_mark_readings(c))
+            i += 1
+            continue
         run = i
         while run < len(token) and token[run] == c:
             run += 1
-        readings: list[tuple[str, float]] = []
-        if "a" <= c <= "z":
-            n = run - i
-            readings = [(c, 0.0)] if n == 1 else [(c, COST_ONCE if n > 2 else -1.5), (c * 2, COST_TWICE if n > 2 else 0.0)]
-            i = run
-        elif is_other(c):
-            n = run - i
-            readings = [(c * n, 0.0)] if n < 3 or not c.isalpha() else [(c, COST_ONCE), (c * 2, COST_TWICE)]
-            i = run
+        if c.isalpha():
+            steps.append(_letter_readings(c, min(run - i, 3)))
         else:
-            readings += [(letter, COST_LEET) for letter in LEET.get(c, "")]
-            if c in WILD:
-                readings += [(chr(97 + k), COST_WILD) for k in range(26)]
-            if c in SEPARATORS:
-                readings.append(("", COST_SKIP))
-            if c == " ":
-                readings.append(("", -0.5))
-            # a digit or symbol that stands for itself is as rare as it is costly
-            literal = c in LEET and c not in SEPARATORS
-            readings.append((" ", -0.5 if c == " " else COST_LITERAL if literal else COST_END))
-            i += 1
-        steps.append(readings)
+            steps.append(((c * (run - i), 0.0),))
+        i = run
     return steps
 
 
-def decode(token: str, model: list[list[list[float]]]) -> str:
-    """The most probable reading of a lower-cased, folded token under the character model."""
-    # state: the last two letters (0: boundary); value: score and the text so far
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for letters, cost in readings:
-                p, q, now, out = a, b, score + cost, text
-                for letter in letters:
-                    if letter == " ":
-                        if q:
-                            now += model[p][q][0]
-                            out += " "
-                        p = q = 0
-                    elif letter > "z":
-                        # of a script the model does not know: no cost, and a new beginning for the model
-                        out += letter
-                        p = q = 0
-                    else:
-                        k = ord(letter) - 96
-                        now += model[p][q][k]
-                        p, q, out = q, k, out + letter
-                held = after.get((p, q))
-                if held is None or (now, out) > held:
-                    after[(p, q)] = (now, out)
+# Positions whose back pointers are held at a time; those of earlier ones are worked out again.
+BLOCK = 4096
+# Longer lattices, and those of several wildcards, are searched with arrays over all 27 x 27 states.
+SHORT = 200
+
+
+def _reached(state: int, letters: str, score: float, model: list[list[list[float]]]) -> tuple[int, float]:
+    """State (last two letters, 0: boundary) and score after a reading."""
+    p, q = divmod(state, 27)
+    for letter in letters:
+        if letter == " ":
+            if q:
+                score += model[p][q][0]
+            p = q = 0
+        elif letter > "z":
+            # of a script the model does not know: no cost, and a new beginning for the model
+            p = q = 0
+        else:
+            k = ord(letter) - 96
+            score += model[p][q][k]
+            p, q = q, k
+    return 27 * p + q, score
+
+
+def _search_few(steps: list[Readings], model: list[list[list[float]]]) -> list[int]:
+    """The best reading of every position, following only the states that occur."""
+    states = {0: 0.0}
+    backs: list[dict[int, tuple[int, int]]] = []
+    for readings in steps:
+        after: dict[int, float] = {}
+        back: dict[int, tuple[int, int]] = {}
+        ordered = sorted(states.items())
+        for r, (letters, cost) in enumerate(readings):
+            for state, score in ordered:
+                to, now = _reached(state, letters, score + cost, model)
+                if to not in after or now > after[to]:
+                    after[to], back[to] = now, (r, state)
         states = after
-    best = max((score + (model[p][q][0] if q else 0.0), text) for (p, q), (score, text) in states.items())
-    return best[1].strip()
+        backs.append(back)
+    state = max(sorted(states), key=lambda s: _reached(s, " ", states[s], model)[1])
+    chosen = []
+    for back in reversed(backs):
+        r, state = back[state]
+        chosen.append(r)
+    return chosen[::-1]
+
+
+def _search_arrays(steps: list[Readings], model: np.ndarray) -> list[int]:
+    """As ``_search_few`` with arrays over all states; time and memory per position are fixed.
+
+    Back pointers (reading and state before) are held for one block; at the edges
+    of blocks the scores are kept, and the way back works a block out again.
+    """
+    here = np.arange(27)
+    every = np.arange(729).reshape(27, 27)
+    # what ends a word: no cost at a boundary
+    ends = np.where(here[None] > 0, model[:, :, 0], 0.0)
+
+    @lru_cache(maxsize=None)
+    def moves(readings: Readings) -> list:
+        """Readings by kind: those of one letter and one cost go together."""
+        out: list = []
+        for r, (letters, cost) in enumerate(readings):
+            k = ord(letters) - 96 if len(letters) == 1 and "a" <= letters <= "z" else -1
+            if k > 0 and out and out[-1][0] == "letters" and out[-1][2] == cost:
+                out[-1][1].append(k)
+                out[-1][3].append(r)
+            elif k > 0:
+                out.append(["letters", [k], cost, [r]])
+            elif not letters:
+                out.append(["skip", None, cost, r])
+            elif "a" <= letters[0] <= "z":
+                k = ord(letters[0]) - 96
+                out.append(["twice", k, cost, r])
+            else:
+                out.append(["end", letters == " ", cost, r])
+        for move in out:
+            if move[0] == "letters":
+                ks = move[1]
+                every_letter = ks == list(range(1, 27))
+                move[1] = slice(1, 27) if every_letter else np.array(ks)
+                move[3] = np.array(move[3])
+                move.append(np.ascontiguousarray(model[:, :, move[1]]))
+        return out
+
+    def forward(score: np.ndarray, part: list[Readings], back: np.ndarray) -> np.ndarray:
+        for i, readings in enumerate(part):
+            after = np.full((27, 27), -np.inf)
+            reading = np.zeros((27, 27), np.int32)
+            before = np.zeros((27, 27), np.int32)
+            for kind, what, cost, r, *rest in moves(readings):
+                now = score + cost
+                if kind == "skip":
+                    better = now > after
+                    np.copyto(after, now, where=better)
+                    np.copyto(reading, r, where=better)
+                    np.copyto(before, every, where=better)
+                elif kind == "end":
+                    full = (now + ends if what else now).ravel()
+                    at = int(full.argmax())
+                    if full[at] > after[0, 0]:
+                        after[0, 0], reading[0, 0], before[0, 0] = full[at], r, at
+                elif kind == "twice":
+                    full = (now + model[:, :, what] + model[:, what, what][None]).ravel()
+                    at = int(full.argmax())
+                    if full[at] > after[what, what]:
+                        after[what, what], reading[what, what], before[what, what] = full[at], r, at
+                else:
+                    # [first, second, letter]: the best first letter for every (second, letter)
+                    full = now[:, :, None] + rest[0]
+                    first, top = full.argmax(axis=0), full.max(axis=0)
+                    held = after[:, what]
+                    better = top > held
+                    after[:, what] = np.where(better, top, held)
+                    reading[:, what] = np.where(better, r, reading[:, what])
+                    before[:, what] = np.where(better, 27 * first + here[:, None], before[:, what])
+            back[i] = (729 * reading + before).ravel()
+            score = after
+        return score
+
+    edges = [np.full((27, 27), -np.inf)]
+    edges[0][0, 0] = 0.0
+    blocks = [steps[at : at + BLOCK] for at in range(0, len(steps), BLOCK)]
+    back = np.zeros((min(len(steps), BLOCK), 729), np.int32)
+    for part in blocks:
+        edges.append(forward(edges[-1], part, back))
+    state = int((edges[-1] + ends).argmax())
+    chosen = []
+    for k in range(len(blocks) - 1, -1, -1):
+        if k < len(blocks) - 1:
+            forward(edges[k], blocks[k], back)
+        for row in back[: len(blocks[k])][::-1]:
+            r, state = divmod(int(row[state]), 729)
+            chosen.append(r)
+    return chosen[::-1]
+
+
+def decode(token: str, model: list[list[list[float]]], arrays: np.ndarray | None = None) -> str:
+    """The most probable reading of a lower-cased, folded token under the character model.
+
+    Both searches keep, of equally probable ways to a state, the one with the earliest
+    reading, then that from the first state. ``arrays`` is the model as an array, where at hand.
+    """
+    steps = lattice(token)
+    many = len(steps) > SHORT or sum(c in WILD for c in token) > 1
+    if many:
+        chosen = _search_arrays(steps, np.array(model) if arrays is None else arrays)
+    else:
+        chosen = _search_few(steps, model)
+    return "".join(readings[r][0] for readings, r in zip(steps, chosen)).strip()
 
 
 def core_of(token: str) -> str:
@@ -222,6 +359,7 @@ class Restorer:
     wanted: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
+        self.arrays = np.array(self.model)
         self.beginnings = {w[:k] for w in self.wanted for k in range(1, len(w) + 1)}
 
     def words(self, token: str) -> list[str]:
@@ -233,8 +371,13 @@ class Restorer:
                 return [core]
         elif not any(c.isalpha() for c in core):
             return self.hidden(core)
-        return decode(core, self.model).split()
+        return decode(core, self.model, self.arrays).split()
 
+    def run_words(self, joined: str) -> list[str]:
+        """Words of a run of single characters, parted by blanks; a run without a letter is one wanted word or nothing."""
+        if any(c.isalpha() for c in joined):
+            return decode(joined, self.model, self.arrays).split()
+        return [] if joined.replace(" ", "").isdecimal() else self.hidden(joined)
 
     def hidden(self, core: str) -> list[str]:
         """The most probable reading of a core without a letter as one wanted word; plain numbers are what they are."""
@@ -246,11 +389,14 @@ class Restorer:
             after: dict[str, float] = {}
             for text, score in held.items():
                 for letters, cost in readings:
-                    out = text + letters
+                    # a letter counts twice in a row at most, so what is held is bounded by the wanted words
+                    out = text if text[-2:] == letters * 2 != "" else text + letters
                     if letters == " " or (out and collapsed(out) not in self.beginnings):
                         continue
                     after[out] = max(after.get(out, -math.inf), score + cost)
             held = after
+            if not held:
+                return []
         found = [(score, word) for word, score in held.items() if collapsed(word) in self.wanted]
         return [max(found)[1]] if found else []
 
@@ -304,6 +450,7 @@ class TextReader:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.runs: dict[bytes, list[int]] = {}
         self.several: list[list[int]] = []
         self.number: dict[str, int] = {}
         self.values: list[float] = []
@@ -334,9 +481,16 @@ class TextReader:
         self.several.append(found)
         return self.SINGLE - len(self.several)
 
+    def of_run(self, joined: str) -> list[int]:
+        """Numbers of the words of a run of single characters; runs are remembered by digest, as they may be long."""
+        key = hashlib.blake2b(joined.encode(), digest_size=16).digest()
+        if key not in self.runs:
+            self.runs[key] = self.numbers(self.restorer.run_words(joined))
+        return self.runs[key]
+
     def evidence(self, text: str) -> float:
         """Sum over the distinct words of a text."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.runs) > REMEMBERED:
             self.forget()
         tokens = text.split()
         known = self.known
@@ -354,8 +508,7 @@ class TextReader:
                 out.update(self.several[self.SINGLE - k - 1])
         if self.SINGLE in special:
             for s, e in single_runs(ids == self.SINGLE):
-                joined = " ".join(single(t) for t in tokens[s:e])
-                out.update(self.numbers(decode(joined, self.restorer.model).split()))
+                out.update(self.of_run(" ".join(map(single, tokens[s:e]))))
         # in the order of values: the sum does not depend on what was read before
         return math.fsum(self.values[k] for k in out)
 
@@ -370,7 +523,7 @@ def restored_words(text: str, restorer: Restorer, memory: dict[str, list[str]])
         out.update(memory[t])
     flags = np.fromiter((bool(single(t)) if len(t) < 6 else False for t in tokens), bool, len(tokens))
     for s, e in single_runs(flags):
-        out.update(decode(" ".join(single(t) for t in tokens[s:e]), restorer.model).split())
+        out.update(restorer.run_words(" ".join(map(single, tokens[s:e]))))
     return out
 
 
@@ -382,7 +535,7 @@ def restore(text: str, restorer: Restorer) -> str:
     out, i = [], 0
     while i < len(tokens):
         if i in runs:
-            out.append(decode(" ".join(single(t) for t in tokens[i : runs[i]]), restorer.model))
+            out += restorer.run_words(" ".join(map(single, tokens[i : runs[i]])))
             i = runs[i]
         else:
             out += restorer.words(tokens[i])

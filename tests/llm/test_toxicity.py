@@ -57,6 +57,33 @@ def test_viterbi_finds_the_best_reading(trained, token):
     assert any(" ".join(t.split()) == " ".join(best.split()) and total(t, s) > top - 1e-9 for t, s in paths)
 
 
+def test_both_searches_agree(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = X.smoothed(rng.integers(0, 1000, (27, 27, 27)).astype(float))
+    letters = list("aabbcde 01!*|-.é你ßß#%")
+    for block in (5, X.BLOCK):
+        monkeypatch.setattr(X, "BLOCK", block)
+        for _ in range(100):
+            steps = X.lattice(X.folded("".join(rng.choice(letters, rng.integers(1, 24)))))
+            assert X._search_few(steps, model.tolist()) == X._search_arrays(steps, model)
+
+
+def test_long_runs_take_seconds():
+    import time
+
+    learned = X.WordModel({"idiot": 3.0, "asshole": 4.0}, -4.0, 2.0)
+    model = X.smoothed(np.zeros((27, 27, 27))).tolist()
+    reader = X.TextReader(X.Restorer(model, learned.disguised()), learned)
+    start = time.perf_counter()
+    for text in ("* " * 200_000, "# " * 200_000, "1 + " * 100_000, "- * " * 100_000, "4 5 5 " * 60_000):
+        assert reader.evidence(text) == 0
+    # letters among the marks: nothing is cut, and the word behind the run counts
+    assert reader.evidence("x * " * 20_000 + "idiot") == 3
+    # a run without a letter is one wanted word or nothing
+    assert [reader.evidence(t) for t in ("1 d 1 0 t", "4 $ $ # 0 1 3", "4 5 5", "* * * * *")] == [3, 4, 0, 0]
+    assert time.perf_counter() - start < 60
+
+
 def test_disguised_words_are_restored(trained):
     restorer = X.Restorer(trained[2].tolist(), trained[3].disguised())
     cases = {
