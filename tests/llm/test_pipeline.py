@@ -58,7 +58,7 @@ def test_all_queries_are_registered():
     code = "import __spark_entry__ as e; q = e.queries(); print(sorted(k for k in q if k.startswith('op') or k == 'pipeline'))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     names = eval(said.stdout)
-    assert "pipeline" in names and {n[2:].split("_")[0] for n in names if n != "pipeline"} == {str(i) for i in range(1, 11)}
+    assert "pipeline" in names and {n[2:].split("_")[0] for n in names if n != "pipeline"} == {str(i) for i in range(1, 14)}
 
 
 def test_folds_follow_crc32(spark):
