@@ -65,13 +65,24 @@ def entropy(value: str) -> float:
 
 
 def added_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Random-looking tokens outside the base spans."""
-    taken = [(s, e) for _, s, e, _ in base]
+    """Random-looking tokens outside the base spans; one sweep over both lists."""
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e, _ in base):
+        # spans of different kinds may overlap: their unions ascend in both ends
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     out = []
+    k = 0
     for m in TOKEN.finditer(text):
         value, (s, e) = m.group(), m.span()
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if k < len(taken) and taken[k][0] < e:
+            continue
         mixed = any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
-        if mixed and entropy(value) >= LEAST_BITS and not any(s < b and a < e for a, b in taken):
+        if mixed and entropy(value) >= LEAST_BITS:
             out.append(("token", s, e, value))
     return out
 

@@ -82,6 +82,26 @@ def test_value_in_many_texts_of_one_source_is_copied(spark):
     assert {r.n_added for r in given} == {1}
 
 
+def test_long_lists_of_spans_take_one_sweep():
+    import time
+
+    text = "\n".join(f"{LIVE}{i % 90 + 10} {HEX} password = abcdef{i}" for i in range(30_000))
+    start = time.perf_counter()
+    base = C.base_spans(text)
+    assert (len(base), len(C.added_candidates(text, base))) == (60_000, 30_000)
+    assert time.perf_counter() - start < 20
+
+
+@given(st.lists(st.sampled_from([LIVE, HEX, COPIED, " ", "=", "token=", "AKIA" + "X" * 16, "/", "z"]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_sweep_finds_what_comparing_all_spans_finds(parts):
+    text = "".join(parts)
+    base = C.base_spans(text)
+    want = [m.span() for m in C.TOKEN.finditer(text) if not any(m.start() < e and s < m.end() for _, s, e, _ in base)]
+    mixed = [w for w in want if all(re.search(p, text[slice(*w)]) for p in ("[0-9]", "[a-z]", "[A-Z]"))]
+    assert [x[1:3] for x in C.added_candidates(text, base)] == [w for w in mixed if C.entropy(text[slice(*w)]) >= C.LEAST_BITS]
+
+
 @pytest.mark.parametrize("text,n", [("plain words only", 0), ("A" * 40, 0), (LIVE, 1), (f"token={LIVE}", 0)])
 def test_candidates(text, n):
     assert len(C.added_candidates(text, C.base_spans(text))) == n
