@@ -169,14 +169,22 @@ def fit(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``docs`` with a 0/1 ``label``, chosen by a hash of the id; at most twice as many."""
+    """text and label (``__mr_y``) of about ``rows`` documents with a 0/1 ``label``, chosen by a hash of the id; at most twice as many.
+
+    An id with both labels counts as 1. Of rows that share an id the one whose text has
+    the smallest hash stands for all, so repeated rows neither swell the sample nor
+    make it depend on their order.
+    """
     marks = labels.select(F.col("doc_id").alias("__mr_id"), F.col(label).cast("int").alias("__mr_y"))
-    marks = marks.where(F.col("__mr_y").isin(0, 1)).dropDuplicates(["__mr_id"])
+    marks = marks.where(F.col("__mr_y").isin(0, 1)).groupBy("__mr_id").agg(F.max("__mr_y").alias("__mr_y"))
     draw = F.pmod(F.xxhash64("__mr_id", F.lit(label)), F.lit(1 << 30))
     n = marks.count()
     share = int(min(1.0, rows / max(n, 1)) * (1 << 30))
     chosen = marks.where(draw < share).limit(2 * rows)
-    return docs.where(learnable).join(F.broadcast(chosen), docs["doc_id"] == chosen["__mr_id"]).drop("__mr_id")
+    own = docs.where(learnable).select(F.col("doc_id").alias("__mr_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = own.join(F.broadcast(chosen), F.col("__mr_doc") == F.col("__mr_id"))
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return joined.groupBy("__mr_id").agg(first.alias("text"), F.first("__mr_y").alias("__mr_y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:

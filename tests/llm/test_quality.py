@@ -65,6 +65,19 @@ def test_held_out(spark):
     assert (rows.predicted == (rows.score >= 0.3)).all()
 
 
+def test_sample_is_bounded_and_settled(spark):
+    """An id with both labels is 1; a repeated id brings one row, whatever the order."""
+    rows = [(1, "one"), (2, "b"), (2, "a"), (3, "three"), (None, "none")] + [(4, "same")] * 5000
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 2), (4, 1), (4, 1), (None, 1)], "doc_id long, quality int")
+    found = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = G.labelled_sample(docs, labels.repartition(parts), "quality", F.lit(True), 100)
+        found.append(sorted((r["text"], r["__mr_y"]) for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) == 3
+    assert {("one", 1), ("same", 1)} < set(found[0]) and found[0][0] in {("a", 0), ("b", 0)}
+
+
 def test_edges(edges, edge_rows, nothing, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 0), (6, 0, 0), (77, 1, 1), (2, None, 0)], "doc_id long, quality int, toxic int")
     forest = G.train(edges, labels, F.lit(True))
