@@ -33,6 +33,8 @@ from .common import empty_like, mark_maybe, materialise, n_words, skew_join
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 GROUP_ROWS = 2000
+# Of equal rows this many go to one group at most.
+LOT_ROWS = 100
 SCHEMA = "doc_id long, size long, source_size long, target double, rate double, copies long, taken long"
 
 
@@ -122,7 +124,10 @@ def _newton(histogram: DataFrame, sources: DataFrame, most: float, ridge: float,
 
 def _copies(most: float):
     def diffuse(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "doc_id", "tie"], ascending=[False, True, True], na_position="last", kind="stable")
+        order = ["size", "doc_id", "tie"]
+        group = group.sort_values(order, ascending=[False, True, True], na_position="last", kind="stable")
+        # equal rows came folded
+        group = group.loc[group.index.repeat(group["times"])]
         sizes, rates = group["size"].to_numpy(), group["rate"].to_numpy()
         low = np.floor(np.minimum(rates, most) + 1e-12)
         high = np.minimum(np.ceil(np.minimum(rates, most) - 1e-12), math.ceil(most))
@@ -198,11 +203,15 @@ def mix(
         F.least(F.exp(F.coalesce("lam", F.lit(0.0)) + F.lit(theta) * z), F.lit(most))
     )
     rated = joined.withColumn("rate", F.when(F.col("size") > 0, tilt).otherwise(F.lit(1.0)))
-    # a hot source is dealt out over groups of about GROUP_ROWS documents
-    salt = F.pmod(F.xxhash64("doc_id", "tie"), F.ceil(F.col("rows") / GROUP_ROWS))
+    # a hot source is dealt out over groups of about GROUP_ROWS documents; equal rows fold first and are dealt in lots
+    alike = ["doc_id", "source_key", "size", "tie", "rate", "row"]
+    lots = rated.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows"))
+    lots = lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT_ROWS))))
+    times = F.least(F.col("n") - F.col("lot") * LOT_ROWS, F.lit(LOT_ROWS))
+    salt = F.pmod(F.xxhash64("doc_id", "tie", "lot"), F.ceil(F.col("rows") / GROUP_ROWS))
     kind = dict(rows.dtypes)["row"]
     copied = (
-        rated.select("doc_id", "source_key", "size", "tie", "rate", "row", salt.alias("salt"))
+        lots.select(*alike, times.alias("times"), salt.alias("salt"))
         .groupBy("source_key", "salt")
         .applyInPandas(
             _copies(most), f"doc_id long, source_key string, size long, rate double, copies long, row {kind}"

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing as M
 
@@ -63,6 +64,17 @@ def test_edges(edges, edge_rows):
     assert all(r.taken == 0 for r in got if not r["size"]) and all(r.taken <= 3 * r["size"] for r in got)
 
 
+def test_equal_rows_are_spread(spark):
+    """100,000 equal rows without an id: no group of the diffusion holds them all, and the targets are met."""
+    same = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'five words stand right here' text", "'a' source")
+    other = spark.range(3000).selectExpr("id doc_id", "concat('one more text of words ', id) text", "'b' source")
+    got = M.mix(same.unionByName(other)).groupBy("source_size").agg(
+        F.count(F.lit(1)).alias("n"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("copies").alias("most")
+    )
+    for r in got.collect():
+        assert r.n in (100_000, 3000) and r.most <= 3 and abs(r.taken - r.target) <= 0.01 * r.target
+
+
 def test_empty(nothing):
     assert M.mix(nothing).collect() == []
     assert M.take_copies(nothing).collect() == []
