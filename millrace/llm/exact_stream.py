@@ -136,21 +136,22 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` marked ``kept`` in ``decided`` (doc_id, text_sha256, kept), all columns.
 
     A row is known by its id and the digest of its text; of rows equal in both one
-    stays. Only rows that may have been dropped are shuffled: a bitmap over the
-    dropped ones lets the others pass where they are.
+    stays, so rows without an id do too. Only rows that may have been dropped are
+    shuffled: a bitmap over the dropped ones lets the others pass where they are.
+    Equal rows fold where they are read, before any shuffle.
     """
-    tags = decided.select(
-        F.col("doc_id").alias("__mr_id"), F.unhex("text_sha256").alias("__mr_sha"), "kept"
-    )
-    twice = tags.where("kept").groupBy("__mr_id", "__mr_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dropped = tags.where(~F.col("kept")).select("__mr_id", "__mr_sha").unionByName(twice.select("__mr_id", "__mr_sha"))
+
+    def known(sha: Column) -> Column:
+        return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), sha)
+
+    tags = decided.select(known(F.col("text_sha256")).alias("__mr_row"), "kept")
+    stays = tags.where("kept").groupBy("__mr_row").agg(F.count(F.lit(1)).alias("n"))
+    dropped = tags.where(~F.col("kept")).select("__mr_row").unionByName(stays.where("n > 1").select("__mr_row"))
     dropped = materialise(dropped, "dropped")
-    own = docs.withColumns(
-        {"__mr_id": F.col("doc_id").cast("long"), "__mr_sha": F.unhex(F.sha2(normalised(F.col("text")), 256))}
-    )
-    marked = mark_maybe(own, dropped, ["__mr_id", "__mr_sha"], "__mr_maybe")
+    own = docs.withColumn("__mr_row", known(F.sha2(normalised(F.col("text")), 256)))
+    marked = mark_maybe(own, dropped, ["__mr_row"], "__mr_maybe")
     sure = marked.where(~F.col("__mr_maybe")).drop("__mr_maybe")
-    pairs = tags.where("kept").select("__mr_id", F.col("__mr_sha").alias("__mr_kept_sha"))
-    on = marked["__mr_id"].eqNullSafe(pairs["__mr_id"]) & (F.col("__mr_sha") == F.col("__mr_kept_sha"))
-    looked_at = marked.where("__mr_maybe").drop("__mr_maybe").join(pairs, on, "left_semi").dropDuplicates(["__mr_id", "__mr_sha"])
-    return sure.unionByName(looked_at).drop("__mr_id", "__mr_sha")
+    # one exchange serves folding and join
+    looked_at = marked.where("__mr_maybe").drop("__mr_maybe").dropDuplicates(["__mr_row"])
+    looked_at = looked_at.join(stays.select("__mr_row"), "__mr_row", "left_semi")
+    return sure.unionByName(looked_at).drop("__mr_row")
