@@ -2,9 +2,9 @@
 
 Rows are cut into key ranges, each processed by its own window partition. Up to
 ``LITERAL_CUTS`` ranges are cut by literals, so the range of a row is a pure function
-of the row. More of them are dealt out by a distributed range partitioning and stored
-with their number, so the size of a range never grows with the table. Either way a
-range stays the same in every job and after a lost executor. What crosses a range
+of the row. More of them are cut off by row number in the partitions of a distributed
+sort and stored with their number, so the size of a range never grows with the table.
+Either way a range stays the same in every job and after a lost executor. What crosses a range
 border (last value seen, number of values before) is one row per range, carried in two
 levels: over groups of ranges first, then inside each group.
 """
@@ -23,6 +23,8 @@ from ..workspace import materialise
 ROWS_PER_RANGE = 250_000
 # Cut points that a projection holds as literals.
 LITERAL_CUTS = 4096
+# Rows that one task sorts where ranges are cut off by row number; it may hold many ranges.
+ROWS_PER_TASK = 500_000
 # Ranges that are carried together.
 GROUP = 1024
 # Keys sampled per range to place the cut points; they affect balance only, never the result.
@@ -64,9 +66,12 @@ def with_ranges(df: DataFrame, key: Column, rows: int, rows_per_range: int = ROW
     if n == 1:
         return keyed.withColumn(range_name, F.lit(0)), key_name, range_name
     if n > LITERAL_CUTS:
-        # Spark samples the keys and sorts the cut points; storing fixes what they gave
-        dealt = keyed.repartitionByRange(n, ref(key_name)).withColumn(range_name, F.spark_partition_id())
-        return materialise(dealt, "ranges"), key_name, range_name
+        # Spark sends some hundred sampled keys per partition to the driver, so partitions follow the
+        # rows, not the ranges. Row ids grow along the sorted partitions; storing fixes what the sample gave.
+        tasks = math.ceil(rows / max(ROWS_PER_TASK, rows_per_range))
+        dealt = keyed.repartitionByRange(tasks, ref(key_name)).sortWithinPartitions(ref(key_name))
+        numbered = dealt.withColumn(range_name, F.expr(f"monotonically_increasing_id() div {rows_per_range}"))
+        return materialise(numbered, "ranges"), key_name, range_name
     cuts = _cut_points(keyed.select(key_name), n, rows)
     dtype = keyed.schema[key_name].dataType
     # The first key field alone places a row, unless some value of it is hot enough to be cut twice.

@@ -207,6 +207,40 @@ def test_ordered_fill_with_stored_ranges(spark, monkeypatch, direction):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("direction", ["forward"])
+def test_stored_partitions_follow_rows_not_ranges(spark, monkeypatch, direction):
+    """Spark sends keys per partition to the driver: few partitions hold many ranges, none of them too large."""
+    monkeypatch.setattr(ordered, "LITERAL_CUTS", 8)
+    monkeypatch.setattr(ordered, "GROUP", 4)
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 300, raising=False)
+    stored = []
+
+    def recorded(df, label):
+        out = ordered_materialise(df, label)
+        stored.append((df.rdd.getNumPartitions(), out))
+        return out
+
+    ordered_materialise = ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", recorded)
+    # The runs without a value are longer than a partition; a third of the rows shares a key, twenty have none.
+    rows = [(None if i < 20 else 500 if 500 <= i < 1000 else i, i, i if i % 700 == 30 else None) for i in range(1500)]
+    df = frame(spark, rows, "k int, id int, v int").repartition(5)
+    got = ordered_fill(df, ["v"], ["k"], direction, rows_per_range=7)
+    (partitions, ranged), = stored
+    assert partitions == 5
+    key, rng = ranged.columns[-2:]
+    edges = ranged.groupBy(rng).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(rng).collect()
+    assert sum(e["n"] for e in edges) == 1500 and max(e["n"] for e in edges) == 7
+    assert all(a["hi"] < b["lo"] for a, b in zip(edges, edges[1:]))
+    want = ordered_fill(df, ["v"], ["k"], direction, rows_per_range=10_000)
+    assert values(got, "v", "id") == values(want, "v", "id")
+    if direction == "forward":
+        near = {i: max((p for p in (30, 730, 1430) if p <= i), default=None) for i in range(1500)}
+    else:
+        near = {i: min((p for p in (30, 730, 1430) if p >= i), default=None) for i in range(1500)}
+    assert all(r["v"] == near[r["id"]] for r in got.where("k >= 20 and k != 500").collect())
+
+
 def test_ordered_fill_with_one_hot_key(spark):
     rows = [(0 if i < 400 else i, i, None if i % 4 else float(i)) for i in range(1000)]
     df = frame(spark, rows, "k int, id int, v double")
