@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.workspace import materialise, scratch_path
 
-__all__ = ["Numbering", "SPACES", "bounded_batches", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "process_memory", "scratch_path", "skew_join", "text_slices", "words"]
+__all__ = ["Numbering", "SPACES", "bounded_batches", "bounded_slices", "documents", "empty_like", "mark_maybe", "materialise", "n_words", "process_memory", "scratch_path", "skew_join", "small_batches", "text_slices", "words"]
 
 # The separators of words, as a regular expression and as characters.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -23,6 +24,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 HOT_KEYS = 2000
 # Largest size in bits of a filter over keys; it is broadcast as FILTER_BITS / 8 bytes at most.
 FILTER_BITS = 1 << 26
+# Bytes of an Arrow batch of texts, up to one row more.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +113,22 @@ def text_slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[lis
         yield held
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs that run in the block send Python at most about ``size`` bytes at once.
+
+    A batch of texts stands outside the JVM's heap, twice while its buffer grows, and
+    again in the Python worker; Spark's own limit of 64 MB holds for each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def process_memory(key: str, make):
     """The object kept under ``key`` in this Python process, made on first use.
 

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Numbering, text_slices, words
+from .common import Numbering, materialise, small_batches, text_slices, words
 
 UNDETERMINED = "und"
 PIECE = 48
@@ -301,7 +301,9 @@ def reading(net: Network | None, text: Column) -> Column:
 
 def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, lang_pred and score."""
-    read = docs.select(*keep, reading(net, F.col("text")).alias("__mr_read"))
+    own = docs.select(*keep, reading(net, F.col("text")).alias("__mr_read"))
+    with small_batches(docs.sparkSession):
+        read = materialise(own, "languages")
     return read.select(*keep, F.col("__mr_read.lang").alias("lang_pred"), F.col("__mr_read.score").alias("score"))
 
 
@@ -312,7 +314,8 @@ def with_letters(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series([LETTERS.search((t or "").lower()) is not None for t in batch.tolist()], dtype=bool)
 
-    return docs.where(F.pandas_udf(read, "boolean")(F.col("text")))
+    with small_batches(docs.sparkSession):
+        return materialise(docs.where(F.pandas_udf(read, "boolean")(F.col("text"))), "with_letters")
 
 
 def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -320,4 +323,5 @@ def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
     if net is None:
         return docs
     read = docs.withColumn("__mr_read", reading(net, F.col("text"))).where(F.col("__mr_read.lang") != UNDETERMINED)
-    return read.withColumn("lang", F.coalesce("lang", "__mr_read.lang")).drop("__mr_read")
+    with small_batches(docs.sparkSession):
+        return materialise(read.withColumn("lang", F.coalesce("lang", "__mr_read.lang")).drop("__mr_read"), "identified")

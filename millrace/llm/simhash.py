@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import empty_like, materialise, skew_join, text_slices
+from .common import empty_like, materialise, skew_join, small_batches, text_slices
 from .exact_stream import keep_rows, normalised
 
 SEED = 42
@@ -337,7 +337,8 @@ def components(links: DataFrame, label: str = "stars") -> DataFrame:
 def _placed(docs: DataFrame, extra: dict[str, Column]) -> DataFrame | None:
     """doc_id, fp, root, component_id and the columns ``extra`` of every row; None for no rows."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marking(F.col("text")).alias("fp"), *[c.alias(k) for k, c in extra.items()])
-    rows = materialise(own, "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = materialise(own, "fingerprints")
     marks = materialise(
         rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "marks"
     )

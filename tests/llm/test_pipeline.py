@@ -6,7 +6,12 @@ import sys
 import zlib
 from pathlib import Path
 
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from millrace.llm import langid, simhash
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -54,6 +59,37 @@ def test_letterless_texts_go_without_any_language(edges, edge_rows, spark):
     assert sorted(got) == sorted(r[1] for r in edge_rows if any(c.isalpha() for c in r[1] or ""))
 
 
+@pytest.mark.parametrize("step", ["fingerprints", "languages", "identified"])
+def test_texts_reach_python_in_small_batches(spark, monkeypatch, step):
+    """Each batch of a task is held in the JVM and in Python: long texts must not add up to Spark's 64 MB."""
+    texts = spark.range(0, 120, numPartitions=1).selectExpr(
+        "id AS doc_id", "repeat('abcdefg ', 12500 + int(id)) AS text", "cast(null as string) AS lang", "'a' AS source", "id AS n_chars"
+    )
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def measured(text):
+        return F.pandas_udf(lambda t: pd.Series([int(t.str.len().sum())] * len(t)), "long")(text)
+
+    if step == "fingerprints":
+        stored = []
+        keep = simhash.materialise
+        monkeypatch.setattr(simhash, "marking", measured)
+        monkeypatch.setattr(simhash, "materialise", lambda df, label: stored.append((label, out := keep(df, label))) or out)
+        assert simhash.near_duplicates(texts).count() == 120
+        sent = [r.fp for r in dict(stored)["fingerprints"].collect()]
+    else:
+        as_lang = lambda net, text: F.struct(measured(text).cast("string").alias("lang"), F.lit(1.0).alias("score"))
+        monkeypatch.setattr(langid, "reading", as_lang)
+        net = langid.new_network(["a", "b"])
+        if step == "languages":
+            sent = [int(r.lang_pred) for r in langid.identify(texts, net, ["doc_id"]).collect()]
+        else:
+            sent = [int(r.lang) for r in langid.keep_identified(texts, net).collect()]
+    assert len(sent) == 120 and max(sent) < 5_000_000
+    assert spark.conf.get(key) == before
+
+
 def test_all_queries_are_registered():
     code = "import __spark_entry__ as e; q = e.queries(); print(sorted(k for k in q if k.startswith('op') or k == 'pipeline'))"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
