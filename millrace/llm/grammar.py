@@ -14,8 +14,8 @@ the first id position of each document and the end, ``base`` (ids below are
 terminals, symbol base + k is rule k), rules in rounds, lengths, sequence. Symbols are
 byte planes of little-endian unsigned integers.
 
-Encoding splits texts where the pre-tokenizer does for certain (a single blank
-between non-blanks), so each distinct word of a task is encoded once.
+Encoding splits all texts of a batch at once by the rule of a byte-level pre-tokenizer,
+so each distinct pre-token is encoded once, whatever stands beside it.
 
 Defined results: a null text is empty and has the end id only; rows without an id come
 first; rows of equal ids are ordered by a hash of their text; repeated rows are
@@ -24,7 +24,6 @@ encoded each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,7 +42,7 @@ SHARD_TOKENS = 1 << 20
 LEAST = 3
 # A round takes pairs down to 1 / BREADTH of the most frequent.
 BREADTH = 48
-# Distinct words a worker process remembers; when full it forgets the rarer half.
+# Distinct pre-tokens a worker process remembers; when full it forgets the rarer half.
 REMEMBERED = 1_000_000
 
 
@@ -93,6 +92,14 @@ def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, keys[order]
 
 
+def _equal_pairs(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of one symbol, and those of them that do not count: every second one of a run."""
+    same = np.flatnonzero(sequence[:-1] == sequence[1:])
+    opens = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+    begins = np.repeat(same[opens], np.diff(np.append(opens, len(same))))
+    return same, same[(same - begins) % 2 == 1]
+
+
 def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Pairs with ``least`` or more occurrences that do not overlap themselves, and enough of the most frequent one's:
     positions in ascending order, the number of the pair at each, the pairs, their counts, and how many were enough."""
@@ -103,14 +110,13 @@ def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
     slot *= np.uint32(0xC2B2AE35)
     slot = (slot >> np.uint32(32 - bits)).astype(np.int64)
     total = np.bincount(slot, minlength=1 << bits)
-    # of a run of one symbol every second position counts
-    same = left == right
-    index = np.arange(len(left))
-    even = ~same | ((index - np.maximum.accumulate(np.where(same, -1, index))) % 2 == 1)
+    skipped = _equal_pairs(sequence)[1]
     need = max(least, int(total.max()) // BREADTH)
     while True:
         # a slot's total is no less than the count of any of its pairs
-        at = np.flatnonzero((total >= need)[slot] & even)
+        likely = (total >= need)[slot]
+        likely[skipped] = False
+        at = np.flatnonzero(likely)
         keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
         order, ranged = _ordered(keys)
         opens = np.flatnonzero(np.append(True, ranged[1:] != ranged[:-1])) if len(at) else np.zeros(0, np.int64)
@@ -127,12 +133,10 @@ def _frequent_pairs(sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
 
 def _recounted_pairs(sequence: np.ndarray, least: int, active: np.ndarray) -> tuple[np.ndarray, ...]:
     """``_frequent_pairs`` where every pair with ``least`` occurrences lies at ``active`` positions or in a run of one symbol."""
-    same = np.flatnonzero(sequence[:-1] == sequence[1:])
-    opens = np.append(True, same[1:] != same[:-1] + 1) if len(same) else np.zeros(0, bool)
-    odd = (same - same[np.flatnonzero(opens)[np.cumsum(opens) - 1]]) % 2 == 1 if len(same) else opens
+    same, skipped = _equal_pairs(sequence)
     marked = np.zeros(len(sequence), bool)
     marked[active] = marked[same] = True
-    marked[same[odd]] = marked[-1] = False
+    marked[skipped] = marked[-1] = False
     at = np.flatnonzero(marked)
     keys = (sequence[at].astype(np.uint64) << np.uint64(32)) | sequence[at + 1]
     order, ranged = _ordered(keys)
@@ -262,22 +266,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of texts; distinct words are encoded once while they are remembered."""
+    """Ids of texts; distinct pre-tokens are encoded once while they are remembered."""
 
-    # Latin letters and plain punctuation: their pre-tokens are known without the splitter
-    PLAIN_MARKS = ".,;:!?*#%&|()[]{}-_=+~^\"<>"
+    # Kinds of characters that the splitter of a byte-level vocabulary tells apart, and one of each
+    BLANK, PROBES = 0, {1: "a", 2: "1", 3: "!"}
+    UNSEEN = 255
+    # The splitter's contractions, without their apostrophe
+    ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.suffixes: dict[str, list[int]] = {}
-        self.break_ids = [t.id for t in self.tokenizer.model.tokenize(self.letters[10])]
+        letters = _byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u4")
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kinds = np.full(0x110000, self.UNSEEN, np.uint8)
         self.known = Numbering()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
+        self.kinds_of(np.arange(128))
 
     def forget_rare(self) -> None:
         """Keep the half of the room that was used most."""
@@ -286,99 +295,119 @@ class WordEncoder:
         self.known = Numbering()
         self.known.numbers([words[i] for i in kept])
         self.known.pending = []
-        held = np.maximum(self.sizes[kept], 0)
+        held = self.sizes[kept]
         self.flat = _gather(self.flat, self.starts[kept], held)
-        self.starts, self.sizes, self.uses = np.cumsum(held) - held, self.sizes[kept], self.uses[kept] // 2
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of one pre-token."""
-        if not text.isascii() or " " in text:
-            text = text.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(text)]
-
-    def word(self, word: str, blank: str = " ") -> list[int] | None:
-        """Ids of ``blank`` and a plain word, or None."""
-        core = word.rstrip(self.PLAIN_MARKS)
-        if not core.isalpha():
-            return self.lines(word) if "\n" in core else None
-        if core.isascii():
-            ids = [t.id for t in self.tokenizer.model.tokenize("Ġ" + core if blank else core)]
-        elif max(core) < "ɐ":
-            ids = self.piece(blank + core)
-        else:
-            return None
-        if len(core) < len(word):
-            marks = word[len(core) :]
-            if marks not in self.suffixes:
-                if len(self.suffixes) > 50_000:
-                    self.suffixes = {}
-                self.suffixes[marks] = self.piece(marks)
-            ids = ids + self.suffixes[marks]
-        return ids
-
-    def lines(self, word: str) -> list[int] | None:
-        """Plain words with single line breaks between them: each break is a pre-token of its own."""
-        parts = word.split("\n")
-        ids = self.word(parts[0])
-        for part in parts[1:]:
-            more = self.word(part, "") if ids is not None and part else None
-            if more is None:
-                return None
-            ids = ids + self.break_ids + more
-        return ids
+        self.starts, self.sizes, self.uses = np.cumsum(held) - held, held, self.uses[kept] // 2
+
+    def kinds_of(self, points: np.ndarray) -> np.ndarray:
+        """The kind of each code point; for one not seen before the splitter is asked whether it stays with a probe."""
+        for point in np.unique(points[self.kinds[points] == self.UNSEEN]).tolist():
+            joins = (k for k, c in self.PROBES.items() if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(c + chr(point))) == 1)
+            self.kinds[point] = next(joins, self.BLANK)
+        return self.kinds[points]
+
+    def split(self, column: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The pre-tokens of all texts, one after the other, and the number of those before each text and at the end.
+
+        A pre-token is a run of one kind of character with the single space before it, or a contraction. Of several
+        blanks the last stands alone, or goes with what follows if it is a space; at the end of a text it does neither.
+        """
+        bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        first, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+        if not size:
+            return pa.array([], pa.string()), np.zeros(len(bounds), np.int64)
+        raw, bounds = np.frombuffer(column.buffers()[2], np.uint8)[first : first + size], bounds - first
+        begins, ends = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0]
+        kind = self.kinds[raw]
+        lead = np.flatnonzero(raw >= 0xC0)
+        width = 2 + (raw[lead] >= 0xE0) + (raw[lead] >= 0xF0)
+        point = raw[lead] & (0xFF >> (width + 1))
+        for k in (1, 2, 3):
+            more = width > k
+            point[more] = point[more] << 6 | raw[lead[more] + k] & 0x3F
+        kind[lead] = self.kinds_of(point)
+        for k in (1, 2, 3):
+            kind[lead[width > k] + k] = kind[lead[width > k]]
+
+        blank = kind == self.BLANK
+        opens = np.ones(size + 1, bool)
+        opens[1:-1] = (kind[1:] != kind[:-1]) & (raw[:-1] != 32)
+        # the last of several blanks before something else: by bytes, then again where a blank has several bytes
+        last = np.zeros(size, bool)
+        last[:-1] = blank[:-1] & ~blank[1:]
+        last[ends - 1] = False
+        wide = lead[blank[lead]]
+        stop = wide + width[blank[lead]]
+        final = last[stop - 1]
+        last[stop - 1] = False
+        last[wide] = final
+        opens[:-1] |= last
+        opens[begins] = True
+
+        quote = np.flatnonzero((raw == 39) & opens[:-1])
+        room = ends[np.searchsorted(ends, quote, "right")] - quote
+        after = np.append(raw, np.zeros(2, np.uint8))
+        for ending in self.ENDINGS:
+            hit = room > len(ending)
+            for k, letter in enumerate(ending, 1):
+                hit &= after[quote + k] == letter
+            opens[quote[hit] + 1] = False
+            opens[quote[hit] + 1 + len(ending)] = True
+
+        at = np.flatnonzero(opens).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at + np.int32(first)), column.buffers()[2])
+        return pieces, np.searchsorted(at, bounds)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self) -> None:
-        """Encode the words seen for the first time."""
-        words = self.known.pending
-        ids = [self.word(w) if w else None for w in words]
-        rest = [i for i, found in enumerate(ids) if found is None]
-        # a word that begins or ends with a blank, or is empty, is no unit of the splitter: size -1
-        odd = [i for i in rest if not words[i] or words[i][0].isspace() or words[i][-1].isspace()]
-        for i in odd:
-            ids[i] = []
-        rest = [i for i in rest if ids[i] is None]
-        for i, found in zip(rest, self.whole([" " + words[i] for i in rest])):
-            ids[i] = found
-        held = np.fromiter(map(len, ids), np.int64, len(ids))
-        fresh = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(held.sum()))
-        sizes = held.copy()
-        sizes[odd] = -1
+        """Encode the pre-tokens seen for the first time."""
+        raw = [w.encode() for w in self.known.pending]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))).tolist()
+        spelled = self.letters[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.tokenizer.model.tokenize
+        ids, counts = [], []
+        for s, e in zip([0, *ends], ends):
+            found = [t.id for t in tokenize(spelled[s:e])]
+            ids += found
+            counts.append(len(found))
+        held = np.array(counts, np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(held) - held])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, fresh])
-        self.uses = np.concatenate([self.uses, np.zeros(len(ids), np.int64)])
+        self.sizes = np.concatenate([self.sizes, held])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(held), np.int64)])
         self.known.pending = []
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
-        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        column = pa.compute.fill_null(column, "")
+        if not len(column):
+            return []
         if len(self.known) > REMEMBERED:
             self.forget_rare()
-        # split and number the words in Arrow; only distinct ones become Python strings
-        split = pa.compute.split_pattern(pa.compute.fill_null(column, ""), " ")
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        own = self.known.numbers(words)
+        # pre-tokens are found and numbered in arrays; only distinct ones become Python strings
+        pieces, bounds = self.split(column)
+        coded = pieces.dictionary_encode()
+        own = self.known.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         if self.known.pending:
             self.learn()
         numbers = own[coded.indices.to_numpy()]
         self.uses += np.bincount(numbers, minlength=len(self.uses))
-        heads = [words[i] for i in coded.indices.to_numpy()[bounds[:-1]].tolist()]
-        strange = np.add.reduceat(np.append(self.sizes[numbers] < 0, False), bounds[:-1]) > 0
-        direct = [i for i, h in enumerate(heads) if strange[i] or (h and h[-1].isspace())]
-        whole = dict(zip(direct, self.whole([column[i].as_py() or "" for i in direct])))
-        firsts = self.whole(heads)
+        # a text that spells a mark of the vocabulary's own goes through the tokenizer whole
+        spells = np.zeros(len(column), bool)
+        for mark in self.marks:
+            spells |= pa.compute.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        direct = np.flatnonzero(spells).tolist()
+        whole = dict(zip(direct, self.whole([column[i].as_py() for i in direct])))
         out = []
         for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             if i in whole:
                 out.append(np.array(whole[i], np.uint32))
             else:
-                n = numbers[s + 1 : e]
-                out.append(np.concatenate([np.array(firsts[i], np.uint32), _gather(self.flat, self.starts[n], self.sizes[n])]))
+                n = numbers[s:e]
+                out.append(_gather(self.flat, self.starts[n], self.sizes[n]))
         return out
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -35,6 +36,49 @@ def test_any_text(text):
     assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pretokens_are_encoded_once(tokenizer):
+    """Marks, line breaks and contractions beside a word do not make it another one."""
+    cores, marks = ["anoush", "Tion", "süß", "42"], ["", ".", ",", "###", "'s", ".\n", "!!\n", "\n"]
+    texts = [f"{a}{m}{b}{k} {a}{k}{c}" for a in cores for m in marks for b in cores for k in marks for c in cores]
+    encoder = G.WordEncoder(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert len(encoder.known) == len({w for t in texts for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(t)})
+
+
+BROAD = "aAéñßsrtmdvelЖΩאनि日あ1²½٣'’!—_́😀   \n\t\r\x00\x1c\x85\xa0\u2028\u3000\u200b\ufeff"
+
+
+@given(st.lists(st.text(st.one_of(st.sampled_from(BROAD), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_texts_of_any_characters_side_by_side(texts):
+    encoder = G.WordEncoder(PATH) if not hasattr(test_any_text, "encoder") else test_any_text.encoder
+    test_any_text.encoder = encoder
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_slices_and_nulls(tokenizer):
+    column = pa.array(["x y", None, "naïve  café\n", "", "it's", None, "'s<|endoftext|> z"])
+    for kind in (pa.string(), pa.large_string()):
+        for start in range(len(column) + 1):
+            got = [x.tolist() for x in G.WordEncoder(PATH).encode(column.cast(kind).slice(start))]
+            assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()[start:]]
+
+
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_every_second_pair_of_a_run_is_skipped(ids):
+    same, skipped = G._equal_pairs(np.array(ids, np.uint32))
+    want, counted = [], -2
+    for i in range(len(ids) - 1):
+        if ids[i] == ids[i + 1]:
+            want.append((i, counted == i - 1))
+            counted = counted if want[-1][1] else i
+    assert same.tolist() == [i for i, _ in want]
+    assert skipped.tolist() == [i for i, late in want if late]
+
+
 @given(st.lists(st.integers(0, 6), max_size=600), st.integers(0, 600), st.integers(0, 600))
 @settings(max_examples=150, deadline=None)
 def test_round_trip(ids, a, b):
